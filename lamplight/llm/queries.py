@@ -37,5 +37,23 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return p10_pieces(spark, sf).filter(F.col("piece_no") == 0).select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p8_ids, p8_counts, p9_windows, p10_pieces, p10_found)}
+def _texts(spark: SparkSession, sf: str) -> DataFrame:
+    """(tbl, id, text) of file names and chunk contents."""
+    files = table(spark, sf, "files").select(F.lit("files").alias("tbl"), "id", F.col("name").alias("text"))
+    return files.unionByName(table(spark, sf, "chunks").select(F.lit("chunks").alias("tbl"), "id", F.col("content").alias("text")))
+
+
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    from lamplight.llm.lookalike import lookalike_pairs
+
+    return lookalike_pairs(_texts(spark, sf))
+
+
+def p7_forms(spark: SparkSession, sf: str) -> DataFrame:
+    from lamplight.llm.lookalike import with_form
+
+    return with_form(_texts(spark, sf), "text", "form").select("tbl", "id", "form")
+
+
+QUERIES = {f.__name__: f for f in (p7_found, p7_forms, p8_ids, p8_counts, p9_windows, p10_found, p10_pieces)}
 SQL: dict[str, str] = {}
