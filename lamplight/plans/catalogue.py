@@ -2,5 +2,40 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lamplight.operators import incremental
+from lamplight.session import table
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with its SQL if SQL can express it."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+_NEWEST_SQL = """
+WITH n AS (SELECT path, sha1, size, mtime FROM (SELECT *, row_number() OVER (PARTITION BY path
+       ORDER BY seen_at DESC NULLS LAST, sha1 DESC NULLS LAST, size DESC NULLS LAST, mtime DESC NULLS LAST) AS k FROM discovered WHERE path IS NOT NULL) WHERE k = 1),
+     m AS (SELECT path, sha1, size, mtime FROM (SELECT *, row_number() OVER (PARTITION BY path
+       ORDER BY indexed_at DESC, sha1 DESC NULLS LAST, size DESC NULLS LAST, mtime DESC NULLS LAST) AS k FROM files WHERE indexed_at IS NOT NULL) WHERE k = 1)
+SELECT n.path FROM n LEFT JOIN m ON n.path = m.path
+WHERE m.path IS NULL OR CASE WHEN n.sha1 IS NULL OR m.sha1 IS NULL
+      THEN n.size IS DISTINCT FROM m.size OR floor(n.mtime) IS DISTINCT FROM floor(m.mtime) ELSE n.sha1 <> m.sha1 END
+"""
+
+
+@query(_NEWEST_SQL)
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    manifest = incremental.stored_last(table(spark, sf, "files"))
+    return incremental.new_or_changed(table(spark, sf, "discovered"), manifest).select("path")
