@@ -8,6 +8,26 @@ from pyspark.sql import functions as F
 from lamplight.session import table
 
 
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    from lamplight.llm.language import learn, mislabelled
+
+    return mislabelled(table(spark, sf, "files"), table(spark, sf, "chunks"), learn(table(spark, sf, "lang_samples")))
+
+
+def p1_files(spark: SparkSession, sf: str) -> DataFrame:
+    from lamplight.llm.language import file_languages, learn
+
+    return file_languages(table(spark, sf, "chunks"), learn(table(spark, sf, "lang_samples")))
+
+
+def p1_stretches(spark: SparkSession, sf: str) -> DataFrame:
+    from lamplight.llm.language import learn, with_stretches
+
+    chunks = table(spark, sf, "chunks").select("id", "content")
+    found = with_stretches(chunks, "content", learn(table(spark, sf, "lang_samples")))
+    return found.select("id", F.explode("stretches").alias("s")).select("id", "s.*")
+
+
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     from lamplight.llm.tokenizer import with_token_ids
 
@@ -55,5 +75,5 @@ def p7_forms(spark: SparkSession, sf: str) -> DataFrame:
     return with_form(_texts(spark, sf), "text", "form").select("tbl", "id", "form")
 
 
-QUERIES = {f.__name__: f for f in (p7_found, p7_forms, p8_ids, p8_counts, p9_windows, p10_found, p10_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_files, p1_stretches, p7_found, p7_forms, p8_ids, p8_counts, p9_windows, p10_found, p10_pieces)}
 SQL: dict[str, str] = {}
