@@ -46,3 +46,19 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/lamplight-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Keys a side may have at most to be broadcast (16 MB of BIGINT); beyond it the join shuffles.
+BROADCAST_KEYS = 2_000_000
+
+
+def semi_join(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """Rows of df whose key is among keys: broadcast behind a count of the keys, else a shuffle.
+
+    keys has one column named on; repeated and null keys do no harm.
+    """
+    from pyspark.sql import functions as F
+
+    keys = keys.select(on).distinct()
+    few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    return df.join(F.broadcast(keys) if few else keys, on, "left_semi")
