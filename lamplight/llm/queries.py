@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamplight.session import table
+from lamplight.session import semi_join, table
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -28,6 +28,25 @@ def p1_stretches(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("id", F.explode("stretches").alias("s")).select("id", "s.*")
 
 
+def _email_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    mails = table(spark, sf, "files").filter("method = 'email'").select(F.col("id").alias("file_id"))
+    chunks = table(spark, sf, "chunks").select(F.col("id").alias("chunk_id"), "file_id", "content")
+    return semi_join(chunks, mails, "file_id").select("chunk_id", "content")
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    from lamplight.llm.email import learn, line_labels
+
+    lines = line_labels(_email_chunks(spark, sf), "chunk_id", "content", learn(table(spark, sf, "lang_samples")))
+    return lines.filter("label in ('quoted', 'signature', 'notice')").select("chunk_id", "line_no")
+
+
+def p2_new_text(spark: SparkSession, sf: str) -> DataFrame:
+    from lamplight.llm.email import learn, with_new_text
+
+    return with_new_text(_email_chunks(spark, sf), "content", learn(table(spark, sf, "lang_samples"))).select("chunk_id", "new_text", "header")
+
+
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     from lamplight.llm.tokenizer import with_token_ids
 
@@ -75,5 +94,5 @@ def p7_forms(spark: SparkSession, sf: str) -> DataFrame:
     return with_form(_texts(spark, sf), "text", "form").select("tbl", "id", "form")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_files, p1_stretches, p7_found, p7_forms, p8_ids, p8_counts, p9_windows, p10_found, p10_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_files, p1_stretches, p2_found, p2_new_text, p7_found, p7_forms, p8_ids, p8_counts, p9_windows, p10_found, p10_pieces)}
 SQL: dict[str, str] = {}
