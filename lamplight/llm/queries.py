@@ -82,6 +82,17 @@ def _texts(spark: SparkSession, sf: str) -> DataFrame:
     return files.unionByName(table(spark, sf, "chunks").select(F.lit("chunks").alias("tbl"), "id", F.col("content").alias("text")))
 
 
+def p6_restored(spark: SparkSession, sf: str) -> DataFrame:
+    from lamplight.llm.encoding import damaged_rows, learn
+
+    rows = _texts(spark, sf)
+    return damaged_rows(rows, learn(rows))
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p6_restored(spark, sf).select("tbl", "id")
+
+
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     from lamplight.llm.lookalike import lookalike_pairs
 
@@ -94,5 +105,5 @@ def p7_forms(spark: SparkSession, sf: str) -> DataFrame:
     return with_form(_texts(spark, sf), "text", "form").select("tbl", "id", "form")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_files, p1_stretches, p2_found, p2_new_text, p7_found, p7_forms, p8_ids, p8_counts, p9_windows, p10_found, p10_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_files, p1_stretches, p2_found, p2_new_text, p6_found, p6_restored, p7_found, p7_forms, p8_ids, p8_counts, p9_windows, p10_found, p10_pieces)}
 SQL: dict[str, str] = {}
