@@ -52,13 +52,22 @@ def cut(df: DataFrame) -> DataFrame:
 BROADCAST_KEYS = 2_000_000
 
 
+def _by_keys(df: DataFrame, keys: DataFrame, on: str, how: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    keys = keys.select(on).distinct()
+    few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    return df.join(F.broadcast(keys) if few else keys, on, how)
+
+
 def semi_join(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     """Rows of df whose key is among keys: broadcast behind a count of the keys, else a shuffle.
 
-    keys has one column named on; repeated and null keys do no harm.
+    keys has a column named on; repeated and null keys do no harm.
     """
-    from pyspark.sql import functions as F
+    return _by_keys(df, keys, on, "left_semi")
 
-    keys = keys.select(on).distinct()
-    few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    return df.join(F.broadcast(keys) if few else keys, on, "left_semi")
+
+def anti_join(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """Rows of df whose key is not among keys, null keys too; as semi_join otherwise."""
+    return _by_keys(df, keys, on, "left_anti")
