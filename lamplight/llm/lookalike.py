@@ -12,12 +12,12 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lamplight.session import cut
+
 # Letters of one shape, as Latin Cyrillic Greek; - where a script has none.
 SHAPES = """
 a а α
@@ -157,20 +157,10 @@ def with_form(df: DataFrame, text: str, out: str = "form") -> DataFrame:
 
 
 def forms_of(rows: DataFrame) -> DataFrame:
-    """(tbl, id, form key, text key) of rows (tbl, id, text): 128-bit keys, read by Arrow."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict = {}
-        for b in batches:
-            made = pa.array([canonical(t, known) for t in b.column(2).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([*b.columns, made], names=["tbl", "id", "text", "form"])
-
-    rows = rows.filter(F.col("text").isNotNull())
-    touched = F.col("text").rlike(TOUCHED)
-    plain = rows.filter(~touched).withColumn("form", F.col("text"))
-    changed = rows.filter(touched).mapInArrow(run, "tbl string, id long, text string, form string")
+    """(tbl, id, form key, text key) of rows (tbl, id, text): 128-bit keys."""
+    made = with_form(rows.filter(F.col("text").isNotNull()), "text", "form_text")
     key = lambda c: F.unhex(F.md5(c))
-    return plain.unionByName(changed).select("tbl", "id", key("form").alias("form"), key("text").alias("variant"))
+    return made.select("tbl", "id", key("form_text").alias("form"), key("text").alias("variant"))
 
 
 def lookalike_pairs(rows: DataFrame) -> DataFrame:
@@ -180,7 +170,7 @@ def lookalike_pairs(rows: DataFrame) -> DataFrame:
     are never compared: forms with a single text leave after a partial aggregation, and pairs
     are made between the distinct texts of a form before their rows are joined on.
     """
-    keys = forms_of(rows)
+    keys = cut(forms_of(rows))  # a few bytes a row, read several times
     several = keys.groupBy("tbl", "form").agg(F.min("variant").alias("lo"), F.max("variant").alias("hi")).filter("lo != hi").select("tbl", "form")
     members = keys.join(several, ["tbl", "form"], "left_semi").distinct()
     texts = members.select("tbl", "form", "variant").distinct()
