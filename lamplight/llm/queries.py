@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamplight.session import semi_join, table
+from lamplight.session import anti_join, semi_join, table
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -82,6 +82,22 @@ def _texts(spark: SparkSession, sf: str) -> DataFrame:
     return files.unionByName(table(spark, sf, "chunks").select(F.lit("chunks").alias("tbl"), "id", F.col("content").alias("text")))
 
 
+def _repair(spark: SparkSession, sf: str):
+    from lamplight.llm.scans import repair
+
+    scanned = table(spark, sf, "files").filter("ocr_used = 1").select(F.col("id").alias("file_id"))
+    chunks = table(spark, sf, "chunks").select(F.col("id").alias("chunk_id"), "file_id", F.col("chunk_index").alias("page"), "content")
+    return repair(semi_join(chunks, scanned, "file_id"), anti_join(chunks, scanned, "file_id"), table(spark, sf, "lang_samples"))
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _repair(spark, sf).found()
+
+
+def p5_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
+    return _repair(spark, sf).paragraphs()
+
+
 def p6_restored(spark: SparkSession, sf: str) -> DataFrame:
     from lamplight.llm.encoding import damaged_rows, learn
 
@@ -105,5 +121,5 @@ def p7_forms(spark: SparkSession, sf: str) -> DataFrame:
     return with_form(_texts(spark, sf), "text", "form").select("tbl", "id", "form")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_files, p1_stretches, p2_found, p2_new_text, p6_found, p6_restored, p7_found, p7_forms, p8_ids, p8_counts, p9_windows, p10_found, p10_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_files, p1_stretches, p2_found, p2_new_text, p5_found, p5_paragraphs, p6_found, p6_restored, p7_found, p7_forms, p8_ids, p8_counts, p9_windows, p10_found, p10_pieces)}
 SQL: dict[str, str] = {}
