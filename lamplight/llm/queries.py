@@ -82,6 +82,21 @@ def _texts(spark: SparkSession, sf: str) -> DataFrame:
     return files.unionByName(table(spark, sf, "chunks").select(F.lit("chunks").alias("tbl"), "id", F.col("content").alias("text")))
 
 
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    from lamplight.llm.neighbours import similar_pairs, usable
+
+    pairs = similar_pairs(usable(table(spark, sf, "chunks")))
+    return pairs.select(F.col("a").alias("chunk_id_a"), F.col("b").alias("chunk_id_b"))
+
+
+def p4_knn(spark: SparkSession, sf: str) -> DataFrame:
+    """The query set of searches: every row whose id is divisible by 100, against all rows."""
+    from lamplight.llm.neighbours import nearest, usable
+
+    vectors = usable(table(spark, sf, "chunks"))
+    return nearest(vectors, vectors.filter("id % 100 = 0"))
+
+
 def _repair(spark: SparkSession, sf: str):
     from lamplight.llm.scans import repair
 
@@ -121,5 +136,5 @@ def p7_forms(spark: SparkSession, sf: str) -> DataFrame:
     return with_form(_texts(spark, sf), "text", "form").select("tbl", "id", "form")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_files, p1_stretches, p2_found, p2_new_text, p5_found, p5_paragraphs, p6_found, p6_restored, p7_found, p7_forms, p8_ids, p8_counts, p9_windows, p10_found, p10_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_files, p1_stretches, p2_found, p2_new_text, p4_found, p4_knn, p5_found, p5_paragraphs, p6_found, p6_restored, p7_found, p7_forms, p8_ids, p8_counts, p9_windows, p10_found, p10_pieces)}
 SQL: dict[str, str] = {}
