@@ -98,8 +98,12 @@ def stem(word: str) -> str:
     return w.replace("Y", "y")
 
 
+def drop_marks(word: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFD", word) if not unicodedata.category(c).startswith("M"))
+
+
 def fold_word(word: str) -> str:
-    return "".join(c for c in unicodedata.normalize("NFD", word) if not unicodedata.category(c).startswith("M")).replace("đ", "d").replace("Đ", "D")
+    return drop_marks(word).replace("đ", "d").replace("Đ", "D")
 
 
 def segment(words: list[str], compounds: Collection[str], longest: int = 6) -> list[str]:

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import functools
-import sys
 import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Fixed values of language detection.
 VIETNAMESE = "ăâđêôơưáàảãạắằẳẵặấầẩẫậéèẻẽẹếềểễệíìỉĩịóòỏõọốồổỗộớờởỡợúùủũụứừửữựýỳỷỹỵ"
@@ -37,7 +37,7 @@ def words(c: Column | str) -> Column:
 def _fold_tables() -> tuple[str, str, str]:
     """Characters that fold to one character, what to, and a class of those that need Python."""
     one, to, rest = [], [], []
-    for k in range(0x80, sys.maxunicode + 1):
+    for k in range(0x80, 0x2FA20):
         if 0xD800 <= k < 0xE000 or 0xAC00 <= k < 0xD7A4:
             continue
         c = chr(k)
@@ -61,7 +61,7 @@ def _fold_tables() -> tuple[str, str, str]:
     return "".join(one), "".join(to), "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in spans) + "]"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _decomposed(s):
     return s.map(lambda t: None if t is None else "".join(x for x in unicodedata.normalize("NFD", t) if not unicodedata.category(x).startswith("M")))
 
@@ -89,7 +89,7 @@ def fts_tokens(c: Column | str) -> Column:
     return F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}_\p{Co}]+)"), 1)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfc(s):
     return s.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 

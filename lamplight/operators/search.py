@@ -69,8 +69,12 @@ def build_postings(docs: DataFrame, id: str = "id") -> tuple[DataFrame, DataFram
     """
     d = docs.select(F.col(id).alias("id"), _tokens(docs).alias("t"))
     lengths = d.select("id", F.size("t").alias("length"))
-    runs = F.array_distinct("t")
-    tf = F.transform(runs, lambda w: F.struct(w.alias("term"), F.size(F.filter("t", lambda x: x == w)).alias("tf")))
+    # runs of equal tokens in the sorted array
+    d = d.withColumn("s", F.array_sort("t")).withColumn("n", F.size("t"))
+    first = F.filter(F.sequence(F.lit(1), F.col("n")), lambda i: (i == 1) | (F.element_at("s", i) != F.element_at("s", F.greatest(i - 1, F.lit(1)))))
+    d = d.filter("n > 0").withColumn("at", first)
+    after = F.concat(F.slice("at", F.lit(2), F.size("at")), F.array(F.col("n") + 1))
+    tf = F.zip_with("at", after, lambda i, j: F.struct(F.element_at("s", i).alias("term"), (j - i).alias("tf")))
     return d.select("id", F.explode(tf).alias("p")).select("p.term", "id", "p.tf"), lengths
 
 
@@ -101,10 +105,10 @@ def snippet(content: Column | str, terms: list[str], tokens: int = 12) -> Column
     an ellipsis where text is left out. For the few winners of a search."""
     import re
 
-    from lamplight.functions.stemming import fold_word
+    from lamplight.functions.stemming import drop_marks
 
     wanted = frozenset(terms)
-    dropped = lambda w: fold_word(w.replace("đ", "").replace("Đ", "").lower()).replace("", "đ")
+    dropped = lambda w: drop_marks(w.lower())
 
     @F.pandas_udf("string")
     def cut(texts):
