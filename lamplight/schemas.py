@@ -8,23 +8,23 @@ from pyspark.sql import types as T
 
 SCHEMA_VERSION = 2
 
-DISCOVERED = T.StructType.fromDDL("path string, name string, ext string, dir string, drive string, size long, mtime double")
-FILES = T.StructType.fromDDL(
+DISCOVERED = "path string, name string, ext string, dir string, drive string, size long, mtime double"
+FILES = (
     "id long, path string, drive string, dir string, name string, ext string, size long, mtime double, lang string, method string, ocr_used int,"
     " pages long, chars long, sha1 string, indexed_at double, attempts long, last_attempt_at double, elapsed_ms long"
 )
-DOCUMENTS = T.StructType.fromDDL("file_id long, name string, path string, content string, tokens string")
-CHUNKS = T.StructType.fromDDL("id long, file_id long, chunk_index int, content string, embedding array<float>, dimensions int, model string, page_start int, page_end int")
-VISION = T.StructType.fromDDL("file_id long, caption string, tags array<struct<tag:string,score:float>>, objects array<struct<label:string,count:int,confidence:float>>, phash string, exif map<string,string>, quality struct<blur:double,luma:double,dark:double,bright:double>, mode string")
-FACES = T.StructType.fromDDL("file_id long, face_index int, x int, y int, w int, h int, quality float, embedding array<float>, model string, frame int")
-META = T.StructType.fromDDL("key string, value string")
-JOBS = T.StructType.fromDDL("id string, status string, envelope_json string, updated_at double")
+DOCUMENTS = "file_id long, name string, path string, content string, tokens string"
+CHUNKS = "id long, file_id long, chunk_index int, content string, embedding array<float>, dimensions int, model string, page_start int, page_end int"
+VISION = "file_id long, caption string, tags array<struct<tag:string,score:float>>, objects array<struct<label:string,count:int,confidence:float>>, phash string, exif map<string,string>, quality struct<blur:double,luma:double,dark:double,bright:double>, mode string"
+FACES = "file_id long, face_index int, x int, y int, w int, h int, quality float, embedding array<float>, model string, frame int"
+META = "key string, value string"
+JOBS = "id string, status string, envelope_json string, updated_at double"
 TABLES = {"files": FILES, "documents": DOCUMENTS, "chunks": CHUNKS, "vision": VISION, "faces": FACES}
 
 
-def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
+def conform(df: DataFrame, ddl: str) -> DataFrame:
     """df with exactly the schema's columns: missing ones are null, others are left out."""
-    have = set(df.columns)
+    have, schema = set(df.columns), T.StructType.fromDDL(ddl)
     return df.select(*(F.col(f.name).cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields))
 
 
