@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lamplight.functions import stemming, text, vectors
+from lamplight.functions import methods, stemming, text, vectors
 from lamplight.operators import chunking, incremental, jobs, resume, search, stats, vector_search, vision
 from lamplight.session import table
+from lamplight.streaming import operators as streams
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -456,3 +459,102 @@ def faces_first_n(spark: SparkSession, sf: str) -> DataFrame:
 def cap_evenly(spark: SparkSession, sf: str) -> DataFrame:
     g = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.array_sort(F.collect_list("l_linenumber")).alias("xs"))
     return g.select("k", vectors.cap_evenly(F.col("xs"), 4).alias("picked"))
+
+
+# ---- merging -----------------------------------------------------------------------------
+
+_RUN_SQL = "(" + _NEWEST_SQL.replace("SELECT n.path FROM", "SELECT n.path, n.size, n.mtime, 'text' AS method FROM") + ")"
+
+
+def _run(spark: SparkSession, sf: str) -> DataFrame:
+    """A run's results: every new or changed path, processed to text."""
+    todo = incremental.new_or_changed(table(spark, sf, "discovered"), incremental.stored_last(table(spark, sf, "files")))
+    return todo.select("path", "size", "mtime", F.lit("text").alias("method"))
+
+
+@query(f"SELECT coalesce(n.path, o.path) AS path, coalesce(n.method, o.method) AS method, n.path IS NOT NULL AS rewritten FROM {_STORED_SQL} o FULL JOIN {_RUN_SQL} n ON n.path = o.path")
+def upsert_merge(spark: SparkSession, sf: str) -> DataFrame:
+    old, new = _stored(spark, sf), _run(spark, sf)
+    kept = old.join(new.select("path"), "path", "left_anti").select("path", "method", F.lit(False).alias("rewritten"))
+    return kept.unionByName(new.select("path", "method", F.lit(True).alias("rewritten")))
+
+
+@query(
+    f"SELECT o.path, CASE WHEN n.path IS NULL THEN 'kept' WHEN n.size = o.size AND trunc(n.mtime) = trunc(o.mtime) THEN 'carried' ELSE 'dropped' END AS fate,"
+    f" CASE WHEN n.path IS NULL THEN o.attempts WHEN c.id IS NOT NULL THEN 0 ELSE o.attempts + 1 END AS attempts FROM {_STORED_SQL} o LEFT JOIN {_RUN_SQL} n ON n.path = o.path LEFT JOIN (SELECT DISTINCT file_id AS id FROM chunks) c ON c.id = o.id"
+)
+def carry_forward(spark: SparkSession, sf: str) -> DataFrame:
+    """What an upsert without vision results does with stored vision rows, and the attempts it writes."""
+    flags = resume.with_chunks(_stored(spark, sf), table(spark, sf, "chunks"))
+    new = _run(spark, sf).select("path", F.col("size").alias("s1"), F.col("mtime").alias("m1"), F.col("method").alias("method1"))
+    both = flags.join(new, "path", "left")
+    moved = methods.changed(F.col("s1"), F.col("m1"), F.col("size"), F.col("mtime"))
+    fate = F.when(F.col("s1").isNull(), "kept").when(~moved, "carried").otherwise("dropped")
+    tried = methods.next_attempts(methods.complete(F.col("method1"), F.col("has_chunks")), moved, F.col("attempts"))
+    return both.select("path", fate.alias("fate"), F.when(F.col("s1").isNull(), F.col("attempts")).otherwise(tried).cast("long").alias("attempts"))
+
+
+# ---- general relational coverage ---------------------------------------------------------
+
+
+def _sql(name: str, tables: str, spark_sql: str, duck: str | None = None) -> None:
+    """A query both engines read as it stands; tables are views of the session under their own prefix."""
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        made = spark_sql
+        for t in sorted(tables.split(), key=len, reverse=True):
+            table(spark, sf, t).createOrReplaceTempView(f"lp_{t}")
+            made = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 lp_{t}", made)
+        return spark.sql(made)
+
+    run.__name__ = name
+    query(duck or spark_sql)(run)
+
+
+_sql(
+    "q1_pricing_summary", "lineitem",
+    "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, round(avg(l_discount), 6) AS avg_disc, count(*) AS n"
+    " FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02 00:00:00' GROUP BY l_returnflag, l_linestatus",
+)
+_sql(
+    "q3_shipping_priority", "customer orders lineitem",
+    "SELECT l_orderkey, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, o_orderdate FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey"
+    " WHERE c_mktsegment = 'BUILDING' AND o_orderdate < TIMESTAMP '1995-03-15 00:00:00' AND l_shipdate > TIMESTAMP '1995-03-15 00:00:00' GROUP BY l_orderkey, o_orderdate ORDER BY revenue DESC, l_orderkey LIMIT 10",
+)
+_sql(
+    "q5_local_suppliers", "region nation customer orders lineitem supplier",
+    "SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey"
+    " JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey AND s_nationkey = c_nationkey WHERE r_name = 'ASIA' GROUP BY n_name",
+)
+_sql(
+    "q6_revenue_change", "lineitem",
+    "SELECT round(sum(l_extendedprice * l_discount), 2) AS revenue FROM lineitem WHERE l_shipdate >= TIMESTAMP '1994-01-01 00:00:00' AND l_shipdate < TIMESTAMP '1995-01-01 00:00:00' AND l_discount BETWEEN 0.05 AND 0.07 AND l_quantity < 24",
+)
+_sql("orders_cube", "orders", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")
+_sql("orders_rollup", "orders", "SELECT o_orderpriority, o_orderstatus, count(*) AS n FROM orders GROUP BY ROLLUP (o_orderpriority, o_orderstatus)")
+_sql("customer_rank", "customer", "SELECT c_custkey, CAST(rank() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS INT) AS place, round(sum(c_acctbal) OVER (PARTITION BY c_nationkey ORDER BY c_custkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2) AS recent FROM customer")
+_sql("nations_without_suppliers", "nation supplier", "SELECT n_nationkey FROM nation EXCEPT SELECT s_nationkey FROM supplier")
+_sql("nations_on_both_sides", "customer supplier", "SELECT c_nationkey AS nationkey FROM customer INTERSECT SELECT s_nationkey FROM supplier")
+_sql("customers_without_orders", "customer orders", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+_sql(
+    "events_tumbling", "events",
+    "SELECT window.start AS start, event_type, count(*) AS n FROM events GROUP BY window(ts, '1 hour'), event_type",
+    "SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
+)
+
+
+@query(
+    "WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL '30 minutes' THEN 0 ELSE 1 END AS fresh FROM events),"
+    " g AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM e) SELECT user_id, min(ts) AS start, count(*) AS n FROM g GROUP BY user_id, s"
+)
+def events_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    return streams.sessions(table(spark, sf, "events"), "ts", "30 minutes", ["user_id"]).select("user_id", "start", "n")
+
+
+@query("SELECT p.event_id, max(v.ts) AS last_view FROM (SELECT * FROM events WHERE event_type = 'purchase') p LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') v ON v.user_id = p.user_id AND v.ts <= p.ts GROUP BY p.event_id")
+def events_as_of(spark: SparkSession, sf: str) -> DataFrame:
+    """The last view of the same user before each purchase, by one ordered pass a user instead of a range join."""
+    e = table(spark, sf, "events").filter("event_type IN ('purchase', 'view')")
+    w = Window.partitionBy("user_id").orderBy("ts").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = F.max(F.when(F.col("event_type") == "view", F.col("ts"))).over(w)
+    return e.withColumn("last_view", seen).filter("event_type = 'purchase'").select("event_id", "last_view")
