@@ -23,6 +23,11 @@ def as_column(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def trim_white(c: Column | str) -> Column:
     """Without white space of any kind at both ends."""
     return F.regexp_replace(as_column(c), WHITE, "")
@@ -85,7 +90,8 @@ def fold(c: Column | str, exact: bool = True) -> Column:
 
 def fts_tokens(c: Column | str) -> Column:
     """Full-text tokens: lower-cased, marks dropped, đ kept, _ a token character; empty for null."""
-    text = F.lower(strip_marks(F.coalesce(as_column(c), F.lit("")), exact=False))
+    c = F.coalesce(as_column(c), F.lit(""))
+    text = F.lower(F.when(c.rlike(r"[^\x00-\x7f]"), strip_marks(c, exact=False)).otherwise(c))
     return F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}_\p{Co}]+)"), 1)
 
 
@@ -112,26 +118,34 @@ def detect_lang(c: Column | str, english: Column | None = None, vietnamese: Colu
     English text is und. Null text is und.
     """
     sample = F.substring(F.coalesce(as_column(c), F.lit("")), 1, LANG_CHARS)
-    some = F.slice(words(sample), 1, LANG_WORDS)
-    chars, n = F.greatest(F.length(sample), F.lit(1)), F.greatest(F.size(some), F.lit(1))
-    marks = count_matches(F.lower(sample), f"[{VIETNAMESE}]")
-    hits = lambda known: F.lit(0) if known is None else F.size(F.filter(some, lambda w: F.array_contains(known, w)))
-    en, vi = hits(english), hits(vietnamese)
-    german = F.size(F.filter(some, lambda w: w.isin(*GERMAN_STOPWORDS)))
-    is_vi = (marks / chars > MARK_SHARE) | (vi / n > DICTIONARY_SHARE)
-    is_en = en / n > DICTIONARY_SHARE
-    is_de = ~is_vi & (sample.contains("ß") | (german / n > STOPWORD_SHARE))
-    return (
-        F.when(F.size(some) == 0, "und")
-        .when(count_matches(sample, r"[Ѐ-ԯ]") / chars > MARK_SHARE, "ru")
-        .when(is_vi & is_en, "mixed")
-        .when(is_vi, "vi")
-        .when(~is_en & ~is_de & (marks > 0), "vi")
-        .when(is_de, "de")
-        .when(is_en, "en")
-        .when((en >= vi) & (en > 0), "en")
-        .otherwise("und")
-    )
+    hits = lambda ws, known: F.lit(0) if known is None else F.size(F.filter(ws, lambda w: F.array_contains(known, w)))
+
+    def counted(t: Column) -> Column:
+        return F.struct(t.alias("t"), F.slice(words(t), 1, LANG_WORDS).alias("ws"), F.greatest(F.length(t), F.lit(1)).alias("chars"), count_matches(F.lower(t), f"[{VIETNAMESE}]").alias("marks"), count_matches(t, r"[\u0400-\u052f]").alias("cyrillic"))
+
+    def judged(x: Column) -> Column:
+        n = F.greatest(F.size(x["ws"]), F.lit(1))
+        german = F.size(F.filter(x["ws"], lambda w: w.isin(*GERMAN_STOPWORDS)))
+        return F.struct(F.size(x["ws"]).alias("n"), (x["cyrillic"] / x["chars"]).alias("ru"), x["marks"].alias("marks"), (x["marks"] / x["chars"]).alias("vm"), hits(x["ws"], english).alias("en"), hits(x["ws"], vietnamese).alias("vi"), (x["t"].contains("ß") | (german / n > STOPWORD_SHARE)).alias("de"))
+
+    def named(y: Column) -> Column:
+        n = F.greatest(y["n"], F.lit(1))
+        is_vi = (y["vm"] > MARK_SHARE) | (y["vi"] / n > DICTIONARY_SHARE)
+        is_en = y["en"] / n > DICTIONARY_SHARE
+        is_de = ~is_vi & y["de"]
+        return (
+            F.when(y["n"] == 0, "und")
+            .when(y["ru"] > MARK_SHARE, "ru")
+            .when(is_vi & is_en, "mixed")
+            .when(is_vi, "vi")
+            .when(~is_en & ~is_de & (y["marks"] > 0), "vi")
+            .when(is_de, "de")
+            .when(is_en, "en")
+            .when((y["en"] >= y["vi"]) & (y["en"] > 0), "en")
+            .otherwise("und")
+        )
+
+    return let(sample, lambda t: let(counted(t), lambda x: let(judged(x), named)))
 
 
 def strip_html(c: Column | str) -> Column:

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lamplight.functions.stemming import query_terms
-from lamplight.functions.text import fts_tokens
+from lamplight.functions.text import fts_tokens, let
+from lamplight.session import cut
 
 K1, B = 1.2, 0.75
 SEARCHED = ("name", "path", "content", "tokens")
@@ -29,9 +30,11 @@ def term_frequencies(docs: DataFrame, terms: list[str], id: str = "id") -> DataF
 
     One pass without shuffle; no postings are needed for a single query.
     """
-    d = docs.withColumn("__t", _tokens(docs))
-    count = lambda t: F.size(F.filter("__t", lambda x: x == t))
-    return d.select(F.col(id).alias("id"), F.size("__t").alias("length"), F.array(*(count(t) for t in terms)).alias("f") if terms else F.array().cast("array<int>").alias("f"))
+    of = lambda ts, w: F.size(F.filter(ts, lambda x: x == w))
+    count = lambda ts: F.array(*(of(ts, w) for w in terms)) if terms else F.array().cast("array<int>")
+    made = let(_tokens(docs), lambda ts: F.struct(F.size(ts).alias("length"), count(ts).alias("f")))
+    # the explode of one element keeps later expressions from computing the tokens again
+    return docs.select(F.col(id).alias("id"), F.explode(F.array(made)).alias("m")).select("id", "m.length", "m.f")
 
 
 def bm25_score(f: Column, length: Column, idf: list[float], mean: float) -> Column:
@@ -48,12 +51,14 @@ def bm25(docs: DataFrame, terms: list[str], id: str = "id", k: int = 20) -> Data
 
     idf is floored at 1e-6 for terms in more than half of the documents. Null columns count as
     empty; no terms and no documents give no rows. The first pass brings four numbers and one
-    count a term to the driver; the second keeps k rows a task.
+    count a term to the driver; the second, over what the first wrote, keeps k rows a task.
     """
     import math
 
     tf = term_frequencies(docs, terms, id)
-    if not terms:
+    if terms:
+        tf = cut(tf)  # a few numbers a document, read twice
+    else:
         return tf.select("id", F.lit(0.0).alias("score")).limit(0)
     n, mean, *df = tf.agg(F.count("*"), F.avg("length"), *(F.count_if(F.col("f")[i] > 0) for i in range(len(terms)))).first()
     idf = [x if (x := math.log((n - d + 0.5) / (d + 0.5))) > 0 else 1e-6 for d in df] if n else [0.0] * len(terms)
@@ -67,15 +72,18 @@ def build_postings(docs: DataFrame, id: str = "id") -> tuple[DataFrame, DataFram
     Frequencies are counted within a document before anything is shuffled; write the first
     bucketed or sorted by term, so that a query reads only its terms.
     """
-    d = docs.select(F.col(id).alias("id"), _tokens(docs).alias("t"))
-    lengths = d.select("id", F.size("t").alias("length"))
-    # runs of equal tokens in the sorted array
-    d = d.withColumn("s", F.array_sort("t")).withColumn("n", F.size("t"))
-    first = F.filter(F.sequence(F.lit(1), F.col("n")), lambda i: (i == 1) | (F.element_at("s", i) != F.element_at("s", F.greatest(i - 1, F.lit(1)))))
-    d = d.filter("n > 0").withColumn("at", first)
-    after = F.concat(F.slice("at", F.lit(2), F.size("at")), F.array(F.col("n") + 1))
-    tf = F.zip_with("at", after, lambda i, j: F.struct(F.element_at("s", i).alias("term"), (j - i).alias("tf")))
-    return d.select("id", F.explode(tf).alias("p")).select("p.term", "id", "p.tf"), lengths
+    d = docs.select(F.col(id).alias("id"), F.array_sort(_tokens(docs)).alias("s"))
+
+    def runs(s: Column) -> Column:
+        """(term, tf) of the runs of equal tokens in a sorted array."""
+        n = F.size(s)
+        first = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: (i == 1) | (F.element_at(s, i) != F.element_at(s, F.greatest(i - 1, F.lit(1)))))
+        pair = lambda i, j: F.struct(F.element_at(s, i).alias("term"), (j - i).alias("tf"))
+        made = let(first, lambda at: F.zip_with(at, F.concat(F.slice(at, F.lit(2), F.size(at)), F.array(n + 1)), pair))
+        return F.when(n > 0, made)
+
+    both = cut(d.select("id", F.explode(F.array(let(F.col("s"), lambda s: F.struct(F.size(s).alias("length"), runs(s).alias("p"))))).alias("m")))
+    return both.select("id", F.explode("m.p").alias("p")).select("p.term", "id", "p.tf"), both.select("id", "m.length")
 
 
 def search_postings(postings: DataFrame, lengths: DataFrame, queries: list[tuple[str, list[str]]], k: int = 20) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lamplight.functions import methods, stemming, text, vectors
 from lamplight.operators import chunking, incremental, jobs, resume, search, stats, vector_search, vision
-from lamplight.session import table
+from lamplight.session import spread, table
 from lamplight.streaming import operators as streams
 
 QUERIES: dict = {}
@@ -53,7 +53,7 @@ _DOC_PATH = "source || '/' || coalesce(name, 'doc_' || doc_id)"
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
     """documents as a corpus: id, name, dir, path, content."""
     name = F.coalesce("name", F.concat(F.lit("doc_"), F.col("doc_id").cast("string")))
-    d = table(spark, sf, "documents")
+    d = spread(table(spark, sf, "documents").select("doc_id", "name", "source", "text", "lang", "method", "ext", "ocr_used"))
     return d.select(F.col("doc_id").alias("id"), F.col("name"), F.col("source").alias("dir"), F.concat_ws("/", "source", name).alias("path"), F.col("text").alias("content"), "lang", "method", "ext", "ocr_used")
 
 
@@ -98,7 +98,7 @@ WITH s AS (SELECT doc_id, substr(coalesce(text, ''), 1, 2000) AS t FROM document
 
 @query(_LANG_SQL + "SELECT doc_id, detected FROM r")
 def detect_lang(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", text.detect_lang("text").alias("detected"))
+    return spread(table(spark, sf, "documents").select("doc_id", F.substring("text", 1, text.LANG_CHARS).alias("text"))).select("doc_id", text.detect_lang("text").alias("detected"))
 
 
 @query(_LANG_SQL + "SELECT detected, count(*) AS n FROM r GROUP BY detected")
