@@ -76,14 +76,15 @@ def _chain(e: BaseException | None) -> Iterator[BaseException]:
         e = e.__cause__ or e.__context__
 
 
-def decode(raw: bytes, most: int) -> str:
-    """UTF-8 or UTF-16 by mark, UTF-8 if valid, else Windows-1252; at most so many characters."""
+def decode(raw: bytes, most: int, cut: bool = False) -> str:
+    """UTF-8 or UTF-16 by mark, UTF-8 if valid, else Windows-1252; at most so many characters.
+    cut: the bytes are the beginning of more, and may end within a character."""
     if raw[:2] in (b"\xff\xfe", b"\xfe\xff"):
         return raw.decode("utf-16", errors="replace")[:most]
     try:
         return raw.decode("utf-8-sig")[:most]
     except UnicodeDecodeError as e:
-        if e.start >= len(raw) - 3:  # cut within a character
+        if cut and e.start >= len(raw) - 3:
             return raw[: e.start].decode("utf-8-sig")[:most]
         return raw.decode("cp1252", errors="replace")[:most]
 
@@ -225,7 +226,7 @@ def extract_bytes(raw: bytes, name: str, s: Settings, depth: int = 0, path: str
     if (len(raw) > s.max_bytes and not s.exhaustive) or ext in s.skip_exts:
         return Extracted()
     if ext in TEXT or ext in CODE:
-        text = decode(raw[: 4 * most], most)
+        text = decode(raw[: 4 * most], most, len(raw) > 4 * most)
         return Extracted(strip_tags(text) if s.strip_markup and ext in (".html", ".htm", ".xml") else text, "text")
     if ext in MAIL:
         return Extracted(mail(raw, most), "email")
