@@ -382,7 +382,7 @@ def classify_lines(pages: DataFrame, model: Model) -> DataFrame:
             x, where = [], []
             for rows, after in zip(out, b.column(4).to_pylist(), strict=True):
                 body = [r for r in rows if not r["furniture"]]
-                for r, nxt in zip(body, [*body[1:], None], strict=True):
+                for r, nxt in zip(body, [*body[1:], None], strict=False):
                     if r["text"].rstrip()[-1:] in HYPHENS:  # a break always shows a mark
                         x.append(pair_features(r["text"], nxt["text"] if nxt else after or "er"))
                         where.append(r)
