@@ -3,8 +3,9 @@
 Documents spread over shards by a hash of their id; a shard holds about ITEMS_PER_SHARD
 items whatever the corpus size, so no task grows with the corpus. Within a shard
 Karmarkar-Karp differencing merges partial partitions, the largest window of one with the
-smallest of the other, until one partition of near-equal windows is left. The number of
-windows starts at the least possible one and rises until no window exceeds the capacity.
+smallest of the other, until one partition of near-equal windows is left. Windows that then
+exceed the capacity exchange items with emptier ones. The number of windows starts at the
+least possible one and rises until none exceeds the capacity.
 """
 
 from __future__ import annotations
@@ -65,15 +66,44 @@ def difference(sizes: np.ndarray, k: int) -> np.ndarray:
     return top[:n]
 
 
+def relieve(sizes: np.ndarray, own: np.ndarray, k: int, capacity: int) -> np.ndarray | None:
+    """Exchange items between a window above the capacity and others until none is; None if stuck.
+
+    Each step takes the fullest window and makes the move or exchange that lowers it most without
+    putting the other window above the capacity.
+    """
+    own, load = own.copy(), np.bincount(own, sizes, k).astype(np.int64)
+    for _ in range(len(sizes)):
+        w = int(load.argmax())
+        if load[w] <= capacity:
+            return own
+        mine, rest = np.flatnonzero(own == w), np.flatnonzero(own != w)
+        room = capacity - load
+        shift = sizes[mine][:, None] - np.concatenate([sizes[rest], np.zeros(k, np.int64)])[None, :]
+        to = np.concatenate([own[rest], np.arange(k)])
+        fits = (shift > 0) & (shift <= room[to][None, :]) & (to != w)[None, :]
+        if not fits.any():
+            return None
+        enough = fits & (shift >= load[w] - capacity)
+        score = np.where(enough, -shift, -(1 << 40)) if enough.any() else np.where(fits, shift, -1)
+        i, j = np.unravel_index(int(score.argmax()), score.shape)
+        d, v = int(shift[i, j]), int(to[j])
+        own[mine[i]] = v
+        if j < len(rest):
+            own[rest[j]] = w
+        load[w] -= d
+        load[v] += d
+    return None
+
+
 def windows(sizes: np.ndarray, capacity: int) -> np.ndarray:
     """Window of each size (all within the capacity), in as few windows as differencing finds."""
     if len(sizes) == 0:
         return np.zeros(0, np.int64)
     k = max(int(-(-int(sizes.sum()) // capacity)), int((sizes * 2 > capacity).sum()))
     while True:
-        own = difference(sizes, k)
-        over = np.bincount(own, sizes).max() - capacity
-        if over <= 0:
+        own = relieve(sizes, difference(sizes, k), k, capacity)
+        if own is not None:
             return own
         k += max(1, k // 200)
 
