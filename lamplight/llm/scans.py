@@ -198,6 +198,8 @@ def compose(samples: list[str], rng: np.random.Generator) -> list[tuple[list[str
             lines.append(row)
         if rng.random() < 0.12:
             lines += ["", *(pick(["445", "3,500", "1,315", "1783.90"]) for _ in range(2))]
+        if rng.random() < 0.15:  # a short paragraph at the end is text
+            lines += ["", " ".join(pick(samples).split()[-int(rng.integers(1, 6)) :])]
         if rng.random() < 0.8:
             lines.append("")
         if head and foot:
@@ -272,7 +274,7 @@ def train(samples: list[str], vocabulary: list[tuple[str, int]], seed: int = 11)
                     fx.append(row)
                     fy.append(k in bad)
             body = [k for k, x in enumerate(lines) if x.strip() and k not in bad]
-            for k, after in zip(body, [*body[1:], None], strict=True):
+            for k, after in zip(body, [*body[1:], None], strict=False):
                 if after is not None or k in breaks:
                     px.append(pair_features(lines[k], lines[after] if after is not None else "er"))
                     py.append(k in breaks)
