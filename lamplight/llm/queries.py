@@ -137,4 +137,13 @@ def p7_forms(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_files, p1_stretches, p2_found, p2_new_text, p4_found, p4_knn, p5_found, p5_paragraphs, p6_found, p6_restored, p7_found, p7_forms, p8_ids, p8_counts, p9_windows, p10_found, p10_pieces)}
-SQL: dict[str, str] = {}
+#: Brute force where SQL can express a query and is quick enough over whole tables.
+SQL: dict[str, str] = {
+    "p4_found": """
+WITH v AS (SELECT id, coalesce(model, '') AS model, embedding FROM chunks WHERE embedding IS NOT NULL AND len(embedding) = dimensions AND len(embedding) > 0
+             AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+     s AS (SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.embedding, b.embedding) AS c FROM v a JOIN v b ON a.model = b.model AND len(a.embedding) = len(b.embedding) AND a.id <> b.id),
+     r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS k FROM s)
+SELECT DISTINCT least(a, b) AS chunk_id_a, greatest(a, b) AS chunk_id_b FROM r WHERE k <= 10 AND c >= 0.9
+""",
+}
