@@ -102,10 +102,6 @@ def tokens_of(text: str) -> list[str]:
     return [t for w in _TOKEN.findall(text) if (t := w.strip(_EDGE))]
 
 
-def skeleton(token: str) -> str:
-    return re.sub(r"[^a-z]+", "", token.lower())
-
-
 def runs(token: str) -> tuple[str, list[str]]:
     """ASCII letters of a token and the non-ASCII runs between them."""
     parts = re.split(r"([\x00-\x7f])", token)
