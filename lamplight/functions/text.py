@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import unicodedata
+from collections.abc import Collection
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -111,22 +112,38 @@ def count_matches(c: Column, pattern: str) -> Column:
     return F.regexp_count(c, F.lit(pattern))
 
 
-def detect_lang(c: Column | str, english: Column | None = None, vietnamese: Column | None = None) -> Column:
+def known_words(ws: Column, known: Collection[str]) -> Column:
+    """How many of the words a dictionary of any size has; the dictionary travels with the function."""
+    known = frozenset(known)
+
+    @F.pandas_udf("int")
+    def run(s):
+        return s.map(lambda a: 0 if a is None else sum(w in known for w in a)).astype("int32")
+
+    return run(ws)
+
+
+def detect_lang(c: Column | str, english: Column | Collection[str] | None = None, vietnamese: Column | Collection[str] | None = None) -> Column:
     """und, ru, mixed, vi, de or en by rules over the first 2,000 characters and 300 words.
 
-    english and vietnamese: arrays of known words, where dictionaries exist; without them
-    English text is und. Null text is und.
+    english and vietnamese: known words, where dictionaries exist, as array columns (small ones)
+    or as collections of any size; without them English text is und. Null text is und.
     """
     sample = F.substring(F.coalesce(as_column(c), F.lit("")), 1, LANG_CHARS)
-    hits = lambda ws, known: F.lit(0) if known is None else F.size(F.filter(ws, lambda w: F.array_contains(known, w)))
+    # collections are looked up in Python, which no lambda may call: before the rules
+    counted_before = [known_words(F.slice(words(sample), 1, LANG_WORDS), k) if k is not None and not isinstance(k, Column) else F.lit(0) for k in (english, vietnamese)]
+
+    def hits(ws: Column, known: Column | Collection[str] | None, before: Column) -> Column:
+        return F.size(F.filter(ws, lambda w: F.array_contains(known, w))) if isinstance(known, Column) else before
 
-    def counted(t: Column) -> Column:
-        return F.struct(t.alias("t"), F.slice(words(t), 1, LANG_WORDS).alias("ws"), F.greatest(F.length(t), F.lit(1)).alias("chars"), count_matches(F.lower(t), f"[{VIETNAMESE}]").alias("marks"), count_matches(t, r"[\u0400-\u052f]").alias("cyrillic"))
+    def counted(v: Column) -> Column:
+        t = v["t"]
+        return F.struct(t.alias("t"), v["en"].alias("en"), v["vi"].alias("vi"), F.slice(words(t), 1, LANG_WORDS).alias("ws"), F.greatest(F.length(t), F.lit(1)).alias("chars"), count_matches(F.lower(t), f"[{VIETNAMESE}]").alias("marks"), count_matches(t, r"[\u0400-\u052f]").alias("cyrillic"))
 
     def judged(x: Column) -> Column:
         n = F.greatest(F.size(x["ws"]), F.lit(1))
         german = F.size(F.filter(x["ws"], lambda w: w.isin(*GERMAN_STOPWORDS)))
-        return F.struct(F.size(x["ws"]).alias("n"), (x["cyrillic"] / x["chars"]).alias("ru"), x["marks"].alias("marks"), (x["marks"] / x["chars"]).alias("vm"), hits(x["ws"], english).alias("en"), hits(x["ws"], vietnamese).alias("vi"), (x["t"].contains("ß") | (german / n > STOPWORD_SHARE)).alias("de"))
+        return F.struct(F.size(x["ws"]).alias("n"), (x["cyrillic"] / x["chars"]).alias("ru"), x["marks"].alias("marks"), (x["marks"] / x["chars"]).alias("vm"), hits(x["ws"], english, x["en"]).alias("en"), hits(x["ws"], vietnamese, x["vi"]).alias("vi"), (x["t"].contains("ß") | (german / n > STOPWORD_SHARE)).alias("de"))
 
     def named(y: Column) -> Column:
         n = F.greatest(y["n"], F.lit(1))
@@ -145,7 +162,8 @@ def detect_lang(c: Column | str, english: Column | None = None, vietnamese: Colu
             .otherwise("und")
         )
 
-    return let(sample, lambda t: let(counted(t), lambda x: let(judged(x), named)))
+    given = F.struct(sample.alias("t"), counted_before[0].alias("en"), counted_before[1].alias("vi"))
+    return let(given, lambda v: let(counted(v), lambda x: let(judged(x), named)))
 
 
 def strip_html(c: Column | str) -> Column:

@@ -42,9 +42,8 @@ def processed(extracted: DataFrame, walked: DataFrame, model: embedding.Embedder
     words = lexicons.dictionary(os.path.join(s.lexicons, "dict", "en_US.dic")) if s.lexicons else set()
     vi = (lexicons.dictionary(os.path.join(s.lexicons, "dict", "vi_VN.dic")) | set(lexicons.lines(os.path.join(s.lexicons, "dict", "vi_words.txt")))) if s.lexicons else set()
     short = lexicons.abbreviations(*(os.path.join(s.lexicons, f"abbreviations_{x}.txt") for x in ("en", "vi"))) if s.lexicons else {}
-    known = lambda ws: F.array(*(F.lit(w) for w in sorted(ws))) if ws and len(ws) <= 5000 else None
     r = extracted.join(walked, "path").withColumn("content", text.nfc(text.fallback_content("text", "name", "dir")))
-    r = r.withColumn("lang", text.detect_lang("content", known(words), known(vi)))
+    r = r.withColumn("lang", text.detect_lang("content", words or None, vi or None))
     tokens = text.words(text.token_source("content", "name", "path"))
     r = r.withColumn("tokens", stemming.enrich(tokens, F.col("lang"), vi, short))
     # pages come as one text with form feeds, so that windows know them

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lamplight.operators import chunking, search
 from lamplight.operators.corpus import Corpus
 from lamplight.operators.embedding import HashingEmbedder
-from lamplight.plans.indexer import index, reports
+from lamplight.plans.indexer import index, processed, reports
 from lamplight.settings import InvalidSetting, Runtime, Settings, merged
 from lamplight.sources import extract, lexicons
 
@@ -172,3 +172,19 @@ def test_settings():
         r.apply({"extract": 4, "embed": "x"})
     assert r.stages["extract"] == 8 and r.apply({"extract": 400})["extract"] == 64
     assert Settings(headroom=50).cores(8) == 4
+
+@pytest.mark.parametrize("size", [10, 60_000])
+def test_index_knows_dictionaries_of_any_size(spark, tmp_path, size):
+    """Ending a word list at some size turned English files into und."""
+    (tmp_path / "lex/dict").mkdir(parents=True)
+    (tmp_path / "lex/dict/en_US.dic").write_text("\n".join([str(size), "plain/S", "words", "reports", *(f"filler{k}" for k in range(size))]))
+    (tmp_path / "lex/dict/vi_VN.dic").write_text("\n".join(["ngan", "hang", "bao", "cao", *(f"vfiller{k}" for k in range(size))]))
+    (tmp_path / "in").mkdir()
+    for name, x in {"en": "plain words reports", "mixed": "plain words ngan hang", "vi": "bao cao ngan hang", "und": "zzz qqq xxx"}.items():
+        (tmp_path / f"in/{name}.txt").write_text(x)
+    s = Settings(lexicons=str(tmp_path / "lex"))
+    walked = spark.createDataFrame([(str(p),) for p in sorted((tmp_path / "in").iterdir())], "path string")
+    walked = walked.selectExpr("path", "'' drive", "'/in' dir", "element_at(split(path, '/'), -1) name", "'.txt' ext", "1L size", "0D mtime")
+    got = {r.name: r for r in processed(extract.extract_files(walked, s), walked, HashingEmbedder(), s).select("name", "lang", "tokens").collect()}
+    assert {k: r.lang for k, r in got.items()} == {"en.txt": "en", "mixed.txt": "mixed", "vi.txt": "vi", "und.txt": "und"}
+    assert "report" in got["en.txt"].tokens and "report" not in got["vi.txt"].tokens
