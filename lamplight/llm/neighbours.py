@@ -26,6 +26,9 @@ SAMPLE = 100_000
 #: Nearest cells a query visits and width of the beam, for the k most similar and for near pairs;
 #: links of a node.
 PROBES, BEAM, PAIR_PROBES, PAIR_BEAM, LINKS = 16, 48, 3, 20, 20
+#: Where there are more cells than PROBES: share of the true k most similar that the visited cells
+#: hold, and queries it is measured with, by exact search of all rows.
+REACHED, TRIALS = 0.98, 256
 #: Cosines in shards come from half-precision copies; candidates this close below count.
 SLACK = 0.004
 
@@ -245,8 +248,44 @@ def _prepared(vectors: DataFrame) -> DataFrame:
     return vectors.select("id", "model", "width", "vector", copy).mapInArrow(run, "id long, model string, width int, copy binary, code binary")
 
 
-def _cells(base: DataFrame, queries: DataFrame, cell: int, probes: int) -> tuple[DataFrame, DataFrame]:
-    """base with cell; queries with the array of the cells they visit, nearest first."""
+def _measured(homed: DataFrame, queries: DataFrame, c: np.ndarray, k: int, probes: int) -> int:
+    """Nearest cells that hold REACHED of the true k most similar of TRIALS queries; at least probes.
+
+    homed and queries: rows of one model and width. The true ones are found exactly, among all rows.
+    """
+    some = queries.orderBy(F.xxhash64("id"), "id").limit(TRIALS).select("id", "code").collect()
+    if not some:
+        return probes
+    width = c.shape[1]
+    q, who = _unpacked([r.code for r in some], width), np.array([r.id for r in some])
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sims, cells = np.full((len(q), k), -2, np.float32), np.full((len(q), k), -1, np.int32)
+        for b in batches:
+            ids, codes, own = b.column(0).to_numpy(), b.column(1).to_pylist(), b.column(2).to_numpy()
+            for i in range(0, len(ids), 4096):
+                s = q @ _unpacked(codes[i : i + 4096], width).T
+                s[who[:, None] == ids[None, i : i + 4096]] = -2
+                s = np.concatenate([sims, s], axis=1)
+                x = np.concatenate([cells, np.broadcast_to(own[i : i + 4096], (len(q), s.shape[1] - k))], axis=1)
+                top = np.argpartition(-s, k - 1, axis=1)[:, :k]
+                sims, cells = np.take_along_axis(s, top, 1), np.take_along_axis(x, top, 1)
+        row, col = np.nonzero(sims > -2)
+        yield pa.RecordBatch.from_arrays([pa.array(row, pa.int32()), pa.array(sims[row, col], pa.float32()), pa.array(cells[row, col], pa.int32())], names=["q", "sim", "cell"])
+
+    found = homed.select("id", "code", "cell").mapInArrow(best, "q int, sim float, cell int")
+    w = Window.partitionBy("q").orderBy(F.desc("sim"), "cell")
+    true = found.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k).select("q", "cell").collect()  # TRIALS times k
+    place = np.argsort(np.argsort(-(q @ c.T), axis=1, kind="stable"), axis=1)
+    ranks = np.sort([place[r.q, r.cell] for r in true])
+    return max(probes, int(ranks[math.ceil(REACHED * len(ranks)) - 1]) + 1) if len(ranks) else probes
+
+
+def _cells(base: DataFrame, queries: DataFrame, cell: int, probes: int, measured: int = 0) -> tuple[DataFrame, DataFrame]:
+    """base with cell; queries with the array of the cells they visit, nearest first.
+
+    measured: where there are more cells than probes, visit as many as that number of most similar needs.
+    """
     spark = base.sparkSession
     sizes = {(r.model, r.width): r.n for r in base.groupBy("model", "width").agg(F.count("*").alias("n")).collect()}  # a row a model
     fitted = {}
@@ -259,7 +298,7 @@ def _cells(base: DataFrame, queries: DataFrame, cell: int, probes: int) -> tuple
             fitted[model, width] = centroids(x, k) if len(x) >= k else x
     shared = spark.sparkContext.broadcast(fitted)  # n / CELL centroids
 
-    def assign(many: int):
+    def assign(many: dict[tuple, int], least: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 models, width, codes = b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()
@@ -274,7 +313,7 @@ def _cells(base: DataFrame, queries: DataFrame, cell: int, probes: int) -> tuple
                     for i in range(0, len(rows), 4096):
                         part = rows[i : i + 4096]
                         s = _unpacked([codes[k] for k in part], key[1]) @ c.T
-                        m = min(many, len(c))
+                        m = min(many.get(key, least), len(c))
                         top = np.argpartition(-s, m - 1, axis=1)[:, :m]
                         top = np.take_along_axis(top, np.argsort(-np.take_along_axis(s, top, 1), axis=1, kind="stable"), 1)
                         for k, t in zip(part, top.tolist(), strict=True):
@@ -284,8 +323,14 @@ def _cells(base: DataFrame, queries: DataFrame, cell: int, probes: int) -> tuple
         return run
 
     schema = "id long, model string, width int, code binary, cells array<int>"
-    of = lambda df, many: df.select("id", "model", "width", "code").mapInArrow(assign(many), schema)
-    return of(base, 1).withColumn("cell", F.element_at("cells", 1)).drop("cells"), of(queries, probes)
+    of = lambda df, many, least: df.select("id", "model", "width", "code").mapInArrow(assign(many, least), schema)
+    homed = cut(of(base, {}, 1).withColumn("cell", F.element_at("cells", 1)).drop("cells"))
+    many = {}
+    for (model, width), c in fitted.items():
+        if measured and len(c) > probes:
+            one = (F.col("model") == model) & (F.col("width") == width)
+            many[model, width] = _measured(homed.filter(one), queries.filter(one), c, measured, probes)
+    return homed, of(queries, many, probes)
 
 
 def _graphs(base: DataFrame) -> DataFrame:
@@ -305,13 +350,13 @@ def _graphs(base: DataFrame) -> DataFrame:
     return salted.select("model", "width", "cell", "salt", "id", "code").groupBy("model", "width", "cell", "salt").applyInPandas(build, schema)
 
 
-def candidates(base: DataFrame, queries: DataFrame, k: int, probes: int = PROBES, least: float = -2.0, cell: int = CELL, beam: int = BEAM) -> DataFrame:
+def candidates(base: DataFrame, queries: DataFrame, k: int, probes: int = PROBES, least: float = -2.0, cell: int = CELL, beam: int = BEAM, measured: bool = False) -> DataFrame:
     """(q, b, sim): up to k results of each query in each shard it visits, at least least; never itself.
 
-    base and queries: (id, model, width, code), one row an id.
+    base and queries: (id, model, width, code), one row an id. measured: probes is the least, and
+    follows the cells as far as the k most similar of some queries lie (REACHED).
     """
-    homed, asked = _cells(base, queries, cell, probes)
-    homed = cut(homed)
+    homed, asked = _cells(base, queries, cell, probes, k if measured else 0)
     graphs = cut(_graphs(homed))
     asked = cut(asked.select("id", "model", "width", "code", F.explode("cells").alias("cell")))
     key = ["model", "width", "cell"]
@@ -357,11 +402,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, probes: int = P
     """(id, rank, neighbour, cosine): the k most similar vectors of each query id, ties to the lower id.
 
     vectors as of usable(), queries a frame of ids among them; repeated query ids count once. Fewer
-    than k others of the model and width give fewer rows.
+    than k others of the model and width give fewer rows. A query visits at least probes cells.
     """
     codes = cut(_prepared(vectors))
     asked = codes.join(queries.select("id").distinct(), "id", "left_semi")
-    found = candidates(codes, asked, k, probes, cell=cell, beam=beam)
+    found = candidates(codes, asked, k, probes, cell=cell, beam=beam, measured=True)
     w = Window.partitionBy("q").orderBy(F.desc("sim"), "b")
     some = found.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k + 5).select("q", "b")
     exact = _exact(some, vectors, "q", "b")

@@ -48,6 +48,18 @@ def test_pairs_equal_brute_force(spark):
     assert nb.similar_pairs(v.limit(0)).count() == 0
 
 
+def test_recall_holds_where_cells_far_exceed_probes(spark):
+    """A fixed number of probes searches a smaller share the more cells there are."""
+    x = np.random.default_rng(6).normal(size=(3000, 12))
+    v = nb.usable(spark.createDataFrame([(i, r.tolist(), 12, "m", 1) for i, r in enumerate(x)], ROWS))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u[:100] @ u.T
+    s[np.arange(100), np.arange(100)] = -2
+    true = {(q, int(b)) for q, near in enumerate(np.argsort(-s, axis=1)[:, :10]) for b in near}
+    got = {(r.id, r.neighbour) for r in nb.nearest(v, v.filter("id < 100"), cell=20).collect()}
+    assert len(got & true) / len(true) > 0.95
+
+
 def test_copies_give_few_pairs(spark):
     """A third of all rows are copies of one vector: linked, but not in all pairs."""
     rng = np.random.default_rng(5)
