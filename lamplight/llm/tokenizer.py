@@ -169,7 +169,7 @@ class Encoder(dict):
         import regex
 
         self.vocab, self.split = vocab, regex.compile(PATTERN).findall
-        self.wide = re.compile(r"\s  ").search
+        self.wide = re.compile(r" (?=\s)(?<=\s )").search  # a space within white space
         self.reset()
 
     def reset(self) -> None:
@@ -206,7 +206,7 @@ class Encoder(dict):
         for k, text in enumerate(texts):
             if text:
                 before = len(flat)
-                if text[-1] == " " or ("  " in text and wide(text)):
+                if text[-1] == " " or wide(text):
                     flat.extend(map(look, split(text)))
                 else:
                     first, *rest = text.split(" ")

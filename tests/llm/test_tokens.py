@@ -35,6 +35,14 @@ def test_any_text(public, text):
     assert ids.tolist() == public.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", ["a \u00a0 \u00a0 b", "a\u00a0 \u00a0b", "x\n \n \ny", "<td> \u00a0 \u00a0 \u00a0</td> c"])
+def test_spaces_within_other_white_space(public, text):
+    """Without two adjacent spaces such white space was cut at each of its spaces."""
+    enc = Encoder(vocabulary(default_path()))
+    want = public.encode(text, add_special_tokens=False).ids
+    assert enc.encode([text])[0].tolist() == want and enc.counts([text]).tolist() == [len(want)]
+
+
 def test_tiers():
     v = vocabulary(default_path())
     assert sorted(v.hash.slots.tolist()) == list(range(v.hash.n))
