@@ -58,6 +58,16 @@ W Ԝ -
 X Х Χ
 Y Ү Υ
 Z - Ζ
+- Г Γ
+- П Π
+- Ф Φ
+- Ѱ Ψ
+- Ѳ Θ
+- к κ
+- т τ
+- ф φ
+- ѱ ψ
+- є ε
 """
 # Other ways to write one of the letters above, or another letter.
 SAME = {"У": "Ү", "ү": "у", "Ӏ": "І", "ɑ": "a", "ɡ": "g", "ı": "i", "µ": "μ"}

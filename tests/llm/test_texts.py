@@ -135,6 +135,11 @@ def test_looks_different(a, b):
     assert lookalike.canonical(a) != lookalike.canonical(b)
 
 
+@pytest.mark.parametrize("a,b", [("Πетр", "Петр"), ("Γод", "Год"), ("Φонд", "Фонд"), ("κнига", "книга"), ("дoм τам", "дом там"), ("Γρаф Ψι", "Γραφ Ψι")])
+def test_greek_and_cyrillic_letters_without_a_latin_one(a, b):
+    assert lookalike.canonical(a) == lookalike.canonical(b) == lookalike.canonical(lookalike.canonical(a))
+
+
 def test_cyrillic_text_stays_cyrillic():
     t = "Это о ней, и с тобой рост"
     assert lookalike.canonical(t) == t
