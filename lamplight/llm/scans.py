@@ -26,8 +26,9 @@ from lamplight.session import cut
 TRAINING_FILES, TRAINING_WORDS = 260, 1500
 #: A word of clean text counts as known from so many occurrences.
 KNOWN = 2
-#: Rarest q-grams of an unknown word that are joined with all q-grams of known words.
-RARE_GRAMS, GRAM = 5, 3
+#: Length of q-grams, and the largest distance from an unknown word to a candidate. An edit damages
+#: at most GRAM of them, so GRAM times the distance and one more cannot all be damaged.
+GRAM, FAR = 3, 3
 #: Probability from which a classifier's answer is yes.
 YES = 0.5
 
@@ -443,9 +444,11 @@ def words_in_lines(classified: DataFrame) -> DataFrame:
 def corrections(words: DataFrame, known: DataFrame, model: Model) -> DataFrame:
     """(word, right): unknown words with the replacement the ranking chose.
 
-    known: (word, n) of clean text. The rarest q-grams of an unknown word meet those of known
-    words; a levenshtein bound in the join keeps near ones, and the best of them is taken if the
-    ranking says yes. A misread word that no known word explains is read back by its shape.
+    known: (word, n) of clean text. The rarest q-grams of an unknown word, as many as no admitted
+    distance can damage all of, meet those of known words; a levenshtein bound in the join keeps
+    near ones, and the best of them is taken if the ranking says yes. A word of too few q-grams
+    for that goes with all it has. A misread word that no known word explains is read back by its
+    shape.
     """
     known = known.filter(F.col("n") >= KNOWN)
     distinct = words.groupBy("word").agg(F.count("*").alias("here")).withColumn("low", F.lower("word"))
@@ -456,18 +459,18 @@ def corrections(words: DataFrame, known: DataFrame, model: Model) -> DataFrame:
     index = known.select(F.col("word").alias("cand"), "n", F.explode(grams(F.col("word"))).alias("gram"))
     spread = index.groupBy("gram").agg(F.count("*").alias("df"))
     asked = unknown.select("word", "low", "here", F.explode(grams(F.col("low"))).alias("gram")).join(spread, "gram")
-    rare = asked.groupBy("word", "low", "here").agg(F.slice(F.array_sort(F.collect_list(F.struct("df", "gram"))), 1, RARE_GRAMS).alias("g")).select("word", "low", "here", F.explode("g.gram").alias("gram"))
-    near = (F.abs(F.length("low") - F.length("cand")) <= 2) & (F.levenshtein("low", "cand", 3) >= 0) & (F.levenshtein("low", "cand", 3) * 2 <= F.length("low") + 1)
+    far = F.least(F.lit(FAR), F.floor((F.length("low") + 1) / 2)).cast("int")
+    rare = asked.groupBy("word", "low", "here").agg(F.slice(F.array_sort(F.collect_list(F.struct("df", "gram"))), F.lit(1), GRAM * far + 1).alias("g")).select("word", "low", "here", F.explode("g.gram").alias("gram"))
+    near = (F.abs(F.length("low") - F.length("cand")) <= 2) & (F.levenshtein("low", "cand", FAR) >= 0) & (F.levenshtein("low", "cand", FAR) * 2 <= F.length("low") + 1)
     pairs = rare.join(index, "gram").filter(near).groupBy("word", "here", "cand").agg(F.max("n").alias("n"))
     shared = words.sparkSession.sparkContext.broadcast(model)
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             w, h, c, n = (b.column(i).to_pylist() for i in range(4))
-            keep = [k for k in range(len(w)) if misreadings(w[k], c[k])]
-            x = [word_features(w[k], c[k], h[k], n[k], True) for k in keep]
+            x = [word_features(w[k], c[k], h[k], n[k], bool(misreadings(w[k], c[k]))) for k in range(len(w))]
             p = shared.value.words.predict(np.array(x, float)) if x else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([pa.array([w[k] for k in keep], pa.string()), pa.array([c[k] for k in keep], pa.string()), pa.array(p, pa.float64())], names=["word", "cand", "p"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(p, pa.float64())], names=["word", "cand", "p"])
 
     ranked = pairs.select("word", "here", "cand", "n").mapInArrow(rank, "word string, cand string, p double")
     best = ranked.groupBy("word").agg(F.max(F.struct("p", "cand")).alias("b")).filter(F.col("b.p") >= YES).select("word", F.col("b.cand").alias("right"))

@@ -114,6 +114,16 @@ def test_scans_of_nothing(repaired):
     assert scans.repair(p.limit(0), clean, samples).found().count() == 0
 
 
+@pytest.mark.parametrize("word", ["pcrfcct", "perfxct"])
+def test_candidates_of_damaged_rare_grams_and_unlisted_misreadings(spark, word):
+    """The damaged grams are rarer than the one that is left; x for e is in no table."""
+    yes = Trees().fit(np.random.default_rng(0).normal(size=(50, 16)), np.ones(50))
+    known = ["pcrfalongword", "longxrfccqword", "yacctzlongword", "fact", "pact", "tact", "perfect"]
+    known = spark.createDataFrame([(w, 5) for w in known], "word string, n long")
+    words = spark.createDataFrame([(1, 1, -1, 0, word)], "chunk_id long, line_no long, next_no long, cut int, word string")
+    assert [tuple(r) for r in scans.corrections(words, known, scans.Model(yes, yes, yes)).collect()] == [(word, "perfect")]
+
+
 def test_misreadings():
     assert scans.misreadings("rep0rt", "report") == 1 and scans.misreadings("tliiis", "thus") == 2 and scans.misreadings("report", "repost") == 0
     assert scans.fold("Gekrun0r Ho1ding") == scans.fold("Gekrunor Holding")
