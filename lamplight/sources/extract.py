@@ -11,6 +11,7 @@ import re
 import shutil
 import subprocess
 import tarfile
+import tempfile
 import time
 import zipfile
 from collections.abc import Callable, Iterator
@@ -162,12 +163,9 @@ def needs_ocr(mode: str, chars: int, pages: int) -> bool:
 def pdf(path: str, s: Settings, ocr: Callable[[str], str] | None = None) -> Extracted:
     """Text layer by pages; recognised text joins it where the layer is thin, and only if longer."""
     layer = run("pdftotext", "-layout", path, "-").decode(errors="replace")
-    segments = page_segments(layer, None if s.exhaustive else s.max_chars)
+    segments = page_segments(layer, s.max_chars)
     text = "".join(x for _, x in segments)
     pages = layer.count("\f") or 1
-    if s.exhaustive:
-        parts = [f"[Page {k}]\n[Text layer]\n{x.strip() or '[blank]'}" for k, x in enumerate(layer.split("\f")[:pages], 1)]
-        return Extracted("\n".join(parts), "pdf-exhaustive-text", 0, pages, segments)
     if ocr and needs_ocr(s.ocr, len(text.strip()), pages):
         seen = ocr(path)
         if len(seen.encode()) > len(text.encode()):
@@ -175,6 +173,23 @@ def pdf(path: str, s: Settings, ocr: Callable[[str], str] | None = None) -> Extr
     return Extracted(text, "pdf-text", 0, pages, segments)
 
 
+def pdf_exhaustive(path: str, s: Settings, ocr: Callable[[str], str] | None = None) -> Extracted:
+    """Text layer and recognised text of every page, which ocr gets as an image; without ocr it is unsupported."""
+    if ocr is None:
+        raise Unsupported("recognition of PDF pages")
+    layers = run("pdftotext", "-layout", path, "-").decode(errors="replace").split("\f")
+    segments, used = [], 0
+    for k, layer in enumerate(layers[: max(1, len(layers) - 1)], 1):
+        with tempfile.TemporaryDirectory() as at:
+            run("pdftoppm", "-f", str(k), "-l", str(k), "-singlefile", "-png", "-r", str(s.ocr_dpi), path, os.path.join(at, "page"))
+            seen = ocr(os.path.join(at, "page.png"))
+        parts = [f"[{what}]\n{x}" for what, x in (("Text layer", layer), ("OCR", seen)) if x.strip()]
+        used |= bool(seen.strip())
+        segments.append((k, "\n".join(parts) or f"[Page {k}: no textual content detected]"))
+    text = "\n\n".join(f"[Page {k}]\n{x}" for k, x in segments)
+    return Extracted(text, "pdf-exhaustive-ocr" if used else "pdf-exhaustive-text", int(used), len(segments), segments)
+
+
 def _members(raw: bytes, name: str) -> Iterator[tuple[str, bytes]]:
     if zipfile.is_zipfile(io.BytesIO(raw)):
         with zipfile.ZipFile(io.BytesIO(raw)) as z:
@@ -200,9 +215,9 @@ def _members(raw: bytes, name: str) -> Iterator[tuple[str, bytes]]:
 
 def archive(raw: bytes, name: str, s: Settings, depth: int) -> Extracted:
     """Sections of the members, sorted; unsafe names are left out, a failing member makes it partial."""
-    parts, used, bad = [], 0, False
+    parts, used, bad, most = [], 0, False, (1 << 62) if s.exhaustive else s.max_chars
     for k, (member, data) in enumerate(_members(raw, name)):
-        if k >= ARCHIVE_FILES or used >= s.max_chars:
+        if k >= ARCHIVE_FILES or used >= most:
             break
         if member.startswith(("/", "\\")) or ".." in re.split(r"[/\\]", member) or re.match("[A-Za-z]:", member):
             continue
@@ -215,7 +230,7 @@ def archive(raw: bytes, name: str, s: Settings, depth: int) -> Extracted:
             section = f"[archive entry: {member}]\n{got.text}"
             parts.append(section)
             used += len(section)
-    return Extracted("\n".join(parts)[: s.max_chars], "archive-partial" if bad else "archive")
+    return Extracted("\n".join(parts)[:most], "archive-partial" if bad else "archive")
 
 
 def extract_bytes(raw: bytes, name: str, s: Settings, depth: int = 0, path: str | None = None, tools: dict | None = None) -> Extracted:
@@ -235,6 +250,8 @@ def extract_bytes(raw: bytes, name: str, s: Settings, depth: int = 0, path: str
     if ext == ".pdf":
         if path is None:
             raise Unsupported("pdf within an archive")
+        if s.exhaustive:
+            return pdf_exhaustive(path, s, (tools or {}).get("image"))
         return pdf(path, s, (tools or {}).get("pdf"))
     if ext == ".doc":
         if path is None:

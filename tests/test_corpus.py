@@ -188,3 +188,27 @@ def test_index_knows_dictionaries_of_any_size(spark, tmp_path, size):
     got = {r.name: r for r in processed(extract.extract_files(walked, s), walked, HashingEmbedder(), s).select("name", "lang", "tokens").collect()}
     assert {k: r.lang for k, r in got.items()} == {"en.txt": "en", "mixed.txt": "mixed", "vi.txt": "vi", "und.txt": "und"}
     assert "report" in got["en.txt"].tokens and "report" not in got["vi.txt"].tokens
+
+
+def test_exhaustive_archives_are_whole():
+    z = io.BytesIO()
+    with zipfile.ZipFile(z, "w") as f:
+        f.writestr("a.txt", "x" * 1500)
+        f.writestr("b.txt", "last member")
+    a = extract.extract_bytes(z.getvalue(), "z.zip", Settings(ocr="exhaustive", max_chars=1000))
+    assert a.text.endswith("[archive entry: b.txt]\nlast member") and "x" * 1500 in a.text
+    assert len(extract.extract_bytes(z.getvalue(), "z.zip", Settings(max_chars=1000)).text) == 1000
+
+
+def test_exhaustive_pdf_recognises_every_page(monkeypatch):
+    def run(program, *args, seconds=120):
+        return b"layer one\f\f\f" if program == "pdftotext" else args[1].encode()
+
+    pages = iter(["", "scanned two", ""])
+    monkeypatch.setattr(extract, "run", run)
+    s = Settings(ocr="exhaustive")
+    got = extract.extract_bytes(b"", "a.pdf", s, path="a.pdf", tools={"image": lambda p: next(pages)})
+    assert got.segments == [(1, "[Text layer]\nlayer one"), (2, "[OCR]\nscanned two"), (3, "[Page 3: no textual content detected]")]
+    assert (got.method, got.ocr_used, got.pages) == ("pdf-exhaustive-ocr", 1, 3) and got.text.startswith("[Page 1]\n[Text layer]\nlayer one\n\n[Page 2]\n[OCR]\nscanned two")
+    with pytest.raises(extract.Unsupported):
+        extract.extract_bytes(b"", "a.pdf", s, path="a.pdf")
