@@ -40,6 +40,9 @@ MISREAD = [
 HYPHENS = "-­‐‑¬‧"
 PAGE_WORDS = ["page", "seite", "trang", "página", "pagina", "pág", "p", "s", "стр", "страница", "tr", "folio", "blatt"]
 
+# What composed pages are made of beside sample sentences; invented for training.
+TITLES = ["Ledger Extract", "Field Survey", "Quittungsheft", "Lagerliste Nord", "Registre des pesées", "Hoja de ruta", "Опись имущества", "Sổ trực ban"]
+
 _FOLDS = [(bad, good) for good, bad in MISREAD if len(bad) > 1] + [(bad, good) for good, bad in MISREAD if len(bad) == 1]
 _DIGITISH = str.maketrans({"l": "1", "I": "1", "|": "1", "i": "1", "O": "0", "o": "0", "s": "5", "S": "5", "g": "9", "z": "2", "B": "8"})
 _NUMBER = re.compile(r"^\d{1,4}$")
@@ -133,7 +136,8 @@ def compose(samples: list[str], rng: np.random.Generator) -> list[tuple[list[str
     """Pages of a file: lines, indexes of furniture, indexes of line ends that break a word."""
     pick = lambda xs: xs[int(rng.integers(len(xs)))]
     name = lambda: "".join(pick(["ka", "lo", "mi", "ster", "ne", "bru", "da", "vex"]) for _ in range(int(rng.integers(2, 4)))).title()
-    title, firm = pick(["Report", "Client File", "Statement", "Agreement", "Acta Reunión", "Biên Bản", "Prüfbericht", name()]), f"{name()} {pick(['Ltd', 'GmbH', '& Co', 'Holding', ''])}".strip()
+    title, firm = pick([*TITLES, name()]), f"{name()} {pick(['Ltd', 'GmbH', '& Co', 'Holding', ''])}".strip()
+    amount = lambda: pick([f"{rng.random() * 10 ** int(rng.integers(2, 6)):,.2f}", str(int(rng.integers(10, 90_000))), f"{int(rng.integers(10, 90_000)):,}"])
     style, first, total = int(rng.integers(0, 9)), int(rng.integers(1, 30)), int(rng.integers(30, 40))
     heads = pick([[], [title], [firm], [title, firm], [f"{title.upper()}    {firm}"], [f"{firm} • {title}"], [f"{title} – {firm}"]])
     foot = rng.random() < 0.3
@@ -165,7 +169,7 @@ def compose(samples: list[str], rng: np.random.Generator) -> list[tuple[list[str
             if para:
                 lines.append("")
                 if rng.random() < 0.15:
-                    lines += [pick(["59,958", "3,005.78", "445", "3507.26", "1233.62"]) for _ in range(int(rng.integers(2, 4)))]
+                    lines += [amount() for _ in range(int(rng.integers(2, 4)))]
                     lines.append("")
             text = " ".join(pick(samples) for _ in range(int(rng.integers(1, 4))))
             words, row = text.split(), ""
@@ -198,7 +202,7 @@ def compose(samples: list[str], rng: np.random.Generator) -> list[tuple[list[str
                 break
             lines.append(row)
         if rng.random() < 0.12:
-            lines += ["", *(pick(["445", "3,500", "1,315", "1783.90"]) for _ in range(2))]
+            lines += ["", *(amount() for _ in range(2))]
         if rng.random() < 0.15:  # a short paragraph at the end is text
             lines += ["", " ".join(pick(samples).split()[-int(rng.integers(1, 6)) :])]
         if rng.random() < 0.8:
