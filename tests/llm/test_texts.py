@@ -1,6 +1,6 @@
 import pytest
 
-from lamplight.llm import email, encoding, language, lookalike
+from lamplight.llm import email, encoding, language, lookalike, scans
 
 SENTENCES = {
     "en": ["The balance of the account does not match the report.", "Please check whether the letter was sent by the office.", "We could not open the file with the number.", "There were many cases of this kind, and most of them concern the client."],
@@ -59,7 +59,7 @@ Date: 2024-01-01 10:00
 Hello C,
 
 The balance of the account does not match the report.
-As the auditor wrote: nothing may leave the room.
+As somebody wrote: the number is in the file.
 
 Best regards,
 A B
@@ -67,9 +67,9 @@ Analyst
 
 PS: Please check whether the letter was sent.
 
-This message and its attachments are intended only for the person
-named above. If you received it in error, delete it and tell the
-sender.
+Unless you are the addressee you may not read, keep or share what
+named here is confidential, since it is covered by professional
+secrecy. The sender accepts no liability and asks you to delete it.
 
 On 2023-12-31 at 09:00, C D <c@d.example>
 wrote:
@@ -82,7 +82,7 @@ wrote:
 
 @pytest.fixture(scope="module")
 def mail_model():
-    return email.train(SAMPLES, messages=350, passes=3)
+    return email.train(SAMPLES, messages=500)
 
 
 def test_mail_spans(spark, mail_model):
@@ -94,9 +94,9 @@ def test_mail_spans(spark, mail_model):
             one[r.line_no] = r.label
     lines = MAIL.split("\n")
     label = lambda start: one[next(k for k, x in enumerate(lines, 1) if x.startswith(start))]
-    assert [label(x) for x in ("Subject", "Hello", "The balance", "As the", "PS:", "[att")] == ["header", "authored", "authored", "authored", "authored", "attachment"]
+    assert [label(x) for x in ("Subject", "Hello", "The balance", "As some", "PS:", "[att")] == ["header", "authored", "authored", "authored", "authored", "attachment"]
     assert [label(x) for x in ("Best", "A B", "Analyst")] == ["signature"] * 3
-    assert [label(x) for x in ("This message", "named", "sender", "On 2023", "wrote", "> We", "> > Older")] == ["notice"] * 3 + ["quoted"] * 4
+    assert [label(x) for x in ("Unless", "named", "secrecy", "On 2023", "wrote", "> We", "> > Older")] == ["notice"] * 3 + ["quoted"] * 4
     assert sum(r.id == 1 for r in rows) == 2 * len(one) and {r.id for r in rows} == {1, 4, 5}
     assert {r.label for r in rows if r.id == 5} == {"quoted"}
     text = {r.id: (r.new_text, r.header) for r in email.with_new_text(df, "text", mail_model).collect()}
@@ -104,18 +104,91 @@ def test_mail_spans(spark, mail_model):
     assert email.line_labels(df.limit(0), "id", "text", mail_model).count() == 0
 
 
-def test_mail_model_on_held_out_messages(mail_model):
+#: Phrases that the model never saw: no notice, closing, device line, greeting or role is one of email.Phrases.
+UNSEEN = email.Phrases(
+    notices=(
+        "Unless you are the addressee you may not read, keep or share what is written here, since it is covered by professional secrecy.",
+        "E-mail cannot be guaranteed to be secure; the sender accepts no liability for omissions in the contents of this communication.",
+        "Please do not print this e-mail unless it is really necessary.",
+        "Der Inhalt dieser E-Mail ist ausschließlich für den bezeichneten Adressaten bestimmt; jede Form der Kenntnisnahme durch Dritte ist unzulässig.",
+        "Bitte benachrichtigen Sie den Absender und löschen Sie die E-Mail samt Anhang, falls Sie nicht gemeint sind.",
+        "L'expéditeur décline toute responsabilité si ce courriel a été altéré ; toute utilisation non autorisée de son contenu est interdite.",
+        "Ce courrier électronique peut contenir des informations protégées par le secret professionnel.",
+        "El remitente no se hace responsable del contenido de este correo si ha sido modificado; su uso no autorizado está prohibido por la ley.",
+        "Le informamos de que esta comunicación puede contener información protegida y reservada al destinatario.",
+        "Отправитель не несёт ответственности за содержание письма, изменённого третьими лицами; несанкционированное использование запрещено.",
+        "Данное сообщение может содержать конфиденциальную информацию, не предназначенную для третьих лиц.",
+        "Người gửi không chịu trách nhiệm nếu nội dung thư bị thay đổi; nghiêm cấm sử dụng thông tin khi chưa được phép.",
+        "Thư này có thể chứa thông tin mật của công ty; nếu không phải người nhận, xin xóa thư ngay.",
+    ),
+    closings=("Talk soon", "All the best", "Warmly", "Liebe Grüße", "Bis bald", "Hochachtungsvoll", "Bien amicalement", "À très vite", "Un abrazo", "Hasta pronto", "До связи", "Искренне ваш", "Chào anh", "Hẹn gặp lại"),
+    devices=("Written on the train, thumbs only", "Sent using voice dictation", "Von meinem Telefon diktiert und gesendet", "Envoyé via le web", "Enviado vía web", "Отправлено через веб-почту", "Gửi qua điện thoại"),
+    greetings=("Hello team,", "Dear board,", "Liebes Team,", "Chers tous,", "Hola a todos:", "Друзья,", "Cả nhà ơi,"),
+    roles=("Warehouse clerk", "Sachbearbeitung", "Comptable", "Contable", "Бухгалтер", "Kế toán viên"),
+)
+
+
+def _scores(model, samples, phrases):
+    """Recall and precision of lines that are not newly written, over 300 composed messages."""
     import numpy as np
 
-    rng, right, n = np.random.default_rng(77), 0, 0
-    for _ in range(100):
-        t, y = email.compose(SAMPLES, rng)
-        m = email.parse(t)
+    rng, tp, found, true = np.random.default_rng(77), 0, 0, 0
+    for _ in range(300):
+        t, y = email.compose(samples, rng, phrases, unlisted=0.0)
+        m = model.parse(t)
         if not m.header:
-            got = mail_model.labels(m)
-            right += (got == np.array([y[k - 1] for k in m.numbers])).sum()
-            n += len(got)
-    assert right / n > 0.97
+            got, want = model.labels(m) > 0, np.array([y[k - 1] for k in m.numbers]) > 0
+            tp, found, true = tp + (got & want).sum(), found + got.sum(), true + want.sum()
+    return tp / true, tp / found
+
+
+def test_mail_model_on_phrases_it_never_saw():
+    import os
+
+    at = "/root/testdata/sf0.01/lang_samples.parquet"
+    if not os.path.exists(at):
+        pytest.skip("no labelled samples")
+    import pyarrow.parquet as pq
+
+    rows = [(r["lang"], r["text"]) for r in pq.read_table(at).to_pylist() if r["lang"] and r["text"]]
+    mine, theirs = ([x for i, x in enumerate(rows) if i // 6 % 2 == k] for k in (0, 1))
+    for name in ("notices", "closings", "devices", "greetings", "roles"):
+        assert not set(getattr(UNSEEN, name)) & set(getattr(email.Phrases(), name))
+    recall, precision = _scores(email.train(mine), theirs, UNSEEN)
+    assert recall >= 0.95 and precision >= 0.95
+
+
+def test_training_phrases_are_in_no_table():
+    """Whole phrases of three words or more that the text models train on are not those of the tables."""
+    import os
+    import re
+
+    at = "/root/testdata/sf0.1/chunks.parquet"
+    if not os.path.exists(at):
+        pytest.skip("no tables")
+    import ahocorasick
+    import pyarrow.parquet as pq
+
+    squeeze = lambda t: re.sub(r"[\s>|]+", " ", t).lower()
+    phrases = [x for p in (email.Phrases(), UNSEEN) for x in (*p.notices, *p.devices, *p.greetings, *p.roles)] + scans.TITLES
+    whole = {squeeze(x).strip() for x in phrases if len(x.split()) >= 3 or x in scans.TITLES}
+    find = ahocorasick.Automaton()
+    for w in whole:
+        find.add_word(w, w)
+    find.make_automaton()
+    for t in pq.read_table(at, columns=["content"]).column(0).to_pylist():
+        assert not (hit := [w for _, w in find.iter(squeeze(t or ""))]), hit
+
+
+def test_a_very_long_mail_needs_little_memory(mail_model):
+    import tracemalloc
+
+    m = mail_model.parse("\n".join(f"line {i} of the letter" for i in range(20_000)))
+    tracemalloc.start()
+    labels = mail_model.labels(m)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(labels) == 20_000 and peak < 150 << 20
 
 
 SAME = [
