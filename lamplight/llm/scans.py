@@ -13,10 +13,11 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamplight.llm.boosting import Trees
@@ -24,11 +25,19 @@ from lamplight.session import cut
 
 #: Pages composed for training, and words whose damage the ranking learns from.
 TRAINING_FILES, TRAINING_WORDS = 260, 1500
+#: Candidates a training word is shown with.
+CHOICES = 8
 #: A word of clean text counts as known from so many occurrences.
 KNOWN = 2
 #: Length of q-grams, and the largest distance from an unknown word to a candidate. An edit damages
 #: at most GRAM of them, so GRAM times the distance and one more cannot all be damaged.
 GRAM, FAR = 3, 3
+#: A word of up to SHORT characters also meets what is left of known words after up to SLIPS deletions:
+#: its few q-grams could all be damaged.
+SHORT, SLIPS = 6, 2
+#: Share of the training words whose own misreading is taken from the table before it is consulted,
+#: so that the ranking also learns from what no table explains.
+UNTOLD = 0.35
 #: Probability from which a classifier's answer is yes.
 YES = 0.5
 
@@ -121,15 +130,24 @@ def pair_features(line: str, after: str, known=None) -> list[float]:
     ]
 
 
-def damage(word: str, rng: np.random.Generator) -> str | None:
+Table = tuple[tuple[str, str], ...]
+
+
+def damage(word: str, rng: np.random.Generator, table: Table = tuple(MISREAD)) -> str | None:
     """A word with one misreading, None if it has no character that is misread."""
-    fits = [(a, b) for a, b in MISREAD if a in word]
+    made = damaged(word, rng, table)
+    return made[0] if made else None
+
+
+def damaged(word: str, rng: np.random.Generator, table: Table) -> tuple[str, tuple[str, str]] | None:
+    """As damage, with the misreading that was made."""
+    fits = [(a, b) for a, b in table if a in word]
     if not fits:
         return None
     a, b = fits[int(rng.integers(len(fits)))]
     places = [m.start() for m in re.finditer(re.escape(a), word)]
     k = places[int(rng.integers(len(places)))]
-    return word[:k] + b + word[k + len(a) :]
+    return word[:k] + b + word[k + len(a) :], (a, b)
 
 
 def compose(samples: list[str], rng: np.random.Generator) -> list[tuple[list[str], set[int], set[int]]]:
@@ -232,9 +250,9 @@ def word_features(word: str, cand: str, n_word: int, n_cand: int, misread: bool)
     ]
 
 
-def misreadings(word: str, cand: str) -> int:
-    """Fewest misreadings (at most 2) that make the word of the candidate; 0 if none do."""
-    a, b = word.lower(), cand.lower()
+def misreadings(word: str, cand: str, table: Table = tuple(MISREAD)) -> int:
+    """Fewest misreadings of the table (at most 2) that make the word of the candidate; 0 if none do."""
+    a, b, lower = word.lower(), cand.lower(), _lower(table)
     steps = {(0, 0): 0}
     todo = [(0, 0)]
     while todo:
@@ -244,7 +262,7 @@ def misreadings(word: str, cand: str) -> int:
         if i < len(a) and j < len(b) and a[i] == b[j]:
             nxt.append((i + 1, j + 1, n))
         if n < 2:
-            nxt += [(i + len(bad), j + len(good), n + 1) for good, bad in _LOWER if a.startswith(bad, i) and b.startswith(good, j)]
+            nxt += [(i + len(bad), j + len(good), n + 1) for good, bad in lower if a.startswith(bad, i) and b.startswith(good, j)]
         for x, y, m in nxt:
             if m < steps.get((x, y), 9):
                 steps[x, y] = m
@@ -252,7 +270,9 @@ def misreadings(word: str, cand: str) -> int:
     return steps.get((len(a), len(b)), 0)
 
 
-_LOWER = sorted({(g.lower(), b.lower()) for g, b in MISREAD if g.lower() != b.lower()})
+@lru_cache(256)
+def _lower(table: Table) -> list[tuple[str, str]]:
+    return sorted({(g.lower(), b.lower()) for g, b in table if g.lower() != b.lower()})
 
 
 @dataclass
@@ -262,10 +282,11 @@ class Model:
     furniture: Trees
     breaks: Trees
     words: Trees
+    table: Table = tuple(MISREAD)
 
 
-def train(samples: list[str], vocabulary: list[tuple[str, int]], seed: int = 11) -> Model:
-    """From sample sentences and a bounded sample of known words with their counts."""
+def train_lines(samples: list[str], seed: int = 11) -> tuple[Trees, Trees]:
+    """Furniture and line ends, from composed pages of sample sentences."""
     rng = np.random.default_rng(seed)
     fx, fy, px, py = [], [], [], []
     for _ in range(TRAINING_FILES):
@@ -283,24 +304,36 @@ def train(samples: list[str], vocabulary: list[tuple[str, int]], seed: int = 11)
                 if after is not None or k in breaks:
                     px.append(pair_features(lines[k], lines[after] if after is not None else "er"))
                     py.append(k in breaks)
-    wx, wy = [], []
-    by_len: dict[int, list[tuple[str, int]]] = {}
-    for w, n in vocabulary:
-        by_len.setdefault(len(w), []).append((w, n))
-    for w, n in vocabulary:
-        made, true = (damage(w, rng), w) if rng.random() < 0.6 else (None, None)
-        word = made or (w[:-1] + str(rng.choice(list("aeiournst"))) if rng.random() < 0.5 else w)
-        if made is None:
-            true = None
-        near = [(c, m) for k in range(len(word) - 1, len(word) + 2) for c, m in by_len.get(k, []) if c != word and (c[:2] == word[:2] or c[-2:] == word[-2:])]
-        near = [x for x in near if sum((Counter(word) - Counter(x[0])).values()) <= 2][:6]
-        if true and true not in (c for c, _ in near):
-            near.append((true, n))
-        seen = 0 if made else int(rng.integers(0, 2))
-        for c, m in near:
-            wx.append(word_features(word, c, seen, m, bool(misreadings(word, c))))
-            wy.append(c == true)
-    return Model(Trees().fit(np.array(fx), np.array(fy, float)), Trees().fit(np.array(px, float), np.array(py, float)), Trees().fit(np.array(wx, float), np.array(wy, float)))
+    return Trees().fit(np.array(fx), np.array(fy, float)), Trees().fit(np.array(px, float), np.array(py, float))
+
+
+#: A word to learn from: the word as read, what it should be (None if it is right), the misreading made.
+Lesson = tuple[str, str | None, tuple[str, str] | None]
+
+
+def lessons(frequent: list[str], rare: list[str], table: Table = tuple(MISREAD), seed: int = 12) -> list[Lesson]:
+    """Frequent words with a planted misreading, and rare words, which are right as they are."""
+    rng = np.random.default_rng(seed)
+    out: dict[str, Lesson] = {w: (w, None, None) for w in rare}
+    for w in frequent:
+        if hit := damaged(w, rng, table):
+            out[hit[0]] = (hit[0], w, hit[1])
+    return list(out.values())
+
+
+def train_words(known: list[Lesson], candidates: dict[str, list[tuple[str, int]]], table: Table = tuple(MISREAD), seed: int = 13) -> Trees:
+    """The ranking, from candidates (cand, n) of each lesson.
+
+    The table of misreadings is one feature of the ranking and never a condition.
+    """
+    rng, x, y = np.random.default_rng(seed), [], []
+    for word, true, why in known:
+        told = tuple(t for t in table if t != why) if rng.random() < UNTOLD else table
+        here = int(rng.geometric(0.7))  # few unknown words come often, copies of a page aside
+        for cand, n in candidates.get(word, ()):
+            x.append(word_features(word, cand, here, n, bool(misreadings(word, cand, told))))
+            y.append(cand == true)
+    return Trees().fit(np.array(x, float), np.array(y, float)) if x else Trees(base=-9.0)
 
 
 def words_of(line: str) -> list[tuple[int, str]]:
@@ -390,9 +423,8 @@ def classify_lines(pages: DataFrame, model: Model) -> DataFrame:
             for rows, after in zip(out, b.column(4).to_pylist(), strict=True):
                 body = [r for r in rows if not r["furniture"]]
                 for r, nxt in zip(body, [*body[1:], None], strict=False):
-                    if r["text"].rstrip()[-1:] in HYPHENS:  # a break always shows a mark
-                        x.append(pair_features(r["text"], nxt["text"] if nxt else after or "er"))
-                        where.append(r)
+                    x.append(pair_features(r["text"], nxt["text"] if nxt else after or "er"))
+                    where.append(r)
             for r, p in zip(where, shared.value.breaks.predict(np.array(x, float)) if x else (), strict=True):
                 r["broken"] = bool(p >= YES)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(out, kind), b.column(4)], names=["chunk_id", "file_id", "page", "lines", "next_head"])
@@ -445,19 +477,23 @@ def words_in_lines(classified: DataFrame) -> DataFrame:
     return classified.select("chunk_id", "lines", "next_head").mapInArrow(run, "chunk_id long, line_no long, next_no long, cut int, word string")
 
 
-def corrections(words: DataFrame, known: DataFrame, model: Model) -> DataFrame:
-    """(word, right): unknown words with the replacement the ranking chose.
+def leftovers(word: Column) -> Column:
+    """The word and what is left of it after one to SLIPS deletions, each once."""
+    less = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.length(c))))
+    out = [F.array(word)]
+    for _ in range(SLIPS):
+        out.append(F.array_distinct(F.flatten(F.transform(out[-1], less))))
+    return F.array_distinct(F.concat(*out))
+
 
-    known: (word, n) of clean text. The rarest q-grams of an unknown word, as many as no admitted
-    distance can damage all of, meet those of known words; a levenshtein bound in the join keeps
-    near ones, and the best of them is taken if the ranking says yes. A word of too few q-grams
-    for that goes with all it has. A misread word that no known word explains is read back by its
-    shape.
+def candidates(unknown: DataFrame, known: DataFrame) -> DataFrame:
+    """(word, here, cand, n): known words (word, n) near the unknown ones (word, low, here).
+
+    The rarest q-grams of an unknown word, as many as no admitted distance can damage all of, meet
+    those of known words; a levenshtein bound in the join keeps near ones. A word of too few q-grams
+    for that goes with all it has; a short one also meets known words through deletions, so that no
+    known word within SLIPS edits is missed.
     """
-    known = known.filter(F.col("n") >= KNOWN)
-    distinct = words.groupBy("word").agg(F.count("*").alias("here")).withColumn("low", F.lower("word"))
-    seen = known.select(F.col("word").alias("low"), "n")
-    unknown = cut(distinct.join(seen, "low", "left_anti"))
     padded = lambda c: F.concat(F.lit("^"), c, F.lit("$"))
     grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda i: F.substring(padded(c), i, GRAM)))
     index = known.select(F.col("word").alias("cand"), "n", F.explode(grams(F.col("word"))).alias("gram"))
@@ -466,26 +502,32 @@ def corrections(words: DataFrame, known: DataFrame, model: Model) -> DataFrame:
     far = F.least(F.lit(FAR), F.floor((F.length("low") + 1) / 2)).cast("int")
     rare = asked.groupBy("word", "low", "here").agg(F.slice(F.array_sort(F.collect_list(F.struct("df", "gram"))), F.lit(1), GRAM * far + 1).alias("g")).select("word", "low", "here", F.explode("g.gram").alias("gram"))
     near = (F.abs(F.length("low") - F.length("cand")) <= 2) & (F.levenshtein("low", "cand", FAR) >= 0) & (F.levenshtein("low", "cand", FAR) * 2 <= F.length("low") + 1)
-    pairs = rare.join(index, "gram").filter(near).groupBy("word", "here", "cand").agg(F.max("n").alias("n"))
-    shared = words.sparkSession.sparkContext.broadcast(model)
+    by_gram = rare.join(index, "gram").filter(near).select("word", "here", "cand", "n")
+    brief = unknown.filter(F.length("low") <= SHORT).select("word", "low", "here", F.explode(leftovers(F.col("low"))).alias("left"))
+    short = known.filter(F.length("word") <= SHORT + SLIPS).select(F.col("word").alias("cand"), "n", F.explode(leftovers(F.col("word"))).alias("left"))
+    by_rest = brief.join(short, "left").filter(near).select("word", "here", "cand", "n")
+    return by_gram.unionByName(by_rest).groupBy("word", "here", "cand").agg(F.max("n").alias("n"))
+
+
+def corrections(words: DataFrame, known: DataFrame, model: Model) -> DataFrame:
+    """(word, right): unknown words with the replacement the ranking chose among their candidates.
+
+    known: (word, n) of clean text. The best candidate is taken if the ranking says yes.
+    """
+    known = known.filter(F.col("n") >= KNOWN)
+    distinct = words.groupBy("word").agg(F.count("*").alias("here")).withColumn("low", F.lower("word"))
+    unknown = cut(distinct.join(known.select(F.col("word").alias("low")), "low", "left_anti"))
+    shared = words.sparkSession.sparkContext.broadcast(model)  # some hundred kB
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             w, h, c, n = (b.column(i).to_pylist() for i in range(4))
-            x = [word_features(w[k], c[k], h[k], n[k], bool(misreadings(w[k], c[k]))) for k in range(len(w))]
+            x = [word_features(w[k], c[k], h[k], n[k], bool(misreadings(w[k], c[k], shared.value.table))) for k in range(len(w))]
             p = shared.value.words.predict(np.array(x, float)) if x else np.zeros(0)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(p, pa.float64())], names=["word", "cand", "p"])
 
-    ranked = pairs.select("word", "here", "cand", "n").mapInArrow(rank, "word string, cand string, p double")
-    best = ranked.groupBy("word").agg(F.max(F.struct("p", "cand")).alias("b")).filter(F.col("b.p") >= YES).select("word", F.col("b.cand").alias("right"))
-
-    # letters with a sign or digit between them that no known word explains
-    shape = F.col("word").rlike(r"\p{L}[|†@]|[|†@]\p{L}|\p{Ll}[0-9]\p{Ll}|^[0-9]\p{Ll}{2}|\p{L}{2}[0-9]$|\p{L}[0-9]\p{L}{2}")
-    back = F.translate(F.col("low"), "10|5969†@", "loisgeta")
-    odd = unknown.filter(shape).join(best, "word", "left_anti").select("word", back.alias("right"))
-    short = unknown.filter(F.length("low") == 2).select("word", back.alias("right"))
-    short = short.join(known.select(F.col("word").alias("right")), "right", "left_semi").join(best, "word", "left_anti").select("word", "right")
-    return best.unionByName(odd).unionByName(short)
+    ranked = candidates(unknown, known).select("word", "here", "cand", "n").mapInArrow(rank, "word string, cand string, p double")
+    return ranked.groupBy("word").agg(F.max(F.struct("p", "cand")).alias("b")).filter(F.col("b.p") >= YES).select("word", F.col("b.cand").alias("right"))
 
 
 def misread_words(words: DataFrame, fixes: DataFrame) -> DataFrame:
@@ -498,11 +540,21 @@ def misread_words(words: DataFrame, fixes: DataFrame) -> DataFrame:
     return hit.select("chunk_id", F.explode(line).alias("line_no"), "word", "right").filter("line_no > 0")
 
 
-def learn(samples: DataFrame, known: DataFrame) -> Model:
-    """Train on at most 400 sample texts and TRAINING_WORDS known words of the lowest hash."""
+def learn(samples: DataFrame, known: DataFrame, table: Table = tuple(MISREAD)) -> Model:
+    """Train on at most 400 sample texts, and TRAINING_WORDS frequent and as many rare known words of the
+    lowest hash, with up to CHOICES candidates each from the search that serves unknown words too."""
+    spark = known.sparkSession
     texts = [r.text for r in samples.filter("text is not null").orderBy("sample_id").limit(400).select("text").collect()]
-    some = known.filter((F.col("n") >= 5) & (F.length("word") >= 4)).orderBy(F.xxhash64("word"), "word").limit(TRAINING_WORDS)
-    return train(texts, [(r.word, r.n) for r in some.collect()])
+    some = lambda n: [r.word for r in known.filter(n & (F.length("word") >= 2)).orderBy(F.xxhash64("word"), "word").limit(TRAINING_WORDS).select("word").collect()]
+    taught = lessons(some(F.col("n") >= 5), some(F.col("n") < KNOWN), table)
+    frequent = known.filter(F.col("n") >= KNOWN)
+    asked = spark.createDataFrame([(w, w.lower(), 1, t) for w, t, _ in taught], "word string, low string, here long, true string").join(frequent.select(F.col("word").alias("low")), "low", "left_anti")
+    pairs = candidates(asked.select("word", "low", "here"), frequent).join(asked.select("word", "true"), "word")
+    order = F.row_number().over(Window.partitionBy("word").orderBy(F.when(F.col("cand") == F.col("true"), 0).otherwise(1), F.xxhash64("cand")))
+    found: dict[str, list[tuple[str, int]]] = {}
+    for r in pairs.withColumn("k", order).filter(F.col("k") <= CHOICES).select("word", "cand", "n").orderBy("word", "cand").collect():
+        found.setdefault(r.word, []).append((r.cand, r.n))
+    return Model(*train_lines(texts), train_words(taught, found, table), table)
 
 
 @dataclass

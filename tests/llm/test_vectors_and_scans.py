@@ -127,3 +127,43 @@ def test_candidates_of_damaged_rare_grams_and_unlisted_misreadings(spark, word):
 def test_misreadings():
     assert scans.misreadings("rep0rt", "report") == 1 and scans.misreadings("tliiis", "thus") == 2 and scans.misreadings("report", "repost") == 0
     assert scans.fold("Gekrun0r Ho1ding") == scans.fold("Gekrunor Holding")
+
+
+def test_short_words_meet_known_words_within_two_edits(spark):
+    """Brute force: no known word within the deletions' distance is missed, though no q-gram is left."""
+    import itertools
+
+    from pyspark.sql import functions as F
+
+    known = ["in", "and", "den", "rue", "casa", "hier", "nicht", "mit", "ohne"]
+    asked = ["1n", "xnd", "d3n", "rxx", "c4s4", "h1er", "n1cht", "rnit", "0hn3", "zz"]
+    k = spark.createDataFrame([(w, 5) for w in known], "word string, n long")
+    got = {(r.word, r.cand) for r in scans.candidates(spark.createDataFrame([(w, w, 1) for w in asked], "word string, low string, here long"), k).collect()}
+    near = spark.createDataFrame(list(itertools.product(asked, known)), "a string, b string").withColumn("d", F.levenshtein("a", "b"))
+    want = {(r.a, r.b) for r in near.filter("d <= 2 and d * 2 <= length(a) + 1").collect()}
+    assert want <= got and ("1n", "in") in want and ("rnit", "mit") in want
+
+
+def test_misreadings_in_no_table_are_corrected(spark):
+    """The ranking learned from half of the table corrects misreadings of the other half, and leaves rare right words."""
+    import os
+
+    from pyspark.sql import functions as F
+
+    at = "/root/testdata/sf0.01"
+    if not os.path.exists(at):
+        pytest.skip("no tables")
+    known = scans.cut(scans.clean_words(spark.read.parquet(f"{at}/documents.parquet").select(F.col("text").alias("content")), "content"))
+    half, other = tuple(scans.MISREAD[::2]), tuple(scans.MISREAD[1::2])
+    assert not set(half) & set(other)
+    model = scans.learn(spark.read.parquet(f"{at}/lang_samples.parquet"), known, half)
+    digits = tuple(x for x in other if any(c in "0123456789|@†" for c in x[1]))
+    words, seen = {r.word for r in known.filter("n >= 5 and length(word) >= 5").collect()}, {r.word for r in known.collect()}
+    rng, wrong = np.random.default_rng(4), {}
+    for w in sorted(words)[:1500]:
+        if (hit := scans.damage(w, rng, digits)) and hit not in seen:
+            wrong[hit] = w
+    rows = spark.createDataFrame([(1, 1, -1, 0, w) for w in wrong], "chunk_id long, line_no long, next_no long, cut int, word string")
+    got = {r.word: r.right for r in scans.corrections(rows, known, model).collect()}
+    assert len(wrong) > 300 and sum(got.get(w) == t for w, t in wrong.items()) / len(wrong) > 0.8
+    assert got.get("\u2020he") != "ahe"
