@@ -3,7 +3,8 @@
 A first pass counts distinct tokens with non-ASCII characters. Rare tokens are joined with
 their clean near-twins (the most frequent token) on what is left without non-ASCII
 characters; aligning the two gives runs that stand for each other, and each run pair votes
-for the transformations (read as one encoding, truly another) that explain it. Tokens
+for the transformations (read as one encoding, truly another) that explain it. Pairs that none
+explains become mappings of their own, where enough tokens agree. Tokens
 without ASCII letters have nothing to join on and are joined with the frequent token that a
 transformation yields. Transformations with enough votes, an alphabet and character-pair
 counts, all of bounded size, then go over every record in a second pass.
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamplight.llm.lookalike import canonical
@@ -33,6 +34,9 @@ BYTES = {
 }
 #: Distinct rare tokens that must vote for a transformation, by so many pairs of runs.
 LEAST_VOTES, LEAST_PAIRS = 5, 3
+#: A mapping learned from alignment: share of all tokens' votes it needs, share of the alignments of its
+#: run that agree, and share of the tokens with its run that have such a twin at all.
+MAPPING_SHARE, AGREED, COVERED = 1e-5, 0.9, 0.5
 #: A clean twin is at least so many times as frequent.
 TWIN_RATIO = 4
 #: Share of all counted tokens that a character needs to belong to the alphabet.
@@ -119,6 +123,17 @@ def votes(rare: str, clean: str) -> tuple[list[str], str]:
     return [c for c in CHAINS if all(transform(x, c) == y for x, y in differ)], "\t".join(differ[0])
 
 
+def unexplained(rare: str, clean: str) -> list[tuple[str, str]]:
+    """Runs of a rare token and of its twin that differ in more than case, accent form or look; letters only.
+    Runs of one length are aligned character by character."""
+    a, ra = runs(rare)
+    b, rb = runs(clean)
+    if a != b or "\ufffd" in rare or canonical(rare).lower() == canonical(clean).lower():
+        return []
+    both = [p for x, y in zip(ra, rb, strict=True) for p in (zip(x, y, strict=True) if len(x) == len(y) else [(x, y)])]
+    return [(x, y) for x, y in both if x.lower() != y.lower() and x and any(c.isalpha() for c in y)]
+
+
 def pairs_of(token: str) -> list[str]:
     """Character pairs that touch a non-ASCII character; digits are alike, case is folded."""
     out = []
@@ -143,12 +158,18 @@ class Model:
     chains: list[str]
     alphabet: frozenset[str]
     pairs: dict[str, int]
+    learned: dict[str, str] = field(default_factory=dict)
     memo: dict[str, tuple[bool, str]] = field(default_factory=dict)
 
     def score(self, token: str) -> float:
         p = pairs_of(token)
         return sum(math.log(self.pairs.get(x, 0) + 0.1) for x in p) / len(p) if p else 99.0
 
+    def mapped(self, token: str) -> str:
+        """The token with every run, or else every character, that a learned mapping knows replaced."""
+        one = lambda p: self.learned.get(p) or "".join(self.learned.get(c, c) for c in p)
+        return "".join(p if i % 2 else one(p) for i, p in enumerate(re.split(r"([\x00-\x7f])", token)))
+
     def judge(self, token: str) -> tuple[bool, str]:
         """Whether a token is damaged, and its original or, where it cannot be had, itself."""
         found = self.memo.get(token)
@@ -162,8 +183,8 @@ class Model:
         lost = "�" in token or any("\x80" <= c <= "\x9f" for c in token)
         own = max(self.score(token), self.score(canonical(token)))
         best, rise = token, 0.0
-        for c in self.chains:
-            new = transform(token, c)
+        for c in [*self.chains, *(["learned>"] if self.learned else [])]:
+            new = self.mapped(token) if c == "learned>" else transform(token, c)
             if new == token:
                 continue
             fresh = set(new) - set(token)
@@ -238,6 +259,8 @@ def learn(rows: DataFrame) -> Model:
                 chains, pair = votes(t, c)
                 if chains:
                     own[",".join(chains), pair] += 1
+                else:
+                    own.update(("", f"{x}\t{y}") for x, y in set(unexplained(t, c)))
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in own], pa.string()), pa.array([x for _, x in own], pa.string()), pa.array(list(own.values()), pa.int64())], names=["chains", "pair", "votes"])
 
     def yields(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,9 +281,41 @@ def learn(rows: DataFrame) -> Model:
     lone = lone.groupBy("token", "clean").agg(F.array_join(F.array_sort(F.collect_set("chain")), ",").alias("chains"))
     lone = lone.groupBy("chains", F.concat(F.substring("token", 1, 1), F.lit("\t"), F.substring("clean", 1, 1)).alias("pair")).agg(F.count("*").alias("votes"))
     cast = near.mapInArrow(explained, "chains string, pair string, votes long").unionByName(lone)
-    cast = cast.groupBy("chains", "pair").agg(F.sum("votes").alias("votes")).groupBy("chains").agg(F.sum("votes").alias("votes"), F.slice(F.array_sort(F.collect_set("pair")), 1, LEAST_PAIRS).alias("pairs"))
-    sets = [(r.chains.split(","), r.votes, r.pairs) for r in cast.collect()]
-    return Model(chosen(sets), alphabet, pairs)
+    cast = cut(cast.groupBy("chains", "pair").agg(F.sum("votes").alias("votes")))
+    # of each set of transformations the votes and its first LEAST_PAIRS pairs, found task by task
+    told = cast.filter("chains <> ''")
+    first = told.withColumn("k", F.row_number().over(Window.partitionBy("chains").orderBy("pair"))).filter(F.col("k") <= LEAST_PAIRS)
+    kinds: dict[str, list[str]] = {}
+    for r in first.select("chains", "pair").collect():
+        kinds.setdefault(r.chains, []).append(r.pair)
+    sets = [(r.chains.split(","), r.votes, kinds[r.chains]) for r in told.groupBy("chains").agg(F.sum("votes").alias("votes")).collect()]
+    return Model(chosen(sets), alphabet, pairs, mappings(cast.filter("chains = ''"), counts))
+
+
+def mappings(aligned: DataFrame, counts: DataFrame) -> dict[str, str]:
+    """Run by run what alignment (pair, votes) taught that no transformation explains.
+
+    A mapping needs LEAST_VOTES tokens and MAPPING_SHARE of all distinct tokens (so there are at most
+    1 / MAPPING_SHARE of them), agreement, and a twin for most tokens that hold its run: a run that
+    is usual without one is a writer's own.
+    """
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: Counter = Counter()
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                own.update({x for r in runs(t)[1] for x in (r, *r)} - {""})
+        yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.string()), pa.array(list(own.values()), pa.int64())], names=["bad", "n"])
+
+    pair = F.split("pair", "\t")
+    a = aligned.select(pair[0].alias("bad"), pair[1].alias("good"), "votes")
+    total = a.groupBy("bad").agg(F.sum("votes").alias("all"), F.max(F.struct("votes", "good")).alias("top")).filter(F.col("top.votes") >= AGREED * F.col("all"))
+    least = max(LEAST_VOTES, math.ceil(counts.count() * MAPPING_SHARE))
+    total = cut(total.filter(F.col("top.votes") >= least).select("bad", F.col("top.good").alias("good"), F.col("top.votes").alias("votes")))
+    if not total.take(1):
+        return {}
+    usual = counts.select("token").mapInArrow(of, "bad string, n long").groupBy("bad").agg(F.sum("n").alias("n"))
+    return {r.bad: r.good for r in total.join(usual, "bad").filter(F.col("votes") >= COVERED * F.col("n")).select("bad", "good").collect()}
 
 
 def chosen(sets: list[tuple[list[str], int, list[str]]]) -> list[str]:

@@ -247,6 +247,19 @@ def test_encoding_repair(spark):
     assert empty.chains == [] and encoding.damaged_rows(df.limit(0), empty).count() == 0
 
 
+def test_mappings_are_learned_from_alignment(spark):
+    """Turkish read as western European: no listed transformation explains it, clean twins do."""
+    words = ["dağıtım", "değişim", "başkanlık", "öğretmen", "eğitim", "yağmur", "doğru", "bağlantı", "sağlık", "ağaç", "işlem", "güneş", "beşinci", "kuşak", "taşıma", "yavaş"]
+    rows = [("chunks", i, f"{words[i % len(words)]} {words[i % 7]}") for i in range(1600)]
+    bad = {2000 + i: w.encode("cp1254").decode("cp1252") for i, w in enumerate(words)}
+    assert not any(encoding.transform(b, c) == w for b, w in zip(bad.values(), words, strict=True) for c in encoding.CHAINS)
+    df = spark.createDataFrame(rows + [("chunks", i, t) for i, t in bad.items()] + [("files", 1, "École"), ("files", 2, "isn‘t")], "tbl string, id long, text string")
+    model = encoding.learn(df)
+    assert model.learned.get("ð") == "ğ" and model.learned.get("þ") == "ş"
+    got = {r.id: r.text for r in encoding.damaged_rows(df, model).collect()}
+    assert set(got) <= set(bad) and len(got) >= 14 and got[2003] == "öğretmen"
+
+
 def test_transformations_invert():
     for c in ("cp1251", "mac_roman", "cp437"):
         assert encoding.transform("größe über".encode().decode(c), f"{c}>utf8") == "größe über"
