@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,25 +39,70 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+class NoSharedFolder(RuntimeError):
+    """A cluster session that names no folder its executors share."""
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, from spark.checkpoint.dir.
 
-    Only where the session names none (tests, a single machine) is a local one made and set.
+    Only a local session (tests, a single machine) may name none: a temporary folder is made, set,
+    and removed when the interpreter ends. On a cluster a folder of one machine would lose data
+    without an error, so a session without the setting is refused there.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="lamplight-")
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^]]*\])?", master):
+            raise NoSharedFolder(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
+        path = tempfile.mkdtemp(prefix="lamplight-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
+        found = f"file://{path}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+#: Folders written by cut() and not yet removed, newest last; by application.
+_WRITTEN: dict[str, list[str]] = {}
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: later stages survive lost executors
-    and the work before runs once, however often the result is used."""
+    and the work before runs once, however often the result is used. free() and scratch() remove it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/lamplight-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    read = spark.read.schema(df.schema).parquet(path)
+    read._lamplight_path = path
+    return read
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    mine = _WRITTEN.get(spark.sparkContext.applicationId, [])
+    if path in mine:
+        mine.remove(path)
+
+
+def free(*dfs: DataFrame) -> None:
+    """Remove what cut() wrote for these frames: only once all that reads them is itself written."""
+    for df in dfs:
+        if path := getattr(df, "_lamplight_path", None):
+            _remove(df.sparkSession, path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove at the end whatever cut() wrote within: for callers that use a result up inside."""
+    mine = _WRITTEN.setdefault(spark.sparkContext.applicationId, [])
+    before = len(mine)
+    try:
+        yield
+    finally:
+        for path in mine[before:]:
+            _remove(spark, path)
 
 
 #: Keys a side may have at most to be broadcast (16 MB of BIGINT); beyond it the join shuffles.
