@@ -118,6 +118,14 @@ def pack(df: DataFrame, key: str, size: str, capacity: int = CAPACITY, items_per
     """
     items = cut(df.filter((F.col(size) > 0) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(size).cast("long").alias("size")))
     shards = max(1, round(items.count() / items_per_shard))
+    # a key of more rows than a shard holds spreads over as many shards as its rows fill
+    hot = items.groupBy("key").agg(F.ceil(F.count("*") / items_per_shard).alias("parts")).filter("parts > 1")
+    spot = F.lit(0)
+    if hot.take(1):
+        items = items.join(hot, "key", "left")
+        spot = F.pmod(F.monotonically_increasing_id(), F.coalesce("parts", F.lit(1)))
+    placed = items.withColumn("shard", F.pmod(F.xxhash64("key", spot), F.lit(shards))).select("key", "size", "shard")
+    placed = cut(placed) if hot.take(1) else placed
 
     def fill(shard: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["size", "key"], ascending=[False, True], kind="stable")
@@ -138,8 +146,9 @@ def pack(df: DataFrame, key: str, size: str, capacity: int = CAPACITY, items_per
         out["container"] += int(shard[0]) << 32
         return out[["key", "piece", "container", "place", "size"]]
 
+    # a stated number of partitions is not coalesced: the shards keep all cores busy
     return (
-        items.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
+        placed.repartition(min(shards, 4 * df.sparkSession.sparkContext.defaultParallelism), "shard")
         .groupBy("shard")
         .applyInPandas(fill, "key long, piece int, container long, place int, size int")
         .withColumnRenamed("key", key)
