@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -17,12 +18,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamplight.session import cut
+from lamplight.session import cut, free
 
 #: Vectors a cell holds on average, and a shard at most; queries a block holds at most.
 CELL, SHARD, BLOCK = 4000, 8000, 20_000
-#: Vectors of one model the centroids are fitted on, at most (every vector is indexed).
-SAMPLE = 100_000
+#: Cells of a model from which they are fitted and found in two levels.
+FLAT = 256
+#: Sampled vectors a centroid is fitted on, and vectors one fit takes at most (every vector is indexed).
+PER_CENTROID, SAMPLE = 64, 100_000
+#: Coarse cells whose fine ones are looked at, at least.
+COARSE = 16
 #: Nearest cells a query visits and width of the beam, for the k most similar and for near pairs;
 #: links of a node.
 PROBES, BEAM, PAIR_PROBES, PAIR_BEAM, LINKS = 16, 48, 3, 20, 20
@@ -71,6 +76,45 @@ def centroids(x: np.ndarray, k: int, rounds: int = 6) -> np.ndarray:
     return c
 
 
+@dataclass
+class Cells:
+    """Centroids of the cells, those of one coarse cell together; start: first of each coarse one, and the end."""
+
+    fine: np.ndarray
+    coarse: np.ndarray
+    start: np.ndarray
+
+    @staticmethod
+    def flat(fine: np.ndarray) -> Cells:
+        return Cells(fine, fine[:1], np.array([0, len(fine)]))
+
+    def nearest(self, x: np.ndarray, m: int) -> np.ndarray:
+        """The m nearest cells of each row, nearest first; -1 where fewer were looked at."""
+        m = min(m, len(self.fine))
+        if len(self.coarse) == 1:
+            return _top(x @ self.fine.T, m)[0]
+        looked = min(len(self.coarse), max(COARSE, math.ceil(2 * m * len(self.coarse) / len(self.fine))))
+        own = _top(x @ self.coarse.T, looked)[0]
+        ids, sims = np.full((len(x), looked, m), -1, np.int64), np.full((len(x), looked, m), -2, np.float32)
+        row, place = np.divmod(np.argsort(own, axis=None, kind="stable"), looked)
+        at = np.searchsorted(own[row, place], np.arange(len(self.coarse) + 1))
+        for c in np.flatnonzero(at[1:] > at[:-1]):
+            r, j, a, b = row[at[c] : at[c + 1]], place[at[c] : at[c + 1]], self.start[c], self.start[c + 1]
+            if b > a:
+                top, sim = _top(x[r] @ self.fine[a:b].T, min(m, b - a))
+                ids[r, j, : top.shape[1]], sims[r, j, : top.shape[1]] = top + a, sim
+        best, sim = _top(sims.reshape(len(x), -1), m)
+        return np.where(sim > -2, np.take_along_axis(ids.reshape(len(x), -1), best, 1), -1)
+
+
+def _top(s: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """Columns of the m largest of each row, largest first, and their values."""
+    top = np.argpartition(-s, m - 1, axis=1)[:, :m]
+    v = np.take_along_axis(s, top, 1)
+    by = np.argsort(-v, axis=1, kind="stable")
+    return np.take_along_axis(top, by, 1), np.take_along_axis(v, by, 1)
+
+
 def _links(x: np.ndarray, m: int) -> np.ndarray:
     """Neighbours of each row among the rows: diverse near ones and those they are near to, -1 padded."""
     n = len(x)
@@ -248,7 +292,47 @@ def _prepared(vectors: DataFrame) -> DataFrame:
     return vectors.select("id", "model", "width", "vector", copy).mapInArrow(run, "id long, model string, width int, copy binary, code binary")
 
 
-def _measured(homed: DataFrame, queries: DataFrame, c: np.ndarray, k: int, probes: int) -> int:
+def _fit(base: DataFrame, n: int, cell: int, flat: int) -> Cells | None:
+    """Cells of the n rows of one model and width; None where one cell is enough.
+
+    Few centroids are fitted on the driver from PER_CENTROID sampled rows each. Beyond flat of them the
+    driver fits only the square root of their number, as coarse cells, and executors fit the fine ones
+    of each coarse cell from its part of the sample.
+    """
+    k = max(1, round(n / cell))
+    if k == 1:
+        return None
+    roots = k if k <= flat else math.ceil(math.sqrt(k))
+    width = base.select("width").first()[0]
+    some = lambda rows: base.filter(F.pmod(F.xxhash64("id"), F.lit(max(1, n // max(rows, 4096)))) == 0)
+    x = _unpacked([r.code for r in some(PER_CENTROID * roots).orderBy("id").select("code").collect()], width)
+    top = centroids(x, roots) if len(x) >= roots else x
+    if k <= flat:
+        return Cells.flat(top)
+    shared = base.sparkSession.sparkContext.broadcast(top)  # square root of the number of cells
+
+    def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = (_unpacked(b.column(1).to_pylist(), width) @ shared.value.T).argmax(axis=1) if b.num_rows else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(own, pa.int32())], names=["id", "code", "coarse"])
+
+    homed = cut(some(PER_CENTROID * k).select("id", "code").mapInArrow(home, "id long, code binary, coarse int"))
+    sizes = {r.coarse: r.n for r in homed.groupBy("coarse").agg(F.count("*").alias("n")).collect()}  # a row a coarse cell
+    share = max(1, n // (PER_CENTROID * k))  # rows that a sampled one stands for
+    thin = F.element_at(F.create_map(*(F.lit(v) for c, m in sizes.items() for v in (c, max(1, math.ceil(m / SAMPLE))))), F.col("coarse"))
+
+    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        y = _unpacked(pdf.sort_values("id")["code"].tolist(), width)
+        want = max(1, min(round(sizes[key[0]] * share / cell), 1 + len(y) // 16))
+        return pd.DataFrame({"coarse": np.full(1, key[0], np.int32), "fine": [centroids(y, want).astype(np.float32).tobytes()]})
+
+    fine = {r.coarse: np.frombuffer(r.fine, np.float32).reshape(-1, width) for r in homed.filter(F.pmod(F.xxhash64("id", F.lit(7)), thin) == 0).groupBy("coarse").applyInPandas(fit, "coarse int, fine binary").collect()}
+    free(homed)
+    parts = [fine.get(c, top[c : c + 1]) for c in range(len(top))]
+    return Cells(np.concatenate(parts), top, np.cumsum([0, *map(len, parts)]))
+
+
+def _measured(homed: DataFrame, queries: DataFrame, cells: Cells, k: int, probes: int) -> int:
     """Nearest cells that hold REACHED of the true k most similar of TRIALS queries; at least probes.
 
     homed and queries: rows of one model and width. The true ones are found exactly, among all rows.
@@ -256,7 +340,7 @@ def _measured(homed: DataFrame, queries: DataFrame, c: np.ndarray, k: int, probe
     some = queries.orderBy(F.xxhash64("id"), "id").limit(TRIALS).select("id", "code").collect()
     if not some:
         return probes
-    width = c.shape[1]
+    width = cells.fine.shape[1]
     q, who = _unpacked([r.code for r in some], width), np.array([r.id for r in some])
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,15 +357,15 @@ def _measured(homed: DataFrame, queries: DataFrame, c: np.ndarray, k: int, probe
         row, col = np.nonzero(sims > -2)
         yield pa.RecordBatch.from_arrays([pa.array(row, pa.int32()), pa.array(sims[row, col], pa.float32()), pa.array(cells[row, col], pa.int32())], names=["q", "sim", "cell"])
 
-    found = homed.select("id", "code", "cell").mapInArrow(best, "q int, sim float, cell int")
+    found = homed.select("id", "code", "cell").mapInArrow(best, "q int, sim float, cell int")  # TRIALS times k a task
     w = Window.partitionBy("q").orderBy(F.desc("sim"), "cell")
     true = found.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k).select("q", "cell").collect()  # TRIALS times k
-    place = np.argsort(np.argsort(-(q @ c.T), axis=1, kind="stable"), axis=1)
-    ranks = np.sort([place[r.q, r.cell] for r in true])
+    place = [{int(c): i for i, c in enumerate(row)} for row in cells.nearest(q, len(cells.fine))]
+    ranks = np.sort([place[r.q].get(r.cell, len(cells.fine)) for r in true])
     return max(probes, int(ranks[math.ceil(REACHED * len(ranks)) - 1]) + 1) if len(ranks) else probes
 
 
-def _cells(base: DataFrame, queries: DataFrame, cell: int, probes: int, measured: int = 0) -> tuple[DataFrame, DataFrame]:
+def _cells(base: DataFrame, queries: DataFrame, cell: int, probes: int, measured: int = 0, flat: int = FLAT) -> tuple[DataFrame, DataFrame]:
     """base with cell; queries with the array of the cells they visit, nearest first.
 
     measured: where there are more cells than probes, visit as many as that number of most similar needs.
@@ -290,13 +374,9 @@ def _cells(base: DataFrame, queries: DataFrame, cell: int, probes: int, measured
     sizes = {(r.model, r.width): r.n for r in base.groupBy("model", "width").agg(F.count("*").alias("n")).collect()}  # a row a model
     fitted = {}
     for (model, width), n in sizes.items():
-        k = max(1, round(n / cell))
-        if k > 1:
-            part = max(1, math.ceil(n / min(SAMPLE, max(64 * k, 4096))))
-            own = base.filter((F.col("model") == model) & (F.col("width") == width) & (F.pmod(F.xxhash64("id"), F.lit(part)) == 0))
-            x = _unpacked([r.code for r in own.orderBy("id").select("code").collect()], width)
-            fitted[model, width] = centroids(x, k) if len(x) >= k else x
-    shared = spark.sparkContext.broadcast(fitted)  # n / CELL centroids
+        if (found := _fit(base.filter((F.col("model") == model) & (F.col("width") == width)), n, cell, flat)) is not None:
+            fitted[model, width] = found
+    shared = spark.sparkContext.broadcast(fitted)  # n / CELL centroids, a 4000th of the vectors
 
     def assign(many: dict[tuple, int], least: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,12 +392,9 @@ def _cells(base: DataFrame, queries: DataFrame, cell: int, probes: int, measured
                         continue
                     for i in range(0, len(rows), 4096):
                         part = rows[i : i + 4096]
-                        s = _unpacked([codes[k] for k in part], key[1]) @ c.T
-                        m = min(many.get(key, least), len(c))
-                        top = np.argpartition(-s, m - 1, axis=1)[:, :m]
-                        top = np.take_along_axis(top, np.argsort(-np.take_along_axis(s, top, 1), axis=1, kind="stable"), 1)
+                        top = c.nearest(_unpacked([codes[k] for k in part], key[1]), many.get(key, least))
                         for k, t in zip(part, top.tolist(), strict=True):
-                            out[k] = t
+                            out[k] = [x for x in t if x >= 0]
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.list_(pa.int32()))], names=["id", "model", "width", "code", "cells"])
 
         return run
@@ -327,7 +404,7 @@ def _cells(base: DataFrame, queries: DataFrame, cell: int, probes: int, measured
     homed = cut(of(base, {}, 1).withColumn("cell", F.element_at("cells", 1)).drop("cells"))
     many = {}
     for (model, width), c in fitted.items():
-        if measured and len(c) > probes:
+        if measured and len(c.fine) > probes:
             one = (F.col("model") == model) & (F.col("width") == width)
             many[model, width] = _measured(homed.filter(one), queries.filter(one), c, measured, probes)
     return homed, of(queries, many, probes)
@@ -350,18 +427,20 @@ def _graphs(base: DataFrame) -> DataFrame:
     return salted.select("model", "width", "cell", "salt", "id", "code").groupBy("model", "width", "cell", "salt").applyInPandas(build, schema)
 
 
-def candidates(base: DataFrame, queries: DataFrame, k: int, probes: int = PROBES, least: float = -2.0, cell: int = CELL, beam: int = BEAM, measured: bool = False) -> DataFrame:
+def candidates(base: DataFrame, queries: DataFrame, k: int, probes: int = PROBES, least: float = -2.0, cell: int = CELL, beam: int = BEAM, measured: bool = False, flat: int = FLAT) -> tuple[DataFrame, list[DataFrame]]:
     """(q, b, sim): up to k results of each query in each shard it visits, at least least; never itself.
 
     base and queries: (id, model, width, code), one row an id. measured: probes is the least, and
-    follows the cells as far as the k most similar of some queries lie (REACHED).
+    follows the cells as far as the k most similar of some queries lie (REACHED). The second result
+    is what can be freed once the first is written.
     """
-    homed, asked = _cells(base, queries, cell, probes, k if measured else 0)
+    homed, asked = _cells(base, queries, cell, probes, k if measured else 0, flat)
     graphs = cut(_graphs(homed))
-    asked = cut(asked.select("id", "model", "width", "code", F.explode("cells").alias("cell")))
+    visits = cut(asked.select("id", "model", "width", "code", F.explode("cells").alias("cell")))
     key = ["model", "width", "cell"]
-    load = asked.groupBy(key).agg(F.count("*").alias("n")).select(*key, F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    asked = asked.join(load, key).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    free(homed)
+    load = visits.groupBy(key).agg(F.count("*").alias("n")).select(*key, F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    asked = visits.join(load, key).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     places = graphs.select(*key, "salt").join(load, key)
     asked = asked.join(places.select(*key, "salt"), key).select(*key, (F.col("salt") + 0).alias("salt"), "block", "id", "code")
     shards = graphs.join(load, key).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*key, "salt", "block", "ids", "codes", "graph", "shape")
@@ -386,7 +465,7 @@ def candidates(base: DataFrame, queries: DataFrame, k: int, probes: int = PROBES
         return pd.concat(parts)
 
     groups = [*key, "salt", "block"]
-    return shards.groupBy(groups).cogroup(asked.groupBy(groups)).applyInPandas(search, "q long, b long, sim double")
+    return shards.groupBy(groups).cogroup(asked.groupBy(groups)).applyInPandas(search, "q long, b long, sim double"), [graphs, visits]
 
 
 def _exact(pairs: DataFrame, vectors: DataFrame, a: str, b: str) -> DataFrame:
@@ -398,7 +477,7 @@ def _exact(pairs: DataFrame, vectors: DataFrame, a: str, b: str) -> DataFrame:
     return both.withColumn("cosine", dot("va", "vb") / (F.sqrt(dot("va", "va")) * F.sqrt(dot("vb", "vb")))).drop("va", "vb")
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, probes: int = PROBES, beam: int = BEAM, cell: int = CELL) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, probes: int = PROBES, beam: int = BEAM, cell: int = CELL, flat: int = FLAT) -> DataFrame:
     """(id, rank, neighbour, cosine): the k most similar vectors of each query id, ties to the lower id.
 
     vectors as of usable(), queries a frame of ids among them; repeated query ids count once. Fewer
@@ -406,9 +485,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, probes: int = P
     """
     codes = cut(_prepared(vectors))
     asked = codes.join(queries.select("id").distinct(), "id", "left_semi")
-    found = candidates(codes, asked, k, probes, cell=cell, beam=beam, measured=True)
+    found, used = candidates(codes, asked, k, probes, cell=cell, beam=beam, measured=True, flat=flat)
     w = Window.partitionBy("q").orderBy(F.desc("sim"), "b")
-    some = found.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k + 5).select("q", "b")
+    some = cut(found.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k + 5).select("q", "b"))
+    free(codes, *used)
     exact = _exact(some, vectors, "q", "b")
     w = Window.partitionBy("q").orderBy(F.desc("cosine"), "b")
     return exact.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(F.col("q").alias("id"), "rank", F.col("b").alias("neighbour"), "cosine")
@@ -424,9 +504,10 @@ def similar_pairs(vectors: DataFrame, least: float = 0.9, k: int = 10, probes: i
     copies = codes.groupBy("model", "width", "copy").agg(F.min("id").alias("id"), F.min("code").alias("code"), F.count("*").alias("n"))
     copies = cut(copies)
     reps = copies.select("id", "model", "width", "code")
-    found = candidates(reps, reps, k, probes, least - SLACK, cell, beam)
+    found, used = candidates(reps, reps, k, probes, least - SLACK, cell, beam)
     w = Window.partitionBy("q").orderBy(F.desc("sim"), "b")
     near = cut(found.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k).select("q", "b", "sim"))
+    free(*used)
     # up to k + 1 lowest ids of each group of copies that has several or is in a pair
     touched = near.select(F.col("q").alias("rep")).unionByName(near.select(F.col("b").alias("rep"))).unionByName(copies.filter("n > 1").select(F.col("id").alias("rep"))).distinct()
     member = codes.join(copies.select(F.col("id").alias("rep"), "model", "width", "copy"), ["model", "width", "copy"]).join(touched, "rep", "left_semi").select("rep", "id")

@@ -48,18 +48,33 @@ def test_pairs_equal_brute_force(spark):
     assert nb.similar_pairs(v.limit(0)).count() == 0
 
 
-def test_recall_holds_where_cells_far_exceed_probes(spark):
-    """A fixed number of probes searches a smaller share the more cells there are."""
+@pytest.mark.parametrize("flat", [256, 16])
+def test_recall_holds_where_cells_far_exceed_probes(spark, flat):
+    """A fixed number of probes searches a smaller share the more cells there are; in one and two levels of cells."""
     x = np.random.default_rng(6).normal(size=(3000, 12))
     v = nb.usable(spark.createDataFrame([(i, r.tolist(), 12, "m", 1) for i, r in enumerate(x)], ROWS))
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     s = u[:100] @ u.T
     s[np.arange(100), np.arange(100)] = -2
     true = {(q, int(b)) for q, near in enumerate(np.argsort(-s, axis=1)[:, :10]) for b in near}
-    got = {(r.id, r.neighbour) for r in nb.nearest(v, v.filter("id < 100"), cell=20).collect()}
+    got = {(r.id, r.neighbour) for r in nb.nearest(v, v.filter("id < 100"), cell=20, flat=flat).collect()}
     assert len(got & true) / len(true) > 0.95
 
 
+def test_cells_in_two_levels_are_those_of_one():
+    """Looked at in full, two levels find the nearest centroids; by a few coarse cells, nearly all."""
+    rng = np.random.default_rng(2)
+    top = nb.unit(rng.normal(size=(60, 16)))
+    parts = [nb.unit(t + 0.2 * rng.normal(size=(int(rng.integers(1, 40)), 16))) for t in top]
+    cells = nb.Cells(np.concatenate(parts), top, np.cumsum([0, *map(len, parts)]))
+    x = nb.unit(rng.normal(size=(300, 16)))
+    true = np.argsort(-(x @ cells.fine.T), axis=1)
+    assert (cells.nearest(x, len(cells.fine)) == true).mean() > 0.999
+    got = cells.nearest(x, 5)
+    assert np.mean([len(set(a) & set(b)) / 5 for a, b in zip(got.tolist(), true[:, :5].tolist(), strict=True)]) > 0.9
+    assert nb.Cells.flat(cells.fine).nearest(x[:0], 5).shape[0] == 0
+
+
 def test_copies_give_few_pairs(spark):
     """A third of all rows are copies of one vector: linked, but not in all pairs."""
     rng = np.random.default_rng(5)
