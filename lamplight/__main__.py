@@ -1,4 +1,4 @@
-"""Command line: python -m lamplight index|search|vector-search|vector-index|top-folder|analyze|status."""
+"""Command line: python -m lamplight index|search|vector-search|vector-index|top-folder|analyze|status|compact."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import argparse
 import json
 import sys
 
-from lamplight.operators import search, sinks, stats
+from lamplight.operators import sinks, stats
 from lamplight.operators.corpus import Corpus
 from lamplight.operators.embedding import HashingEmbedder, query_vector
 from lamplight.operators.vector_search import VectorIndex, clamp_limit, hydrate
@@ -33,6 +33,7 @@ def parser() -> argparse.ArgumentParser:
     v.add_argument("--drop", action="store_true")
     sub.add_parser("analyze")
     sub.add_parser("status")
+    sub.add_parser("compact", help="merge all parts and delete what the newest snapshot does not name; no other run may write")
     return p
 
 
@@ -51,15 +52,17 @@ def main(args: list[str]) -> int:
         chunks = corpus.table("chunks")
         job = corpus.meta().get("last_job_started_at")
         if a.command == "search":
-            out = [r.asDict() for r in search.search(corpus.searchable(), a.query, a.limit, a.fuzzy).collect()]
+            out = [r.asDict() for r in corpus.search(a.query, a.limit, a.fuzzy).collect()]
         elif a.command == "top-folder":
-            out = [r.asDict() for r in search.top_folders(corpus.searchable(), search.match_terms(a.query), k=a.limit).collect()]
+            out = [r.asDict() for r in corpus.top_folders(a.query, a.limit).collect()]
         elif a.command == "vector-search":
             hits, how = VectorIndex(spark, f"{a.corpus}/vectors").search(chunks, query_vector(a.query, model), clamp_limit(a.limit), model.name, job)
             out = {"how": how, "hits": [r.asDict() for r in hydrate(hits, chunks, corpus.table("files")).collect()]}
         elif a.command == "vector-index":
             v = VectorIndex(spark, f"{a.corpus}/vectors")
             out = v.drop() if a.drop else json.loads(v.build(chunks, model.name, model.width, a.tier, job).to_json())
+        elif a.command == "compact":
+            out = {"merged": corpus.compact(everything=True), "deleted": corpus.expire(keep=1)}
         elif a.command == "analyze":
             out = sinks.report(corpus.table("files"))
         else:

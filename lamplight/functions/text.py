@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import functools
+import re
+import sys
 import unicodedata
-from collections.abc import Collection
+from collections.abc import Callable, Collection
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -96,6 +98,21 @@ def fts_tokens(c: Column | str) -> Column:
     return F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}_\p{Co}]+)"), 1)
 
 
+@functools.cache
+def _fts_table() -> dict[int, str | None]:
+    one, to, _ = _fold_tables()
+    marks = (k for k in range(sys.maxunicode + 1) if unicodedata.category(chr(k)).startswith("M"))
+    return dict.fromkeys(marks) | {ord(a): b for a, b in zip(one, to, strict=True)}
+
+
+def fts_tokenizer() -> Callable[[str], list[str]]:
+    """fts_tokens as a Python function, for work that goes through texts once outside the JVM."""
+    table = _fts_table()
+    # \\w is letters, numbers and _; private use characters are tokens too
+    find = re.compile("[\\w\ue000-\uf8ff\U000f0000-\U000ffffd\U00100000-\U0010fffd]+").findall
+    return lambda t: find((t if t.isascii() else t.translate(table)).lower())
+
+
 @F.pandas_udf(StringType())
 def _nfc(s):
     return s.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))

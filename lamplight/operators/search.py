@@ -2,19 +2,30 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import math
+from collections import Counter
+from collections.abc import Iterator, Mapping
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lamplight.functions.stemming import query_terms
-from lamplight.functions.text import fts_tokens, let
-from lamplight.session import cut
+from lamplight.functions.text import fts_tokenizer, fts_tokens, let
+from lamplight.session import cut, free
 
 K1, B = 1.2, 0.75
 SEARCHED = ("name", "path", "content", "tokens")
 
 
+#: Results of a search, at most.
+MOST = 100
+
+
+def clamp_limit(limit: int) -> int:
+    return max(1, min(MOST, limit))
+
+
 def _tokens(docs: DataFrame) -> Column:
     """Tokens of all searched columns that docs has."""
     return F.concat(*(fts_tokens(c) for c in SEARCHED if c in docs.columns))
@@ -53,61 +64,133 @@ def bm25(docs: DataFrame, terms: list[str], id: str = "id", k: int = 20) -> Data
     empty; no terms and no documents give no rows. The first pass brings four numbers and one
     count a term to the driver; the second, over what the first wrote, keeps k rows a task.
     """
-    import math
-
     tf = term_frequencies(docs, terms, id)
     if terms:
         tf = cut(tf)  # a few numbers a document, read twice
     else:
         return tf.select("id", F.lit(0.0).alias("score")).limit(0)
     n, mean, *df = tf.agg(F.count("*"), F.avg("length"), *(F.count_if(F.col("f")[i] > 0) for i in range(len(terms)))).first()
-    idf = [x if (x := math.log((n - d + 0.5) / (d + 0.5))) > 0 else 1e-6 for d in df] if n else [0.0] * len(terms)
+    idf = [bm25_idf(n, d) for d in df] if n else [0.0] * len(terms)
     hit = tf.filter(F.exists("f", lambda x: x > 0))
     return hit.select("id", bm25_score(F.col("f"), F.col("length"), idf, mean or 1.0).alias("score")).orderBy(F.desc("score"), "id").limit(k)
 
 
-def build_postings(docs: DataFrame, id: str = "id") -> tuple[DataFrame, DataFrame]:
-    """Inverted index for many queries: (term, id, tf) and (id, length).
+POSTINGS = "term string, file_id long, tf int, length int"
+
 
-    Frequencies are counted within a document before anything is shuffled; write the first
-    bucketed or sorted by term, so that a query reads only its terms.
+def postings_of(docs: DataFrame, id: str = "id") -> DataFrame:
+    """(term, file_id, tf, length) of every searched column that docs has, counted document by document.
+
+    length is that of the document, in tokens. A document is one Arrow row, so nothing is shuffled;
+    null columns count as empty, and documents without tokens have no postings. The tokens are those of
+    functions.text.fts_tokens.
     """
-    d = docs.select(F.col(id).alias("id"), F.array_sort(_tokens(docs)).alias("s"))
+    own = [c for c in SEARCHED if c in docs.columns]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = fts_tokenizer()
+        for b in batches:
+            terms, ids, tfs, lengths = [], [], [], []
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                f = Counter(t for c in row[1:] if c for t in tokens(c))
+                terms += f.keys()
+                tfs += f.values()
+                ids += [row[0]] * len(f)
+                lengths += [f.total()] * len(f)
+                if len(terms) > 200_000:
+                    yield _postings(terms, ids, tfs, lengths)
+                    terms, ids, tfs, lengths = [], [], [], []
+            yield _postings(terms, ids, tfs, lengths)
 
-    def runs(s: Column) -> Column:
-        """(term, tf) of the runs of equal tokens in a sorted array."""
-        n = F.size(s)
-        first = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: (i == 1) | (F.element_at(s, i) != F.element_at(s, F.greatest(i - 1, F.lit(1)))))
-        pair = lambda i, j: F.struct(F.element_at(s, i).alias("term"), (j - i).alias("tf"))
-        made = let(first, lambda at: F.zip_with(at, F.concat(F.slice(at, F.lit(2), F.size(at)), F.array(n + 1)), pair))
-        return F.when(n > 0, made)
+    return docs.select(F.col(id).cast("long"), *own).mapInArrow(run, POSTINGS)
 
-    both = cut(d.select("id", F.explode(F.array(let(F.col("s"), lambda s: F.struct(F.size(s).alias("length"), runs(s).alias("p"))))).alias("m")))
-    return both.select("id", F.explode("m.p").alias("p")).select("p.term", "id", "p.tf"), both.select("id", "m.length")
 
+def _postings(terms: list, ids: list, tfs: list, lengths: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(ids, pa.int64()), pa.array(tfs, pa.int32()), pa.array(lengths, pa.int32())], names=["term", "file_id", "tf", "length"])
 
-def search_postings(postings: DataFrame, lengths: DataFrame, queries: list[tuple[str, list[str]]], k: int = 20) -> DataFrame:
-    """(query, id, score, rank) of several queries in one pass over the index; as bm25 otherwise."""
-    import math
 
-    from pyspark.sql import Window
+#: Postings a file of an index holds, about.
+FILE_POSTINGS = 2_000_000
 
+
+def write_postings(postings: DataFrame, path: str) -> None:
+    """Sorted by term, one file a range of terms, with bloom filters: a query opens the files and row
+    groups of its terms only. A term of very many documents spans several files."""
+    staged = cut(postings)
+    n = staged.count() // FILE_POSTINGS + 1
+    ranged = staged.repartitionByRange(n, "term", "file_id") if n > 1 else staged.coalesce(1)
+    ranged.sortWithinPartitions("term", "file_id").write.option("parquet.bloom.filter.enabled#term", "true").option("parquet.block.size", str(16 << 20)).parquet(path)
+    free(staged)
+
+
+def bm25_idf(n: int, d: int) -> float:
+    """Weight of a term that d of n documents hold; floored where it would not be positive."""
+    x = math.log((n - d + 0.5) / (d + 0.5))
+    return x if x > 0 else 1e-6
+
+
+def search_postings(postings: DataFrame, documents: int, tokens: int, queries: list[tuple[str, list[str]]], k: int = 20) -> DataFrame:
+    """(query, id, score, rank) of several queries over stored postings; as bm25 otherwise.
+
+    documents and tokens: how many all documents are and hold. Only the postings of the queries' terms
+    are read; a row a term comes to the driver.
+    """
     spark = postings.sparkSession
-    n, mean = lengths.agg(F.count("*"), F.avg("length")).first()
     terms = sorted({t for _, ts in queries for t in ts})
-    if not terms or not n:
+    if not terms or not documents:
         return spark.createDataFrame([], "query string, id long, score double, rank int")
     mine = postings.filter(F.col("term").isin(terms))
-    df = {r.term: r.n for r in mine.groupBy("term").agg(F.count("*").alias("n")).collect()}  # a row a query term
-    weights = [(q, t, x if (x := math.log((n - df[t] + 0.5) / (df[t] + 0.5))) > 0 else 1e-6) for q, ts in queries for t in ts if t in df]
+    df = {r.term: r.n for r in mine.groupBy("term").agg(F.count("*").alias("n")).collect()}
+    weights = [(q, t, bm25_idf(documents, df[t])) for q, ts in queries for t in ts if t in df]
     w = spark.createDataFrame(weights or [("", "", 0.0)], "query string, term string, idf double")
-    tf = F.col("tf").cast("double")
+    tf, mean = F.col("tf").cast("double"), max(tokens, 1) / documents
     part = F.col("idf") * tf * (K1 + 1) / (tf + K1 * ((1 - B) + B * F.col("length") / F.lit(mean)))
-    scored = mine.join(F.broadcast(w), "term").join(lengths, "id").groupBy("query", "id").agg(F.sum(part).alias("score"))
+    scored = mine.join(F.broadcast(w), "term").groupBy("query", F.col("file_id").alias("id")).agg(F.sum(part).alias("score"))
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+def folders_of(postings: DataFrame, folders: DataFrame, terms: list[str], folder: str = "dir", k: int = 10) -> DataFrame:
+    """(folder, n) of the documents that hold a term; folders: (id, folder)."""
+    hit = postings.filter(F.col("term").isin(terms)).select(F.col("file_id").alias("id")).distinct()
+    return folders.select("id", folder).join(hit, "id", "left_semi").groupBy(folder).agg(F.count("*").alias("n")).orderBy(F.desc("n"), folder).limit(k)
+
+
+class SearchIndex:
+    """An inverted index in a folder, of any documents; the statistics, written last, say it is whole."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _fs(self, name: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
+
+    def exists(self) -> bool:
+        fs, p = self._fs("statistics/_SUCCESS")
+        return fs.exists(p)
+
+    def drop(self) -> None:
+        for name in ("statistics", "postings"):
+            fs, p = self._fs(name)
+            fs.delete(p, True)
+
+    def write(self, docs: DataFrame, id: str = "id") -> None:
+        self.drop()
+        write_postings(postings_of(docs, id), f"{self.path}/postings")
+        lengths = self.postings().groupBy("file_id").agg(F.first("length").alias("length")).agg(F.sum("length")).first()[0]
+        self.spark.createDataFrame([(docs.count(), int(lengths or 0))], "documents long, tokens long").coalesce(1).write.parquet(f"{self.path}/statistics")
+
+    def postings(self) -> DataFrame:
+        return self.spark.read.schema(POSTINGS).parquet(f"{self.path}/postings")
+
+    def statistics(self) -> tuple[int, int]:
+        return tuple(self.spark.read.schema("documents long, tokens long").parquet(f"{self.path}/statistics").first())
+
+    def search(self, queries: list[tuple[str, list[str]]], k: int = 20) -> DataFrame:
+        return search_postings(self.postings(), *self.statistics(), queries, k)
+
+
 def snippet(content: Column | str, terms: list[str], tokens: int = 12) -> Column:
     """The window of so many tokens with most distinct terms (the earliest on ties), terms in [ ],
     an ellipsis where text is left out. For the few winners of a search."""
@@ -177,6 +260,12 @@ def fuzzy_names(names: DataFrame, query: str, name: str = "name", id: str = "id"
     return rows.withColumn("score", score(F.lower("name"))).orderBy(F.desc("score"), "id").limit(k)
 
 
+def fuzzy_hits(names: DataFrame, query: str, k: int = 20) -> DataFrame:
+    """The names most like the query as search results."""
+    near = fuzzy_names(names, query, k=k)
+    return near.select("id", "score", F.concat(F.lit("~"), F.round(F.col("score") * 100).cast("int").cast("string"), F.lit("% name match")).alias("snippet"))
+
+
 def top_folders(docs: DataFrame, terms: list[str], folder: str = "dir", k: int = 10) -> DataFrame:
     """(folder, n): where the matching documents are, most first, ties by name."""
     hit = docs.filter(F.arrays_overlap(_tokens(docs), F.array(*(F.lit(t) for t in terms)))) if terms else docs.limit(0)
@@ -191,7 +280,6 @@ def search(docs: DataFrame, query: str, k: int = 20, fuzzy: bool = False, abbrev
     terms = match_terms(query, abbreviations)
     hits = bm25(docs, terms, k=k)
     if fuzzy and not hits.take(1):
-        near = fuzzy_names(docs, query, k=k)
-        return near.select("id", "score", F.concat(F.lit("~"), F.round(F.col("score") * 100).cast("int").cast("string"), F.lit("% name match")).alias("snippet"))
+        return fuzzy_hits(docs, query, k)
     text = docs.select("id", "content").join(F.broadcast(hits), "id")  # at most k rows
     return text.select("id", "score", snippet("content", terms).alias("snippet")).orderBy(F.desc("score"), "id")

@@ -11,17 +11,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lamplight.operators.search import clamp_limit
 from lamplight.functions.vectors import bit_codes, cosine_f32, hamming, int8_codes, literal
 
-MOST = 100
 #: Results beyond the limit that a coarse ranking hands on, so that rounding cannot lose a tie.
 MARGIN = 100
 
 
-def clamp_limit(limit: int) -> int:
-    return max(1, min(MOST, limit))
-
-
 def pool_size(limit: int) -> int:
     """Candidates of a quantised search that are ranked again exactly."""
     return max(limit, min(10 * limit, 200))

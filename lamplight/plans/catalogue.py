@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lamplight.functions import methods, stemming, text, vectors
+from lamplight.operators.corpus import Change, Corpus
 from lamplight.operators import chunking, incremental, jobs, resume, search, stats, vector_search, vision
-from lamplight.session import spread, table
+from lamplight.session import shared_dir, spread, table
 from lamplight.streaming import operators as streams
 
 QUERIES: dict = {}
@@ -178,8 +181,12 @@ def chunk_page_spans(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---- full text ---------------------------------------------------------------------------
 
-SEARCH = "risk assessment ledger"
-SEARCHES = ("risk assessment ledger", "Prüfbericht", "hợp đồng tín dụng", "dossier du client")
+#: A search and its index terms, written out.
+SEARCH, SEARCH_TERMS = "risk assessment ledger", ["assess", "assessment", "ledger", "risk"]
+SEARCHES = {
+    "risk assessment ledger": SEARCH_TERMS, "Prüfbericht": ["prufbericht", "prüfbericht"],
+    "hợp đồng tín dụng": ["dong", "dung", "hop", "hợp", "tin", "tín", "đồng", "dụng"], "dossier du client": ["client", "dossier", "du"],
+}
 
 
 def _fts_sql(terms: list[str]) -> str:
@@ -196,25 +203,49 @@ def _fts_sql(terms: list[str]) -> str:
     )
 
 
-def _terms(q: str) -> list[str]:
-    return search.match_terms(q)
+def _index(spark: SparkSession, sf: str, fresh: bool = False) -> search.SearchIndex:
+    """The stored index of documents, in the shared folder; written once for each state of the table."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{sf}/documents.parquet")
+    at = p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).getModificationTime()
+    name = hashlib.md5(f"{sf} {at}".encode()).hexdigest()
+    index = search.SearchIndex(spark, f"{shared_dir(spark).rstrip('/')}/lamplight-fts-{name}")
+    if fresh or not index.exists():
+        index.write(_docs(spark, sf))
+    return index
 
 
-@query(_fts_sql(_terms(SEARCH)) + " SELECT id FROM r")
+_FTS_TOKENS = "SELECT doc_id, unnest(list_concat({name}, list_concat({path}, {text}))) AS term FROM documents".format(
+    **{k: rf"regexp_extract_all(lower(strip_accents(coalesce({v}, ''))), '[\p{{L}}\p{{N}}_\p{{Co}}]+')" for k, v in {"name": "name", "path": _DOC_PATH, "text": "replace(text, chr(0), ' ')"}.items()}
+)
+
+
+@query(f"WITH t AS ({_FTS_TOKENS}) SELECT (SELECT count(*) FROM documents) AS documents, count(*) AS tokens, count(DISTINCT term) AS terms FROM t")
+def fts_index(spark: SparkSession, sf: str) -> DataFrame:
+    """Writes the stored index anew; the searches below read it."""
+    index = _index(spark, sf, fresh=True)
+    return index.postings().agg(F.countDistinct("term").alias("terms")).select(*(F.lit(v).cast("long").alias(n) for n, v in zip(("documents", "tokens"), index.statistics(), strict=True)), "terms")
+
+
+@query(_fts_sql(SEARCH_TERMS) + " SELECT id FROM r")
 def fts_match(spark: SparkSession, sf: str) -> DataFrame:
-    tf = search.term_frequencies(_docs(spark, sf), _terms(SEARCH))
+    tf = search.term_frequencies(_docs(spark, sf), search.match_terms(SEARCH))
     return tf.filter(F.exists("f", lambda x: x > 0)).select("id")
 
 
-@query(_fts_sql(_terms(SEARCH)) + " SELECT id, round(score, 6) AS score FROM r ORDER BY r.score DESC, id LIMIT 20")
+@query(_fts_sql(SEARCH_TERMS) + " SELECT id, round(score, 6) AS score FROM r ORDER BY r.score DESC, id LIMIT 20")
+def fts_bm25_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Without an index: every document is tokenized."""
+    return search.bm25(_docs(spark, sf), search.match_terms(SEARCH)).select("id", F.round("score", 6).alias("score"))
+
+
+@query(_fts_sql(SEARCH_TERMS) + " SELECT id, round(score, 6) AS score FROM r ORDER BY r.score DESC, id LIMIT 20")
 def fts_bm25_top(spark: SparkSession, sf: str) -> DataFrame:
-    return search.bm25(_docs(spark, sf), _terms(SEARCH)).select("id", F.round("score", 6).alias("score"))
+    return _index(spark, sf).search([(SEARCH, search.match_terms(SEARCH))]).select("id", F.round("score", 6).alias("score"))
 
 
-@query(" UNION ALL ".join(f"SELECT * FROM ({_fts_sql(_terms(q))} SELECT '{q}' AS query, id, round(score, 6) AS score FROM r ORDER BY r.score DESC, id LIMIT 10)" for q in SEARCHES))
+@query(" UNION ALL ".join(f"SELECT * FROM ({_fts_sql(ts)} SELECT '{q}' AS query, id, round(score, 6) AS score FROM r ORDER BY r.score DESC, id LIMIT 10)" for q, ts in SEARCHES.items()))
 def search_hits_multi(spark: SparkSession, sf: str) -> DataFrame:
-    postings, lengths = search.build_postings(_docs(spark, sf))
-    hits = search.search_postings(postings, lengths, [(q, _terms(q)) for q in SEARCHES], k=10)
+    hits = _index(spark, sf).search([(q, search.match_terms(q)) for q in SEARCHES], k=10)
     return hits.select("query", "id", F.round("score", 6).alias("score"))
 
 
@@ -223,9 +254,10 @@ def fts_snippet(spark: SparkSession, sf: str) -> DataFrame:
     return search.search(_docs(spark, sf), SEARCH)
 
 
-@query(_fts_sql(_terms(SEARCH)) + " SELECT dir, count(*) AS n FROM r GROUP BY dir ORDER BY n DESC, dir LIMIT 10")
+@query(_fts_sql(SEARCH_TERMS) + " SELECT dir, count(*) AS n FROM r GROUP BY dir ORDER BY n DESC, dir LIMIT 10")
 def top_folders(spark: SparkSession, sf: str) -> DataFrame:
-    return search.top_folders(_docs(spark, sf), _terms(SEARCH))
+    folders = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("dir"))
+    return search.folders_of(_index(spark, sf).postings(), folders, search.match_terms(SEARCH))
 
 
 @query("SELECT p_partkey AS id, p_name AS name, round(jaro_winkler_similarity('misty rose part', lower(p_name)), 6) AS score FROM part ORDER BY jaro_winkler_similarity('misty rose part', lower(p_name)) DESC, id LIMIT 20")
@@ -474,9 +506,12 @@ def _run(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"SELECT coalesce(n.path, o.path) AS path, coalesce(n.method, o.method) AS method, n.path IS NOT NULL AS rewritten FROM {_STORED_SQL} o FULL JOIN {_RUN_SQL} n ON n.path = o.path")
 def upsert_merge(spark: SparkSession, sf: str) -> DataFrame:
-    old, new = _stored(spark, sf), _run(spark, sf)
-    kept = old.join(new.select("path"), "path", "left_anti").select("path", "method", F.lit(False).alias("rewritten"))
-    return kept.unionByName(new.select("path", "method", F.lit(True).alias("rewritten")))
+    """Through a corpus: what is stored is committed, then the run's results are upserted."""
+    corpus = Corpus(spark, f"{shared_dir(spark).rstrip('/')}/lamplight-corpus-{uuid.uuid4().hex}")
+    corpus.commit(Change({"files": _stored(spark, sf), "chunks": table(spark, sf, "chunks").select("id", "file_id", "chunk_index", "page_start")}, {}))
+    none = F.array().cast("array<struct<chunk_index:int,content:string,embedding:array<float>,model:string,page_start:int,page_end:int>>")
+    corpus.upsert(_run(spark, sf).select("*", F.lit("").alias("name"), F.lit("").alias("content"), F.array().cast("array<string>").alias("tokens"), none.alias("chunks")), -1.0)
+    return corpus.table("files").select("path", "method", F.coalesce(F.col("indexed_at") == -1, F.lit(False)).alias("rewritten"))
 
 
 @query(

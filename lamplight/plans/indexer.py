@@ -108,6 +108,7 @@ def index(spark: SparkSession, roots: list[str], out: str, model: embedding.Embe
         good = spark.read.parquet(stored)
         n.kept += got.count() - good.count()
         corpus.upsert(good, time.time())
+        corpus.compact()
         c = resume.counters(good).first()
         n.files, n.bytes, n.ocr_files, n.errors, n.encrypted, n.incomplete = n.files + c.files, n.bytes + c.bytes, n.ocr_files + c.ocr_files, n.errors + c.errors, n.encrypted + c.encrypted, n.incomplete + c.incomplete
         n.chunks += good.agg(F.coalesce(F.sum(F.size("chunks")), F.lit(0))).first()[0]

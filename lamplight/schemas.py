@@ -6,20 +6,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SCHEMA_VERSION = 2
+SCHEMA_VERSION = 3
 
 DISCOVERED = "path string, name string, ext string, dir string, drive string, size long, mtime double"
 FILES = (
     "id long, path string, drive string, dir string, name string, ext string, size long, mtime double, lang string, method string, ocr_used int,"
     " pages long, chars long, sha1 string, indexed_at double, attempts long, last_attempt_at double, elapsed_ms long"
 )
-DOCUMENTS = "file_id long, name string, path string, content string, tokens string"
+DOCUMENTS = "file_id long, name string, path string, content string, tokens string, n_tokens int"
 CHUNKS = "id long, file_id long, chunk_index int, content string, embedding array<float>, dimensions int, model string, page_start int, page_end int"
 VISION = "file_id long, caption string, tags array<struct<tag:string,score:float>>, objects array<struct<label:string,count:int,confidence:float>>, phash string, exif map<string,string>, quality struct<blur:double,luma:double,dark:double,bright:double>, mode string"
 FACES = "file_id long, face_index int, x int, y int, w int, h int, quality float, embedding array<float>, model string, frame int"
 META = "key string, value string"
 JOBS = "id string, status string, envelope_json string, updated_at double"
-TABLES = {"files": FILES, "documents": DOCUMENTS, "chunks": CHUNKS, "vision": VISION, "faces": FACES}
+POSTINGS = "term string, file_id long, tf int, length int"
+TABLES = {"files": FILES, "documents": DOCUMENTS, "chunks": CHUNKS, "vision": VISION, "faces": FACES, "postings": POSTINGS}
 
 
 def conform(df: DataFrame, ddl: str) -> DataFrame:

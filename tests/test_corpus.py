@@ -54,9 +54,13 @@ def test_index_resume_and_prune(spark, tree, tmp_path):
     assert files["bao_cao_vi.txt"].lang == "vi" and files["a.docx"].method == "docx"
     ids = {k: r.id for k, r in files.items()}
     assert sorted(ids.values()) == [1, 2, 3, 4, 5, 6]
-    docs = c.searchable()
-    assert search.search(docs, "launder").first().id == ids["report_en.txt"]
-    assert search.search(docs, "ngan hang").first().id == ids["bao_cao_vi.txt"]
+    for query in ("launder", "ngan hang", "know your customer bank", "zzz", " "):
+        want = [(r.id, round(r.score, 9), r.snippet) for r in search.search(c.searchable(), query).collect()]
+        assert [(r.id, round(r.score, 9), r.snippet) for r in c.search(query).collect()] == want
+    assert c.search("launder").first().id == ids["report_en.txt"]
+    assert c.search("ngan hang").first().id == ids["bao_cao_vi.txt"]
+    assert c.search("raport_en.txt", fuzzy=True).first().id == ids["report_en.txt"]
+    assert [tuple(r) for r in c.top_folders("bank").collect()] == [tuple(r) for r in search.top_folders(c.searchable(), ["bank"]).collect()]
     assert c.text(ids["a.docx"]) == "Contract of the bank" and c.text(999) is None
     # the broken file is tried again, three times in all
     for attempts in (2, 3, 3):
@@ -71,7 +75,9 @@ def test_index_resume_and_prune(spark, tree, tmp_path):
     assert (n.removed, n.files) == (1, 1)
     now = {r.name: r.id for r in c.table("files").collect()}
     assert now["report_en.txt"] == ids["report_en.txt"] and "outside.txt" in now and "notes.md" not in now
-    assert search.search(c.searchable(), "laundering").count() == 0
+    assert c.search("laundering").count() == 0 and c.search("deposit").first().id == now["report_en.txt"]
+    for query in ("deposit", "bank", "outside"):
+        assert [tuple(r) for r in c.search(query).collect()] == [tuple(r) for r in search.search(c.searchable(), query).collect()]
     # a changed file that fails keeps nothing old; an unchanged one that fails keeps its row
     other = index(spark, [os.path.join(tree, "docs")], out, HashingEmbedder(32), s)
     assert other.files >= 3 and {r.model for r in c.table("chunks").filter("file_id != %d" % now["outside.txt"]).collect()} == {"hashing-32"}
@@ -212,3 +218,63 @@ def test_exhaustive_pdf_recognises_every_page(monkeypatch):
     assert (got.method, got.ocr_used, got.pages) == ("pdf-exhaustive-ocr", 1, 3) and got.text.startswith("[Page 1]\n[Text layer]\nlayer one\n\n[Page 2]\n[OCR]\nscanned two")
     with pytest.raises(extract.Unsupported):
         extract.extract_bytes(b"", "a.pdf", s, path="a.pdf")
+
+
+ROWS = "path string, drive string, dir string, name string, ext string, size long, mtime double, lang string, method string, ocr_used int, pages long, sha1 string, elapsed_ms long, content string, tokens array<string>, chunks array<struct<chunk_index:int,content:string,embedding:array<float>,model:string,page_start:int,page_end:int>>"
+
+
+def stored_rows(spark, names, word="seen"):
+    return spark.createDataFrame([(n, "/", "/d", n, ".txt", 1, 1.0, "en", "text", 0, None, None, 5, f"{word} {n}", [word], [(0, word, [1.0, 0.0], "m", None, None)]) for n in names], ROWS)
+
+
+def weight(folder):
+    return sum(os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(folder) for f in fs)
+
+
+def state(c):
+    """Everything a corpus holds, batch numbers aside."""
+    tables = {t: sorted(map(str, (r.asDict() for r in c.table(t).collect()))) for t in ("files", "documents", "chunks", "vision", "faces", "postings")}
+    return tables, c.statistics()
+
+
+def test_a_batch_writes_in_proportion_to_itself(spark, tmp_path):
+    """100 files into a corpus of 100 and into one of 10,000: the same bytes."""
+    wrote = {}
+    for n in (100, 10_000):
+        c = Corpus(spark, str(tmp_path / f"c{n}"))
+        c.upsert(stored_rows(spark, [f"old{k}" for k in range(n)]), 1.0)
+        before = weight(c.root)
+        c.upsert(stored_rows(spark, [*(f"old{k}" for k in range(50)), *(f"new{k}" for k in range(50))], "fresh"), 2.0)
+        wrote[n] = weight(c.root) - before
+        assert c.table("files").count() == n + 50 and c.table("files").select("id").distinct().count() == n + 50
+        assert {r.file_id for r in c.table("postings").filter("term = 'fresh'").collect()} == {r.id for r in c.table("files").filter("indexed_at = 2").collect()}
+        assert c.statistics() == (n + 50, c.table("documents").agg(F.sum("n_tokens")).first()[0])
+    assert wrote[10_000] < 1.2 * wrote[100]
+
+
+def test_compaction_and_expiry_keep_the_content(spark, tmp_path):
+    c = Corpus(spark, str(tmp_path / "c"))
+    for k in range(9):
+        c.upsert(stored_rows(spark, [f"f{i}" for i in range(k, k + 4)], f"word{k}"), float(k))
+    c.remove(c.table("files").filter("name in ('f0', 'f7')").select("path"))
+    c.set_sha1(spark.createDataFrame([("f3", "aa"), ("f4", None)], "path string, sha1 string"))
+    c.record_failed(spark.createDataFrame([("f5", 77)], "path string, elapsed_ms long"), 99.0)
+    now = state(c)
+    assert c.table("files").filter("name = 'f3'").first().sha1 == "aa" and c.table("files").filter("name = 'f5'").first().elapsed_ms == 77
+    parts = len(c._snapshot()["parts"]["files"])
+    assert c.compact() and len(c._snapshot()["parts"]["files"]) < parts and state(c) == now
+    c.upsert(stored_rows(spark, ["f1", "f20"], "later"), 50.0)
+    c.remove(c.table("files").filter("name = 'f2'").select("path"))
+    now = state(c)
+    assert c.compact(everything=True) and state(c) == now and not any(c._snapshot()["gone"].values())
+    assert c.expire(1) and state(c) == now and not c.expire(1)
+    assert [r.id for r in c.search("later").collect()] == [r.id for r in search.search(c.searchable(), "later").collect()]
+    assert not os.path.isdir(os.path.join(c.root, "staged")) or not os.listdir(os.path.join(c.root, "staged"))
+
+
+def test_an_index_reads_only_the_terms_of_a_query(spark, tmp_path):
+    c = Corpus(spark, str(tmp_path / "c"))
+    c.upsert(stored_rows(spark, [f"f{i}" for i in range(50)]), 1.0)
+    plan = c.table("postings").filter(F.col("term").isin(["seen"]))._jdf.queryExecution().executedPlan().toString()
+    assert "In(term" in plan.replace(" ", "") or "EqualTo(term,seen)" in plan
+    assert "content" not in plan

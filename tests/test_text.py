@@ -59,7 +59,7 @@ def test_enrichment():
     assert stemming.enriched([], "en") == []
 
 
-def test_bm25_equals_sqlite(spark):
+def test_bm25_equals_sqlite(spark, tmp_path):
     from lamplight.operators import search
 
     docs = [(1, "a.txt", "d/a.txt", "risk report about risk", "tok"), (2, "b.txt", "d/b.txt", "a deposit ledger", ""), (3, "risk", "e/c.txt", "đồng ngân hàng", "risk"), (4, None, "e/d.txt", None, None)]
@@ -74,9 +74,18 @@ def test_bm25_equals_sqlite(spark):
         assert all(abs(a + b) < 1e-9 for (_, a), (_, b) in zip(got, true, strict=True))
     assert search.bm25(df, []).count() == 0
     assert search.search(df, "   ").count() == 0
-    p, n = search.build_postings(df)
-    many = search.search_postings(p, n, [("q", ["risk", "report"])]).orderBy("rank").collect()
+    index = search.SearchIndex(spark, str(tmp_path / "index"))
+    assert not index.exists()
+    index.write(df)
+    many = index.search([("q", ["risk", "report"])]).orderBy("rank").collect()
     assert [(r.id, round(r.score, 9)) for r in many] == [(r.id, round(r.score, 9)) for r in search.bm25(df, ["report", "risk"]).collect()]
     assert search.search(df, "rsik", fuzzy=True).first().id == 3
     snip = search.search(df, "ngân").first().snippet
     assert snip == "đồng [ngân] hàng"
+
+
+def test_index_tokens_are_those_of_the_column(spark):
+    samples = ["", "Ünïcode_Ötzi 12½ x²", "ngân hàng ĐỒNG e\u0301t", "한글 テスト ﬁne", "\ue000x İstanbul ΣΟΦΟΣ", "a\u200bb\u00ad-c\u0000d", "\U0001f600 👩\u200d👩 नमस्ते"]
+    df = spark.createDataFrame([(x,) for x in samples], "x string")
+    tokens = text.fts_tokenizer()
+    assert [r[0] for r in df.select(text.fts_tokens("x")).collect()] == [tokens(x) for x in samples]
