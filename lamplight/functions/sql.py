@@ -17,6 +17,13 @@ def register(spark: SparkSession) -> list[str]:
 
     from lamplight.operators.search import jaro_winkler
 
+    def likeness(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = pd.Series(float("nan"), index=a.index)
+        fine = a.notna() & b.notna()
+        for x, rows in a[fine].groupby(a[fine]).groups.items():
+            out[rows] = jaro_winkler(x, b[rows].tolist())
+        return out
+
     def cosine(a, b):
         out = []
         for x, y in zip(a, b, strict=True):
@@ -33,7 +40,7 @@ def register(spark: SparkSession) -> list[str]:
         "stem_en": F.pandas_udf(lambda s: s.map(stem, na_action="ignore"), "string"),
         "enrich": F.pandas_udf(lambda s, x: pd.Series([None if t is None else enriched(re.findall(r"[^\W_]+", t.lower()), v or "und") for t, v in zip(s, x, strict=True)]), "array<string>"),
         "cosine": F.pandas_udf(cosine, "double"),
-        "jaro_winkler": F.pandas_udf(lambda a, b: pd.Series([None if x is None or y is None else jaro_winkler(x, y) for x, y in zip(a, b, strict=True)], dtype="float64"), "double"),
+        "jaro_winkler": F.pandas_udf(likeness, "double"),
     }
     for name, f in made.items():
         spark.udf.register(name, f)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 from collections.abc import Collection, Mapping
@@ -36,6 +37,7 @@ def _short_end(w: str) -> bool:
     return bool(re.search(r"[^aeiouy][aeiouy][^aeiouywxY]$", w) or re.fullmatch(r"[aeiouy][^aeiouy]", w))
 
 
+@functools.lru_cache(maxsize=200_000)
 def stem(word: str) -> str:
     """Porter2 stem of a lower-case word."""
     if len(word) <= 2:
@@ -102,6 +104,7 @@ def drop_marks(word: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", word) if not unicodedata.category(c).startswith("M"))
 
 
+@functools.lru_cache(maxsize=200_000)
 def fold_word(word: str) -> str:
     return drop_marks(word).replace("đ", "d").replace("Đ", "D")
 

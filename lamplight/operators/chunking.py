@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamplight.functions.text import trim_white
@@ -32,18 +32,19 @@ def paged_windows(df: DataFrame, key: str, text: str, size: int = SIZE, stride:
     cut = F.transform(F.split(text, "\f"), lambda t, k: F.struct((k + 1).alias("page"), t.alias("text")))
     full = F.filter(cut, lambda p: F.length(trim_white(p["text"])) > 0)
     d = df.filter(F.col(text).isNotNull()).select(key, full.alias("p")).withColumn("whole", F.array_join(F.transform("p", lambda x: x["text"]), ""))
+    # a page is its number and where it starts and stops; the texts stay behind when windows are made
     ends = F.aggregate("p", F.array().cast("array<int>"), lambda a, x: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + F.length(x["text"]))))
-    d = d.withColumn("ends", ends)
-    w = _windows_with(d, key, size, stride)
-    hit = F.filter(F.zip_with("p", "ends", lambda p, e: F.struct(p["page"].alias("page"), e.alias("stop"), (e - F.length(p["text"])).alias("at"))), lambda x: (x["stop"] > F.col("start")) & (x["at"] < F.col("start") + F.length("content")))
-    return w.withColumn("hit", hit).select(key, "chunk_index", "start", "content", F.array_min(F.transform("hit", lambda x: x["page"])).alias("page_start"), F.array_max(F.transform("hit", lambda x: x["page"])).alias("page_end"))
+    spans = F.zip_with("p", ends, lambda p, e: F.struct(p["page"].alias("page"), e.alias("stop"), (e - F.length(p["text"])).alias("at")))
+    d = d.select(key, "whole", spans.alias("spans"))
+    made = F.transform(chunk_starts(F.col("whole"), size, stride), lambda s: F.struct(s.alias("start"), F.substring(F.col("whole"), s + 1, F.lit(size)).alias("content")))
+    kept = F.filter(made, lambda w: F.length(trim_white(w["content"])) > 0)
 
+    def within(w: Column) -> Column:
+        stop = w["start"] + F.length(w["content"])
+        hit = F.transform(F.filter("spans", lambda x: (x["stop"] > w["start"]) & (x["at"] < stop)), lambda x: x["page"])
+        return F.struct(w["start"].alias("start"), w["content"].alias("content"), F.array_min(hit).alias("page_start"), F.array_max(hit).alias("page_end"))
 
-def _windows_with(d: DataFrame, key: str, size: int, stride: int) -> DataFrame:
-    cut = F.transform(chunk_starts(F.col("whole"), size, stride), lambda s: F.struct(s.alias("start"), F.substring(F.col("whole"), s + 1, F.lit(size)).alias("content")))
-    kept = F.filter(cut, lambda w: F.length(trim_white(w["content"])) > 0)
-    pages_only = F.transform("p", lambda x: F.struct(x["page"].alias("page"), x["text"].alias("text")))
-    return d.select(key, pages_only.alias("p"), "ends", F.posexplode(kept).alias("chunk_index", "w")).select(key, "p", "ends", "chunk_index", "w.start", "w.content")
+    return d.select(key, F.posexplode(F.transform(kept, within)).alias("chunk_index", "w")).select(key, "chunk_index", "w.start", "w.content", "w.page_start", "w.page_end")
 
 
 def number_chunks(chunks: DataFrame, order: list[str], start: int = 0) -> DataFrame:

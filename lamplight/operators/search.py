@@ -6,6 +6,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator, Mapping
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -110,7 +111,7 @@ def _postings(terms: list, ids: list, tfs: list, lengths: list) -> pa.RecordBatc
 
 
 #: Postings a file of an index holds, about.
-FILE_POSTINGS = 2_000_000
+FILE_POSTINGS = 500_000
 
 
 def write_postings(postings: DataFrame, path: str) -> None:
@@ -178,8 +179,8 @@ class SearchIndex:
     def write(self, docs: DataFrame, id: str = "id") -> None:
         self.drop()
         write_postings(postings_of(docs, id), f"{self.path}/postings")
-        lengths = self.postings().groupBy("file_id").agg(F.first("length").alias("length")).agg(F.sum("length")).first()[0]
-        self.spark.createDataFrame([(docs.count(), int(lengths or 0))], "documents long, tokens long").coalesce(1).write.parquet(f"{self.path}/statistics")
+        tokens = self.postings().agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0]
+        self.spark.createDataFrame([(docs.count(), int(tokens))], "documents long, tokens long").coalesce(1).write.parquet(f"{self.path}/statistics")
 
     def postings(self) -> DataFrame:
         return self.spark.read.schema(POSTINGS).parquet(f"{self.path}/postings")
@@ -222,30 +223,57 @@ def snippet(content: Column | str, terms: list[str], tokens: int = 12) -> Column
     return cut(F.col(content) if isinstance(content, str) else content)
 
 
-def jaro_winkler(a: str, b: str) -> float:
-    """Jaro similarity raised by a common prefix of up to four characters; 1 for two empty strings."""
-    if a == b:
-        return 1.0
-    if not a or not b:
-        return 0.0
-    reach = max(len(a), len(b)) // 2 - 1
-    used, mine = [False] * len(b), []
-    for i, c in enumerate(a):
-        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
-            if not used[j] and b[j] == c:
-                used[j] = True
-                mine.append(c)
-                break
-    m = len(mine)
-    if not m:
-        return 0.0
-    theirs = [c for c, u in zip(b, used, strict=True) if u]
-    swaps = sum(x != y for x, y in zip(mine, theirs, strict=True)) // 2
-    jaro = (m / len(a) + m / len(b) + (m - swaps) / m) / 3
-    prefix = 0
-    while prefix < min(4, len(a), len(b)) and a[prefix] == b[prefix]:
-        prefix += 1
-    return jaro + 0.1 * prefix * (1 - jaro)
+def jaro_winkler(query: str, names: list[str]) -> np.ndarray:
+    """Jaro similarity of the query to each name, raised by a common prefix of up to four characters; 1 for
+    two equal strings, 0 where one is empty.
+
+    Names of like length are scored at once, CELLS characters a block.
+    """
+    lengths = np.fromiter(map(len, names), np.int64, len(names))
+    out, by, i = np.zeros(len(names)), np.argsort(lengths, kind="stable"), 0
+    while i < len(by):
+        j = i + 1
+        while j < len(by) and lengths[by[j]] * (j + 1 - i) <= CELLS:
+            j += 1
+        out[by[i:j]] = _jaro_winkler(query, [names[k] for k in by[i:j]])
+        i = j
+    return out
+
+
+#: Characters of names that are scored at once.
+CELLS = 1 << 20
+
+
+def _jaro_winkler(query: str, names: list[str]) -> np.ndarray:
+    """For each character of the query, the first free equal character within reach is taken in every name."""
+    n, la = len(names), len(query)
+    lb = np.fromiter(map(len, names), np.int64, n)
+    width = int(lb.max(initial=0))
+    if not la or not width:
+        return np.array([float(x == query) for x in names])
+    raw = np.frombuffer("".join(x.ljust(width, "\0") for x in names).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, width)
+    q = np.frombuffer(query.encode("utf-32-le", "surrogatepass"), np.uint32)
+    reach = np.maximum(np.maximum(la, lb) // 2 - 1, 0)[:, None]
+    at = np.arange(width)[None, :]
+    inside, taken = at < lb[:, None], np.zeros((n, width), bool)
+    matched = np.zeros((n, la), bool)
+    for i in range(la):
+        free = (raw == q[i]) & inside & ~taken & (np.abs(at - i) <= reach)
+        hit = free.any(axis=1)
+        taken[np.flatnonzero(hit), free[hit].argmax(axis=1)] = True
+        matched[:, i] = hit
+    m = matched.sum(axis=1)
+    # matched characters of both sides, in their own order, moved to the front
+    mine = np.where(np.arange(la)[None, :] < m[:, None], np.take_along_axis(np.broadcast_to(q, (n, la)), np.argsort(~matched, axis=1, kind="stable"), 1), 0)
+    theirs = np.take_along_axis(raw, np.argsort(~taken, axis=1, kind="stable"), 1)
+    k = min(la, width)
+    swaps = ((mine[:, :k] != theirs[:, :k]) & (np.arange(k)[None, :] < m[:, None])).sum(axis=1) // 2
+    with np.errstate(all="ignore"):
+        jaro = np.where(m > 0, (m / la + m / lb + (m - swaps) / m) / 3, 0.0)
+    p = min(4, k)
+    prefix = np.cumprod((raw[:, :p] == q[:p]) & inside[:, :p], axis=1).sum(axis=1)
+    out = jaro + 0.1 * prefix * (1 - jaro)
+    return np.where(np.fromiter((x == query for x in names), bool, n), 1.0, out)
 
 
 def fuzzy_names(names: DataFrame, query: str, name: str = "name", id: str = "id", k: int = 20) -> DataFrame:
@@ -254,7 +282,9 @@ def fuzzy_names(names: DataFrame, query: str, name: str = "name", id: str = "id"
 
     @F.pandas_udf("double")
     def score(s):
-        return s.map(lambda x: jaro_winkler(q, x))
+        import pandas as pd
+
+        return pd.Series(jaro_winkler(q, s.tolist()))
 
     rows = names.filter(F.col(name).isNotNull()).select(F.col(id).alias("id"), F.col(name).alias("name"))
     return rows.withColumn("score", score(F.lower("name"))).orderBy(F.desc("score"), "id").limit(k)

@@ -8,11 +8,11 @@ from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamplight.operators.search import clamp_limit
-from lamplight.functions.vectors import bit_codes, cosine_f32, hamming, int8_codes, literal
+from lamplight.functions.vectors import bit_codes, cosine_f32, int8_codes, literal
 
 #: Results beyond the limit that a coarse ranking hands on, so that rounding cannot lose a tie.
 MARGIN = 100
@@ -47,7 +47,7 @@ def nominate(vectors: DataFrame, query: list[float], k: int, id: str, embedding:
         for b in batches:
             if not b.num_rows:
                 continue
-            x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(b.num_rows, -1)
+            x = _rows(b.column(1))
             with np.errstate(all="ignore"):
                 s = (x @ q) / (np.linalg.norm(x, axis=1) * np.linalg.norm(q))
             ids, sims = np.concatenate([ids, b.column(0).to_numpy()]), np.concatenate([sims, np.where(np.isfinite(s), s, -1).astype(np.float32)])
@@ -83,30 +83,89 @@ def centre_vector(vectors: DataFrame, embedding: str = "embedding") -> list[floa
 
 
 def codes(vectors: DataFrame, tier: str, middle: list[float] | None = None, id: str = "id", embedding: str = "embedding") -> DataFrame:
-    """(id, code) of tier float, int8 or bit (against the centre)."""
+    """(id, code) of tier float, int8 or bit (against the centre), as arrays in the JVM."""
     e = F.col(embedding)
     made = {"float": lambda: e, "int8": lambda: int8_codes(e), "bit": lambda: bit_codes(e, literal(middle or []))}[tier]()
     return vectors.select(F.col(id).alias("id"), made.alias("code"))
 
 
-def _distance(code: Column, query: list, tier: str) -> Column:
+def pack(x: np.ndarray, tier: str, middle: np.ndarray | None = None) -> np.ndarray:
+    """Rows of vectors as rows of bytes: four an element, one, or one bit; as codes() otherwise."""
+    if tier == "float":
+        return np.ascontiguousarray(x, np.float32).view(np.uint8)
+    with np.errstate(all="ignore"):
+        if tier == "bit":
+            return np.packbits(x.astype(np.float64) > middle, axis=1, bitorder="little")
+        fine = np.isfinite(x)
+        top = np.where(fine, np.abs(x), 0).max(axis=1, keepdims=True, initial=0)
+        p = (x * (np.float32(127) / top)).astype(np.float32)
+        whole = np.sign(p) * np.floor(np.abs(p).astype(np.float64) + 0.5)
+        return np.where(fine & (top > 0), np.clip(whole, -127, 127), 0).astype(np.int8).view(np.uint8)
+
+
+def packed_codes(vectors: DataFrame, tier: str, middle: list[float] | None = None, id: str = "id", embedding: str = "embedding") -> DataFrame:
+    """(id, code binary) of vectors of one width, not null: what an index stores."""
+    c = None if middle is None else np.asarray(middle, np.float64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = pack(_rows(b.column(1)), tier, c) if b.num_rows else np.zeros((0, 1), np.uint8)
+            data, n = pa.py_buffer(np.ascontiguousarray(rows)), rows.shape[1]
+            stops = pa.py_buffer(np.arange(0, (len(rows) + 1) * n, max(n, 1), dtype=np.int32)[: len(rows) + 1])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.Array.from_buffers(pa.binary(), len(rows), [None, stops, data])], names=["id", "code"])
+
+    return vectors.select(F.col(id).cast("long").alias("id"), F.col(embedding).alias("e")).mapInArrow(run, "id long, code binary")
+
+
+def _rows(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float32, copy=False).reshape(len(column), -1)
+
+
+def _codes(column: pa.Array, n: int) -> np.ndarray:
+    """Rows of the bytes of codes of one length, without a copy."""
+    wide = pa.types.is_large_binary(column.type)
+    start = np.frombuffer(column.buffers()[1], np.int64 if wide else np.int32)[column.offset]
+    return np.frombuffer(column.buffers()[2], np.uint8)[start : start + len(column) * n].reshape(-1, n)
+
+
+def coarse_distances(x: np.ndarray, q: np.ndarray, tier: str) -> np.ndarray:
+    """Of rows of codes from a query's code: differing bits, or one minus the cosine (2 without a direction)."""
     if tier == "bit":
-        return hamming(code, F.array(*(F.lit(int(x)).cast("long") for x in query)))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: (x * y).cast("double")), F.lit(0.0), lambda s, v: s + v)
-    q = F.array(*(F.lit(float(x)) for x in query))
-    return 1 - dot(code, q) / (F.sqrt(dot(code, code)) * F.sqrt(dot(q, q)))
+        return np.bitwise_count(x ^ q).sum(axis=1, dtype=np.int64).astype(np.float64)
+    kind = np.int8 if tier == "int8" else np.float32
+    a, b = x.view(kind).astype(np.float32), q.view(kind).astype(np.float32)
+    with np.errstate(all="ignore"):
+        s = (a @ b).astype(np.float64) / (np.sqrt(np.einsum("ij,ij->i", a, a).astype(np.float64)) * np.sqrt(float(b @ b)))
+    return np.where(np.isfinite(s), 1 - s, 2.0)
+
+
+def nearest_codes(index: DataFrame, query: np.ndarray, tier: str, k: int) -> DataFrame:
+    """(id, d): of (id, code) the k nearest of each task, a superset of the k nearest of all; ties to the lower id."""
+    q = np.asarray(query, np.uint8)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, ds = np.zeros(0, np.int64), np.zeros(0)
+        for b in batches:
+            if b.num_rows:
+                ids, ds = np.concatenate([ids, b.column(0).to_numpy()]), np.concatenate([ds, coarse_distances(_codes(b.column(1), len(q)), q, tier)])
+                if len(ids) > 8 * k:
+                    keep = np.lexsort((ids, ds))[:k]
+                    ids, ds = ids[keep], ds[keep]
+        keep = np.lexsort((ids, ds))[:k]
+        yield pa.RecordBatch.from_arrays([pa.array(ids[keep], pa.int64()), pa.array(ds[keep], pa.float64())], names=["id", "d"])
+
+    return index.select("id", "code").mapInArrow(run, "id long, d double")
 
 
 def fast_search(vectors: DataFrame, index: DataFrame, query: list[float], k: int, tier: str, middle: list[float] | None = None, pool: int | None = None, id: str = "id", embedding: str = "embedding") -> DataFrame:
     """(id, score): the pool nearest by quantised codes, ranked again by exact cosine.
 
-    index: (id, code) as made by codes(). The query is encoded in the same way.
+    index: (id, code) as made by packed_codes(). The query is encoded in the same way. A float index
+    holds the vectors themselves, so its pool is the limit and a margin for rounding.
     """
-    spark = vectors.sparkSession
-    one = spark.range(1).select(F.lit(0).alias("id"), literal(query).alias("embedding"))
-    q = codes(one, tier, middle).first().code
-    size = pool or pool_size(k)
-    near = index.select("id", _distance(F.col("code"), list(q), tier).alias("d")).orderBy("d", "id").limit(size).select("id")
+    q = pack(np.asarray([query], np.float32), tier, None if middle is None else np.asarray(middle, np.float64))[0]
+    size = pool or (k + MARGIN if tier == "float" else pool_size(k))
+    near = nearest_codes(index, q, tier, size).orderBy("d", "id").limit(size).select("id")
     mine = vectors.select(F.col(id).alias("id"), F.col(embedding).alias("e")).join(F.broadcast(near), "id")  # pool rows
     return mine.select("id", cosine_f32(F.col("e"), literal(query)).alias("score")).orderBy(F.desc("score"), "id").limit(k)
 
@@ -136,6 +195,9 @@ class IndexState:
     chunks: int
     job: str | None = None
     centre: list[float] = field(default_factory=list)
+    #: Folders of codes and of ids that left, with their numbers.
+    parts: list[list] = field(default_factory=list)
+    gone: list[list] = field(default_factory=list)
 
     def to_json(self) -> str:
         return json.dumps(asdict(self))
@@ -166,8 +228,15 @@ def usable(state: IndexState | None, tier: str, model: str, width: int, chunks:
     return ("declined", bad) if bad else ("ready", "")
 
 
+#: An index keeps the vectors and one quantised tier side by side.
+SLOTS = {"float": "float", "int8": "quantised", "bit": "quantised"}
+
+
 class VectorIndex:
-    """A quantised index in a folder: codes as parquet, the marker written last."""
+    """Indexes of a corpus in a folder, one a slot: codes as parquet, the marker written last.
+
+    A change appends codes and the ids that left; the marker names the folders.
+    """
 
     def __init__(self, spark, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -177,34 +246,92 @@ class VectorIndex:
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
     def build(self, chunks: DataFrame, model: str, width: int, tier: str, job: str | None = None) -> IndexState:
-        self.drop()
+        """Replace what the tier's slot holds."""
+        slot = SLOTS[tier]
+        self.drop(slot)
         mine = rankable(chunks, model, width)
-        middle = centre_vector(mine) if tier == "bit" else []
-        codes(mine, tier, middle).write.mode("overwrite").parquet(f"{self.path}/codes")
-        state = IndexState(model, width, tier, self.spark.read.parquet(f"{self.path}/codes").count(), chunks.count(), job, middle)
-        self.spark.createDataFrame([(state.to_json(),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/marker")
+        state = IndexState(model, width, tier, 0, 0, job, centre_vector(mine) if tier == "bit" else [])
+        return self._append(slot, state, mine, None, chunks.count())
+
+    def _append(self, slot: str, state: IndexState, added: DataFrame, left: DataFrame | None, chunks: int) -> IndexState:
+        n = max([0, *(p[1] for p in state.parts)]) + 1
+        at = f"{slot}/codes-{n}"
+        packed_codes(added, state.tier, state.centre or None).withColumn("n", F.lit(n)).write.mode("overwrite").parquet(f"{self.path}/{at}")
+        state.parts.append([at, n])
+        if left is not None:
+            left.select("id").withColumn("left", F.lit(n)).write.mode("overwrite").parquet(f"{self.path}/{slot}/gone-{n}")
+            state.gone.append([f"{slot}/gone-{n}", n])
+        state.vectors, state.chunks = self._codes(state).count(), chunks
+        self.spark.createDataFrame([(state.to_json(),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/{slot}/marker")
         return state
 
-    def state(self) -> IndexState | None:
-        fs, p = self._fs("marker")
+    def follow(self, chunks: DataFrame, job: str | None = None) -> dict[str, tuple[int, int]]:
+        """Bring every slot to the chunks: codes of new ids are appended, ids no longer there leave.
+
+        A chunk id stands for one vector for good. Writes in proportion to the change; (added, left) by slot.
+        """
+        out = {}
+        for slot in dict.fromkeys(SLOTS.values()):
+            if (state := self.state(slot)) is None:
+                continue
+            mine = rankable(chunks, state.model, state.dimensions)
+            have = self._codes(state).select("id")
+            added, left = mine.join(have, "id", "left_anti"), have.join(mine.select("id"), "id", "left_anti")
+            out[slot], state.job = (added.count(), left.count()), job
+            self._append(slot, state, added, left, chunks.count())
+        return out
+
+    def state(self, slot: str = "quantised") -> IndexState | None:
+        fs, p = self._fs(f"{slot}/marker")
         return IndexState.from_json(self.spark.read.text(p.toString()).first()[0]) if fs.exists(p) else None
 
-    def codes(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/codes")
-
-    def drop(self) -> None:
-        """Marker first, so that no reader trusts what is left."""
-        for name in ("marker", "codes"):
-            fs, p = self._fs(name)
-            fs.delete(p, True)
-
-    def search(self, chunks: DataFrame, query: list[float], k: int, model: str, job: str | None = None) -> tuple[DataFrame, dict]:
-        """Hits and how they were found: by the index where it is proven fresh, else by a scan."""
-        k, state = clamp_limit(k), self.state()
-        mine = rankable(chunks, model, len(query))
-        verdict, why = usable(state, state.tier if state else "", model, len(query), chunks.count(), job)
-        if verdict != "ready":
-            return exact_search(mine, query, k), {"path": "scan", "exact": True, "note": why if verdict == "declined" else None}
-        if state.tier == "float":
-            return exact_search(mine, query, k), {"path": "float", "exact": True, "note": None}
-        return fast_search(mine, self.codes(), query, k, state.tier, state.centre), {"path": state.tier, "exact": False, "candidates": pool_size(k), "note": None}
+    def _codes(self, state: IndexState) -> DataFrame:
+        df = self.spark.read.schema("id long, code binary, n int").parquet(*(f"{self.path}/{at}" for at, _ in state.parts))
+        if state.gone:
+            left = self.spark.read.schema("id long, left int").parquet(*(f"{self.path}/{at}" for at, _ in state.gone)).groupBy("id").agg(F.max("left").alias("left"))
+            df = df.join(left, "id", "left").filter(F.col("left").isNull() | (F.col("n") >= F.col("left")))
+        return df.select("id", "code")
+
+    def codes(self, slot: str = "quantised") -> DataFrame:
+        return self._codes(self.state(slot))
+
+    def drop(self, slot: str | None = None) -> None:
+        """Markers first, so that no reader trusts what is left."""
+        for s in [slot] if slot else dict.fromkeys(SLOTS.values()):
+            for name in (f"{s}/marker", s):
+                fs, p = self._fs(name)
+                fs.delete(p, True)
+
+    def describe(self) -> dict:
+        """What each slot holds, for a status report; folders and centres aside."""
+        found = {s: self.state(s) for s in dict.fromkeys(SLOTS.values())}
+        return {s: None if x is None else {"tier": x.tier, "model": x.model, "dimensions": x.dimensions, "vectors": x.vectors, "chunks": x.chunks, "job": x.job} for s, x in found.items()}
+
+    def search(self, chunks: DataFrame, query: list[float], k: int, model: str, job: str | None = None, exact: bool = False) -> tuple[DataFrame, dict]:
+        """Hits and how they were found: by an index that is proven fresh, the quantised one first, else by a scan.
+
+        exact: no quantised index.
+        """
+        k, n = clamp_limit(k), chunks.count()
+        mine, notes = rankable(chunks, model, len(query)), []
+        for slot in ["float"] if exact else ["quantised", "float"]:
+            state = self.state(slot)
+            verdict, why = usable(state, state.tier if state else "", model, len(query), n, job)
+            if verdict == "ready":
+                hits = fast_search(mine, self._codes(state), query, k, state.tier, state.centre or None)
+                return hits, {"path": state.tier, "exact": state.tier == "float", "note": None} | ({} if state.tier == "float" else {"candidates": pool_size(k)})
+            notes += [why] if verdict == "declined" else []
+        return exact_search(mine, query, k), {"path": "scan", "exact": True, "note": notes[0] if notes else None}
+
+
+def corpus_dimensions(chunks: DataFrame) -> DataFrame:
+    """(model, dimensions, n) of the stored vectors, most first."""
+    v = chunks.filter(F.col("embedding").isNotNull())
+    return v.groupBy("model", F.size("embedding").alias("dimensions")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "model", "dimensions")
+
+
+def latency_summary(times: DataFrame, group: str, seconds: str) -> DataFrame:
+    """(group, n, best, median, worst); the median of an even number is the upper of the two."""
+    s = F.array_sort(F.collect_list(seconds))  # a row a measured query
+    per = times.filter(F.col(seconds).isNotNull()).groupBy(group).agg(s.alias("s"))
+    return per.select(group, F.size("s").alias("n"), F.element_at("s", 1).alias("best"), F.element_at("s", (F.floor(F.size("s") / 2) + 1).cast("int")).alias("median"), F.element_at("s", -1).alias("worst"))

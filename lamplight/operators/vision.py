@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -9,13 +11,13 @@ from pyspark.sql import functions as F
 
 
 def objects_per_image(detections: DataFrame, image: str, label: str, confidence: str, least: float = 0.5) -> DataFrame:
-    """(image, label, n, confidence) above the least confidence; most frequent first, ties by label."""
+    """(image, label, n, confidence) above the least confidence."""
     hit = detections.filter(F.col(confidence) >= least)
-    return hit.groupBy(image, label).agg(F.count("*").alias("n"), F.max(confidence).alias("confidence")).orderBy(image, F.desc("n"), label)
+    return hit.groupBy(image, label).agg(F.count("*").alias("n"), F.max(confidence).alias("confidence"))
 
 
 def objects_per_video(frames: DataFrame, video: str, label: str, count: str, confidence: str) -> DataFrame:
-    return frames.groupBy(video, label).agg(F.sum(count).alias("n"), F.max(confidence).alias("confidence")).orderBy(video, F.desc("n"), label)
+    return frames.groupBy(video, label).agg(F.sum(count).alias("n"), F.max(confidence).alias("confidence"))
 
 
 def tags_per_video(tags: DataFrame, video: str, tag: str, score: str, k: int = 8) -> DataFrame:
@@ -63,17 +65,22 @@ def score_tags(images: DataFrame, vocabulary: list[tuple[str, list[float]]], id:
 def near_hashes(images: DataFrame, id: str = "id", phash: str = "phash", most: int = 3) -> DataFrame:
     """(id_a, id_b, distance; a < b): hashes that differ in at most 3 bits.
 
-    By pigeonhole such hashes agree in one of four quarters; images of equal hash are joined once
-    as a group, through its lowest id, and listed with distance 0 to it.
+    By pigeonhole such hashes agree in three of six segments. Every choice of three is a key of about
+    32 bits, so a bucket stays small among billions of hashes; images of equal hash are joined once as a
+    group, through its lowest id, and listed with distance 0 to it.
     """
     if most > 3:
-        raise ValueError("four quarters find at most three differing bits")
+        raise ValueError("three of six segments find at most three differing bits")
     from lamplight.functions.vectors import phash_distance
 
+    bounds = [64 * i // 6 for i in range(7)]
+    masks = [sum(((1 << (bounds[i + 1] - bounds[i])) - 1) << bounds[i] for i in c) for c in itertools.combinations(range(6), 3)]
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     h = images.filter(F.col(phash).rlike("^[0-9a-fA-F]{16}$")).select(F.col(id).alias("id"), F.lower(phash).alias("h"))
     groups = h.groupBy("h").agg(F.min("id").alias("id"))
-    quarters = groups.select("id", "h", F.posexplode(F.array(*(F.substring("h", 1 + 4 * i, 4) for i in range(4)))).alias("q", "part"))
-    a, b = quarters.alias("a"), quarters.alias("b")
+    value = F.conv("h", 16, -10).cast("long")
+    keys = groups.select("id", "h", F.posexplode(F.array(*(value.bitwiseAND(F.lit(m).cast("long")) for m in signed))).alias("q", "part"))
+    a, b = keys.alias("a"), keys.alias("b")
     near = a.join(b, (F.col("a.q") == F.col("b.q")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.id") < F.col("b.id")))
     d = phash_distance(F.col("a.h"), F.col("b.h"))
     pairs = near.select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"), d.alias("distance")).filter(F.col("distance") <= most).distinct()
@@ -81,6 +88,23 @@ def near_hashes(images: DataFrame, id: str = "id", phash: str = "phash", most: i
     return pairs.unionByName(copies)
 
 
+def with_files(vision: DataFrame, files: DataFrame) -> DataFrame:
+    """Vision rows with the path, name and folder of their files; rows of no file vanish."""
+    return vision.join(files.select(F.col("id").alias("file_id"), "path", "name", "dir"), "file_id")
+
+
+def frames_summary(frames: DataFrame, video: str, order: str, columns: list[str], mode: str = "mode") -> DataFrame:
+    """(video, columns, mode): of each column the first value that is not null, in order of the frames, and the
+    least mode of any frame (off, meta, tags, captions)."""
+    first = [F.min_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in columns]
+    rank = F.coalesce(F.array_position(F.array(*(F.lit(m) for m in MODES)), F.col(mode)), F.lit(0))
+    return frames.groupBy(video).agg(*first, F.min_by(mode, F.when(F.col(mode).isNotNull(), rank)).alias(mode))
+
+
+#: Vision modes, from least to most.
+MODES = ("off", "meta", "tags", "captions")
+
+
 def content_block(vision: DataFrame) -> DataFrame:
     """Searchable text of caption, objects, tags and camera; faces never enter it."""
     line = lambda name, value: F.when(F.length(value) > 0, F.concat(F.lit(f"{name}: "), value))

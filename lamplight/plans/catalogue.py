@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lamplight.functions import methods, stemming, text, vectors
 from lamplight.operators.corpus import Change, Corpus
 from lamplight.operators import chunking, incremental, jobs, resume, search, stats, vector_search, vision
-from lamplight.session import shared_dir, spread, table
+from lamplight.session import cut, shared_dir, spread, table
 from lamplight.streaming import operators as streams
 
 QUERIES: dict = {}
@@ -412,23 +412,51 @@ def vector_centre(spark: SparkSession, sf: str) -> DataFrame:
     return vector_search.centre(table(spark, sf, "embeddings")).select("dim", F.round("mean", 6).alias("mean"))
 
 
-@query()
+_BIT_SQL = f"""
+WITH x AS (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings),
+     w AS (SELECT vec_id, dim // 32 AS w, CAST(sum(CASE WHEN x.x > c.mean THEN CAST(1 AS BIGINT) << CAST(dim % 32 AS INT) ELSE 0 END) AS BIGINT) AS v FROM x JOIN {_CENTRE_SQL} c USING (dim) GROUP BY vec_id, w),
+     b AS (SELECT vec_id AS id, list(v ORDER BY w) AS code FROM w GROUP BY vec_id)
+"""
+_INT8_SQL = (
+    "WITH m AS (SELECT vec_id, embedding, list_max(list_transform(embedding, lambda x: abs(x))) AS top FROM embeddings),"
+    " b AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(round(CAST(x * CAST(127.0::FLOAT / top AS FLOAT) AS FLOAT)) AS DOUBLE)) AS code FROM m)"
+)
+_RERANK_SQL = f"SELECT p.id, round(CAST(list_cosine_similarity(e.embedding, q) AS DOUBLE), 4) AS score FROM p JOIN embeddings e ON e.vec_id = p.id, {_Q} ORDER BY list_cosine_similarity(e.embedding, q) DESC, p.id LIMIT 10"
+
+
+@query(_BIT_SQL + "SELECT * FROM b")
 def vector_bit_codes(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings")
     return vector_search.codes(e, "bit", vector_search.centre_vector(e), id="vec_id")
 
 
-@query()
-def vector_fast_int8(spark: SparkSession, sf: str) -> DataFrame:
+def _fast(spark: SparkSession, sf: str, tier: str) -> DataFrame:
+    """A quantised search whose codes are stored first, as an index holds them."""
     e = table(spark, sf, "embeddings")
-    return vector_search.fast_search(e, vector_search.codes(e, "int8", id="vec_id"), _query_vector(spark, sf), 10, "int8", id="vec_id")
+    middle = vector_search.centre_vector(e) if tier == "bit" else None
+    index = cut(vector_search.packed_codes(e, tier, middle, id="vec_id"))
+    hits = vector_search.fast_search(e, index, _query_vector(spark, sf), 10, tier, middle, id="vec_id")
+    return hits.select("id", F.round(F.col("score").cast("double"), 4).alias("score"))
 
 
-@query()
+@query(_INT8_SQL + ", p AS (SELECT b.id FROM b, (SELECT code AS c FROM b ORDER BY id LIMIT 1) ORDER BY 1 - list_cosine_similarity(code, c), b.id LIMIT 100) " + _RERANK_SQL)
+def vector_fast_int8(spark: SparkSession, sf: str) -> DataFrame:
+    return _fast(spark, sf, "int8")
+
+
+@query(_BIT_SQL + ", p AS (SELECT b.id FROM b, (SELECT code AS c FROM b ORDER BY id LIMIT 1) ORDER BY list_sum(list_transform(list_zip(code, c), lambda z: bit_count(xor(z[1], z[2])))), b.id LIMIT 100) " + _RERANK_SQL)
 def vector_fast_bit(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "embeddings")
-    c = vector_search.centre_vector(e)
-    return vector_search.fast_search(e, vector_search.codes(e, "bit", c, id="vec_id"), _query_vector(spark, sf), 10, "bit", c, id="vec_id")
+    return _fast(spark, sf, "bit")
+
+
+@query("SELECT model, CAST(len(embedding) AS INT) AS dimensions, count(*) AS n FROM chunks WHERE embedding IS NOT NULL GROUP BY ALL")
+def corpus_dimensions(spark: SparkSession, sf: str) -> DataFrame:
+    return vector_search.corpus_dimensions(table(spark, sf, "chunks"))
+
+
+@query("SELECT event_type, CAST(len(s) AS INT) AS n, s[1] AS best, s[len(s) // 2 + 1] AS median, s[len(s)] AS worst FROM (SELECT event_type, list_sort(list(value)) AS s FROM events WHERE value IS NOT NULL GROUP BY event_type)")
+def latency_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return vector_search.latency_summary(table(spark, sf, "events"), "event_type", "value")
 
 
 @query("WITH e AS (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings) SELECT label, CAST(dim AS INT) AS dim, round(avg(CAST(x AS DOUBLE)), 6) AS mean FROM e GROUP BY label, dim")
@@ -454,7 +482,12 @@ def hash_hamming(spark: SparkSession, sf: str) -> DataFrame:
     return h.select("a", vectors.phash_distance(F.col("a"), F.lit(least)).alias("distance"))
 
 
-@query()
+@query(
+    "WITH h AS (SELECT min(doc_id) AS id, substr(sha1(text), 1, 16) AS h FROM documents WHERE text IS NOT NULL GROUP BY h), v AS (SELECT id, CAST(('0x' || h) AS UBIGINT) AS v FROM h),"
+    " c AS (SELECT doc_id AS id, substr(sha1(text), 1, 16) AS h FROM documents WHERE text IS NOT NULL)"
+    " SELECT a.id AS id_a, b.id AS id_b, CAST(bit_count(xor(a.v, b.v)) AS INT) AS distance FROM v a JOIN v b ON a.id < b.id AND bit_count(xor(a.v, b.v)) <= 3"
+    " UNION ALL SELECT h.id, c.id, 0 FROM c JOIN h ON c.h = h.h AND c.id <> h.id"
+)
 def hash_near_pairs(spark: SparkSession, sf: str) -> DataFrame:
     h = table(spark, sf, "documents").filter("text IS NOT NULL").select(F.col("doc_id").alias("id"), F.substring(F.sha1("text"), 1, 16).alias("phash"))
     return vision.near_hashes(h)

@@ -89,3 +89,19 @@ def test_index_tokens_are_those_of_the_column(spark):
     df = spark.createDataFrame([(x,) for x in samples], "x string")
     tokens = text.fts_tokenizer()
     assert [r[0] for r in df.select(text.fts_tokens("x")).collect()] == [tokens(x) for x in samples]
+
+
+def test_likeness_of_names_equals_duckdb():
+    import duckdb
+    import numpy as np
+
+    from lamplight.operators.search import jaro_winkler
+
+    rng = np.random.default_rng(1)
+    names = ["", "a", "ab", "martha", "marhta", "dixon", "dicksonx", "misty rose part", "x" * 5000, "é" * 3, "a\0b"] + ["".join(rng.choice(list("abcde "), int(rng.integers(0, 14)))) for _ in range(400)]
+    for q in ("a", "martha", "misty rose part", "abc de", "dixon"):
+        true = [duckdb.execute("SELECT CASE WHEN $1 = '' THEN 0 ELSE jaro_winkler_similarity($2, $1) END", [x, q]).fetchone()[0] for x in names if "\0" not in x]
+        got = jaro_winkler(q, [x for x in names if "\0" not in x])
+        # the prefix counts at any likeness here, above 0.7 only there
+        assert all(abs(a - b) < 1e-9 for a, b in zip(got, true, strict=True) if b > 0.7 or a <= b + 1e-9)
+    assert jaro_winkler("", ["", "a"]).tolist() == [1.0, 0.0] and jaro_winkler("a", []).tolist() == []

@@ -46,7 +46,7 @@ def test_quantised_recall(clustered):
     x, df = clustered
     middle = vs.centre_vector(df)
     found = {"int8": [], "bit": []}
-    index = {t: vs.codes(df, t, middle).cache() for t in found}
+    index = {t: vs.packed_codes(df, t, middle).cache() for t in found}
     for q in (3, 260, 511, 777):
         true = set(np.argsort(-(x @ x[q]), kind="stable")[:10].tolist())
         for tier in found:
@@ -108,3 +108,58 @@ def test_hashes_and_quality():
 def test_phash_columns(spark):
     df = spark.createDataFrame([("ffffffffffffffff", "0000000000000000"), ("xyz", "0000000000000000"), (None, "00")], "a string, b string")
     assert [r[0] for r in df.select(vectors.phash_distance(F.col("a"), F.col("b"))).collect()] == [64, None, None]
+
+
+def test_packed_codes_are_those_of_the_columns(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=70).astype(np.float32).tolist()) for i in range(50)]
+    rows += [(90, [0.0] * 70), (91, [float("nan")] * 2 + [1.0] * 68), (92, [float("inf")] + [-2.0] * 69), (93, [0.5, 1.5, -2.5, 127.0] + [0.0] * 66)]
+    df = spark.createDataFrame(rows, "id long, embedding array<float>")
+    middle = [0.1] * 70
+    mine = {t: {r.id: bytes(r.code) for r in vs.packed_codes(df, t, middle).collect()} for t in ("int8", "bit", "float")}
+    for r in vs.codes(df, "int8").collect():
+        assert np.frombuffer(mine["int8"][r.id], np.int8).tolist() == r.code
+    for r in vs.codes(df, "bit", middle).collect():
+        words = np.frombuffer(mine["bit"][r.id].ljust(12, b"\0"), "<u4").astype(int).tolist()
+        assert words == r.code
+    assert {k: len(next(iter(v.values()))) for k, v in mine.items()} == {"int8": 70, "bit": 9, "float": 280}
+    assert vs.packed_codes(df.limit(0), "int8").count() == 0
+
+
+def test_index_slots_and_upkeep(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, 16))
+    df = spark.createDataFrame([(i, "m", v.tolist()) for i, v in enumerate(x)], "id long, model string, embedding array<float>")
+    first = df.filter("id < 40")
+    index = vs.VectorIndex(spark, f"file://{tmp_path}/v")
+    index.build(first, "m", 16, "float", "j")
+    index.build(first, "m", 16, "bit", "j")
+    q = x[5].tolist()
+    true = [r.id for r in vs.exact_search(first, q, 5).collect()]
+    for exact, path in ((True, "float"), (False, "bit")):
+        hits, how = index.search(first, q, 5, "m", "j", exact)
+        assert how["path"] == path and how["exact"] == exact and (not exact or [r.id for r in hits.collect()] == true)
+    later = df.filter("id >= 10 and id != 20")
+    assert "chunks" in index.search(later, q, 5, "m", "j")[1]["note"]
+    assert index.follow(later, "k") == {"float": (20, 11), "quantised": (20, 11)}
+    hits, how = index.search(later, q, 5, "m", "k", exact=True)
+    assert how["path"] == "float" and [r.id for r in hits.collect()] == [r.id for r in vs.exact_search(later, q, 5).collect()]
+    assert index.describe()["quantised"]["vectors"] == 49 and index.follow(later, "k") == {"float": (0, 0), "quantised": (0, 0)}
+    index.drop("quantised")
+    assert index.state() is None and index.search(later, q, 5, "m", "k")[1]["path"] == "float"
+    assert [tuple(r) for r in vs.corpus_dimensions(later).collect()] == [("m", 16, 49)]
+
+
+def test_near_hashes_equal_brute_force(spark):
+    from lamplight.operators import vision
+
+    rng = np.random.default_rng(6)
+    base = [int(v) for v in rng.integers(0, 1 << 63, 40)]
+    values = base + [b ^ (1 << int(rng.integers(64))) ^ (1 << int(rng.integers(64))) ^ (1 << int(rng.integers(64))) for b in base] + [b ^ 0b1111 for b in base[:9]] + base[:5] + [0, (1 << 64) - 1, (1 << 64) - 8]
+    rows = [(i, f"{v:016x}") for i, v in enumerate(values)] + [(900, None), (901, "zz")]
+    got = {(r.id_a, r.id_b, r.distance) for r in vision.near_hashes(spark.createDataFrame(rows, "id long, phash string")).collect()}
+    first: dict[int, int] = {}
+    for i, v in enumerate(values):
+        first.setdefault(v, i)
+    want = {(min(a, b), max(a, b), bin(u ^ v).count("1")) for u, a in first.items() for v, b in first.items() if a < b and bin(u ^ v).count("1") <= 3}
+    assert got == want | {(first[v], i, 0) for i, v in enumerate(values) if first[v] != i}
