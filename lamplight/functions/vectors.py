@@ -25,7 +25,31 @@ def cosine_f32(a: Column, b: Column) -> Column:
 
 
 def literal(vector: list[float]) -> Column:
-    return F.array(*(F.lit(float(x)).cast("float") for x in vector))
+    one = lambda x: f"double('{x}')" if x != x or x in (float("inf"), float("-inf")) else f"{float(x)!r}D"
+    return F.expr(f"cast(array({', '.join(one(x) for x in vector)}) as array<float>)")
+
+
+def cosine_to(query: list[float], embedding: Column) -> Column:
+    """cosine_f32 to one vector as a vectorised kernel: sums run left to right in single precision."""
+    q = np.asarray(query, np.float32)
+    total = lambda x: np.cumsum(x, axis=-1, dtype=np.float32)[..., -1]
+    root = np.sqrt(total(q * q)) if len(q) else np.float32(0)
+
+    @F.pandas_udf("float")
+    def score(s):
+        import pandas as pd
+
+        out = np.full(len(s), -1, np.float32)
+        rows = [k for k, v in enumerate(s) if v is not None and len(v) == len(q)]
+        if rows and len(q):
+            with np.errstate(all="ignore"):
+                x = np.stack([np.asarray(s.iloc[k], np.float32) for k in rows])
+                norm = np.sqrt(total(x * x))
+                fine = (norm > 0) & np.isfinite(norm) & (root > 0) & np.isfinite(root)
+                out[rows] = np.where(fine, total(x * q) / (norm * root), np.float32(-1))
+        return pd.Series(out)
+
+    return score(embedding)
 
 
 def int8_codes(v: Column) -> Column:

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from lamplight.functions.methods import changed, complete, next_attempts
 from lamplight.operators import search
 from lamplight.operators.chunking import number_chunks
+from lamplight.session import any_of, read_text, write_text
 from lamplight.schemas import SCHEMA_VERSION, TABLES, check_version, conform
 
 #: Parts of one size class that are merged into one of the next.
@@ -63,7 +64,7 @@ class Corpus:
         names = [name] if name else self._names()
         if not names:
             return {"number": 0, "parts": {}, "gone": {}, "meta": {}}
-        found = json.loads("\n".join(r[0] for r in self.spark.read.text(f"{self.root}/commits/{names[-1]}", wholetext=True).collect()))
+        found = json.loads(read_text(self.spark, f"{self.root}/commits/{names[-1]}"))
         if "tables" in found:  # schema version 2: whole tables, every row of the snapshot's number
             found |= {"parts": {t: [{"path": at, "number": 0, "level": 0, "bare": True}] for t, at in found["tables"].items()}, "gone": {}}
         return found
@@ -97,10 +98,7 @@ class Corpus:
     def _put(self, snapshot: dict) -> int:
         """Name a snapshot's parts in a new commit; fails where another writer was faster."""
         number = snapshot["number"]
-        fs, p = self._path("commits", f"{number:012d}.json")
-        out = fs.create(p, False)
-        out.write(bytearray(json.dumps({k: snapshot[k] for k in ("number", "parts", "gone", "meta")}).encode()))
-        out.close()
+        write_text(self.spark, f"{self.root}/commits/{number:012d}.json", json.dumps({k: snapshot[k] for k in ("number", "parts", "gone", "meta")}))
         return number
 
     def _write(self, name: str, df: DataFrame) -> str:
@@ -278,7 +276,7 @@ class Corpus:
         return self._rewrite(f.withColumn("attempts", F.col("attempts") + 1).withColumn("last_attempt_at", F.lit(now)).withColumn("elapsed_ms", F.col("ms").cast("long")))
 
     def text(self, file_id: int) -> str | None:
-        row = self.table("documents").filter(F.col("file_id") == file_id).select("content").first()
+        row = self.table("documents").filter(any_of("file_id", [file_id])).select("content").first()
         return row[0] if row else None
 
     # ---- search
@@ -302,7 +300,9 @@ class Corpus:
         hits = self.hits([("q", terms)], k).select("id", "score")
         if fuzzy and not hits.take(1):
             return search.fuzzy_hits(self.table("files").select("id", "name"), query, k)
-        text = self.table("documents").select(F.col("file_id").alias("id"), "content").join(F.broadcast(hits), "id")  # at most k rows
+        found = hits.collect()  # at most 100 rows
+        text = self.table("documents").filter(any_of("file_id", [r.id for r in found])).select(F.col("file_id").alias("id"), "content")
+        text = text.join(F.broadcast(self.spark.createDataFrame(found, "id long, score double")), "id")
         return text.select("id", "score", search.snippet("content", terms).alias("snippet")).orderBy(F.desc("score"), "id")
 
     def top_folders(self, query: str, k: int = 10, abbreviations: dict | None = None) -> DataFrame:

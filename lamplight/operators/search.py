@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lamplight.functions.stemming import query_terms
 from lamplight.functions.text import fts_tokenizer, fts_tokens, let
-from lamplight.session import cut, free
+from lamplight.session import cut, free, read_text, write_text
 
 K1, B = 1.2, 0.75
 SEARCHED = ("name", "path", "content", "tokens")
@@ -168,8 +168,7 @@ class SearchIndex:
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
     def exists(self) -> bool:
-        fs, p = self._fs("statistics/_SUCCESS")
-        return fs.exists(p)
+        return read_text(self.spark, f"{self.path}/statistics") is not None
 
     def drop(self) -> None:
         for name in ("statistics", "postings"):
@@ -180,13 +179,14 @@ class SearchIndex:
         self.drop()
         write_postings(postings_of(docs, id), f"{self.path}/postings")
         tokens = self.postings().agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0]
-        self.spark.createDataFrame([(docs.count(), int(tokens))], "documents long, tokens long").coalesce(1).write.parquet(f"{self.path}/statistics")
+        write_text(self.spark, f"{self.path}/statistics", f"{docs.count()} {tokens}")
 
     def postings(self) -> DataFrame:
         return self.spark.read.schema(POSTINGS).parquet(f"{self.path}/postings")
 
     def statistics(self) -> tuple[int, int]:
-        return tuple(self.spark.read.schema("documents long, tokens long").parquet(f"{self.path}/statistics").first())
+        documents, tokens = read_text(self.spark, f"{self.path}/statistics").split()
+        return int(documents), int(tokens)
 
     def search(self, queries: list[tuple[str, list[str]]], k: int = 20) -> DataFrame:
         return search_postings(self.postings(), *self.statistics(), queries, k)

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamplight.operators.search import clamp_limit
-from lamplight.functions.vectors import bit_codes, cosine_f32, int8_codes, literal
+from lamplight.session import any_of, read_text, write_text
+from lamplight.functions.vectors import bit_codes, cosine_to, int8_codes, literal
 
 #: Results beyond the limit that a coarse ranking hands on, so that rounding cannot lose a tie.
 MARGIN = 100
@@ -66,9 +67,9 @@ def exact_search(vectors: DataFrame, query: list[float], k: int, id: str = "id",
     vectors: one width, not null. The kernel nominates k and a margin; only those are scored
     bit for bit as a sequential loop would. Vectors of no length or not finite score -1.
     """
-    near = nominate(vectors, query, k + MARGIN, id, embedding).orderBy(F.desc("sim"), "id").limit(k + MARGIN).select("id")
-    mine = vectors.select(F.col(id).alias("id"), F.col(embedding).alias("e")).join(F.broadcast(near), "id")  # k + MARGIN rows
-    return mine.select("id", cosine_f32(F.col("e"), literal(query)).alias("score")).orderBy(F.desc("score"), "id").limit(k)
+    near = [r.id for r in nominate(vectors, query, k + MARGIN, id, embedding).orderBy(F.desc("sim"), "id").limit(k + MARGIN).select("id").collect()]
+    mine = vectors.filter(any_of(id, near)).select(F.col(id).alias("id"), F.col(embedding).alias("e"))  # k + MARGIN rows
+    return mine.select("id", cosine_to(query, F.col("e")).alias("score")).orderBy(F.desc("score"), "id").limit(k)
 
 
 def centre(vectors: DataFrame, embedding: str = "embedding") -> DataFrame:
@@ -165,9 +166,9 @@ def fast_search(vectors: DataFrame, index: DataFrame, query: list[float], k: int
     """
     q = pack(np.asarray([query], np.float32), tier, None if middle is None else np.asarray(middle, np.float64))[0]
     size = pool or (k + MARGIN if tier == "float" else pool_size(k))
-    near = nearest_codes(index, q, tier, size).orderBy("d", "id").limit(size).select("id")
-    mine = vectors.select(F.col(id).alias("id"), F.col(embedding).alias("e")).join(F.broadcast(near), "id")  # pool rows
-    return mine.select("id", cosine_f32(F.col("e"), literal(query)).alias("score")).orderBy(F.desc("score"), "id").limit(k)
+    near = [r.id for r in nearest_codes(index, q, tier, size).orderBy("d", "id").limit(size).select("id").collect()]  # pool rows
+    mine = vectors.filter(any_of(id, near)).select(F.col(id).alias("id"), F.col(embedding).alias("e"))
+    return mine.select("id", cosine_to(query, F.col("e")).alias("score")).orderBy(F.desc("score"), "id").limit(k)
 
 
 def hydrate(hits: DataFrame, chunks: DataFrame, files: DataFrame) -> DataFrame:
@@ -262,7 +263,7 @@ class VectorIndex:
             left.select("id").withColumn("left", F.lit(n)).write.mode("overwrite").parquet(f"{self.path}/{slot}/gone-{n}")
             state.gone.append([f"{slot}/gone-{n}", n])
         state.vectors, state.chunks = self._codes(state).count(), chunks
-        self.spark.createDataFrame([(state.to_json(),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/{slot}/marker")
+        write_text(self.spark, f"{self.path}/{slot}/marker", state.to_json(), overwrite=True)
         return state
 
     def follow(self, chunks: DataFrame, job: str | None = None) -> dict[str, tuple[int, int]]:
@@ -282,8 +283,7 @@ class VectorIndex:
         return out
 
     def state(self, slot: str = "quantised") -> IndexState | None:
-        fs, p = self._fs(f"{slot}/marker")
-        return IndexState.from_json(self.spark.read.text(p.toString()).first()[0]) if fs.exists(p) else None
+        return IndexState.from_json(read_text(self.spark, f"{self.path}/{slot}/marker"))
 
     def _codes(self, state: IndexState) -> DataFrame:
         df = self.spark.read.schema("id long, code binary, n int").parquet(*(f"{self.path}/{at}" for at, _ in state.parts))

@@ -10,7 +10,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -105,6 +105,42 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             _remove(spark, path)
 
 
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file's text, read without a job; None where there is no file."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str, overwrite: bool = False) -> None:
+    """Write a small file; without overwrite it fails where the file is."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, overwrite)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def any_of(column: str, values: list[int], ranges: int = 16) -> Column:
+    """column is one of a few whole numbers. The spans between the widest gaps are pushed to the parquet
+    reader, which skips pages by them; the exact set is tested after."""
+    from pyspark.sql import functions as F
+
+    if not values:
+        return F.lit(False)
+    v = sorted(set(values))
+    gaps = sorted(sorted(range(1, len(v)), key=lambda i: v[i - 1] - v[i])[: ranges - 1])
+    spans = F.lit(False)
+    for a, b in zip([0, *gaps], [*gaps, len(v)], strict=True):
+        spans = spans | F.col(column).between(v[a], v[b - 1])
+    return spans & F.col(column).isin(v)
+
+
 #: Keys a side may have at most to be broadcast (16 MB of BIGINT); beyond it the join shuffles.
 BROADCAST_KEYS = 2_000_000
 
