@@ -11,7 +11,7 @@ from lamplight.operators.corpus import Corpus
 from lamplight.operators.embedding import HashingEmbedder, query_vector
 from lamplight.operators.vector_search import VectorIndex, clamp_limit, hydrate
 from lamplight.session import local_session
-from lamplight.settings import merged
+from lamplight.settings import load, merged
 
 
 def parser() -> argparse.ArgumentParser:
@@ -22,6 +22,8 @@ def parser() -> argparse.ArgumentParser:
     i.add_argument("roots", nargs="+")
     i.add_argument("--overwrite", action="store_true")
     i.add_argument("--no-resume", action="store_true")
+    i.add_argument("--config", help="YAML file of settings")
+    i.add_argument("--include", action="append", help="a file relative to a root; only these are taken")
     i.add_argument("--set", action="append", default=[], metavar="NAME=JSON")
     for name, limit in (("search", 20), ("vector-search", 10), ("top-folder", 10)):
         s = sub.add_parser(name)
@@ -29,6 +31,7 @@ def parser() -> argparse.ArgumentParser:
         s.add_argument("--limit", type=int, default=limit)
         s.add_argument("--fuzzy", action="store_true")
     v = sub.add_parser("vector-index")
+    v.add_argument("--status", action="store_true")
     v.add_argument("--tier", choices=("float", "int8", "bit"), default="int8")
     v.add_argument("--drop", action="store_true")
     sub.add_parser("analyze")
@@ -46,7 +49,7 @@ def main(args: list[str]) -> int:
         from lamplight.plans.indexer import index, summary
 
         request = {k: json.loads(v) for k, _, v in (x.partition("=") for x in a.set)}
-        out = summary(index(spark, a.roots, a.corpus, model, merged(request=request), not a.no_resume, a.overwrite))
+        out = summary(index(spark, a.roots, a.corpus, model, merged(load(a.config), request), not a.no_resume, a.overwrite, include=a.include))
     else:
         corpus = Corpus(spark, a.corpus)
         chunks = corpus.table("chunks")
@@ -60,7 +63,7 @@ def main(args: list[str]) -> int:
             out = {"how": how, "hits": [r.asDict() for r in hydrate(hits, chunks, corpus.table("files")).collect()]}
         elif a.command == "vector-index":
             v = VectorIndex(spark, f"{a.corpus}/vectors")
-            out = v.drop() if a.drop else json.loads(v.build(chunks, model.name, model.width, a.tier, job).to_json())
+            out = v.describe() if a.status else v.drop() if a.drop else json.loads(v.build(chunks, model.name, model.width, a.tier, job).to_json())
         elif a.command == "compact":
             out = {"merged": corpus.compact(everything=True), "deleted": corpus.expire(keep=1)}
         elif a.command == "analyze":

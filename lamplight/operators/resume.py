@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lamplight.functions.methods import HASH_LIMIT, changed, complete, incomplete, needs_reprocess
+from lamplight.functions.methods import HASH_LIMIT, changed, complete, incomplete, needs_reprocess, tier_rank
+
+# Methods whose chunks can know their pages, and extensions that vision looks at.
+ANCHORED = ("pdf-text", "pdf-exhaustive-text", "pdf-exhaustive-ocr")
+VISION_EXTS = (".png", ".jpg", ".jpeg", ".tif", ".tiff", ".bmp", ".webp", ".gif", ".heic", ".mkv", ".mp4", ".mov", ".m4v", ".avi", ".webm")
 
 
 def with_chunks(files: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -15,6 +19,25 @@ def with_chunks(files: DataFrame, chunks: DataFrame) -> DataFrame:
     return joined.select(*files.columns, F.coalesce("has", F.lit(False)).alias("has_chunks"), F.coalesce("anchored", F.lit(False)).alias("anchored"))
 
 
+def upgrades(existing: DataFrame, vision: DataFrame | None = None, exhaustive: bool = False, mode: str = "off", faces_model: str | None = None) -> DataFrame:
+    """existing (with_chunks) with upgrade: an intact row is reopened because a better one can be had.
+
+    A PDF when everything is to be recognised and was not; a PDF whose chunks know no page though its
+    method could; an image or video when a higher vision mode, or another face model, is asked for than
+    is recorded. A lower mode, or none, reopens nothing. vision: (file_id, mode, faces_model).
+    """
+    m = F.coalesce("method", F.lit(""))
+    reopened = (m.isin(*ANCHORED) & F.col("has_chunks") & ~F.col("anchored")) | (F.lit(exhaustive) & (F.col("ext") == ".pdf") & ~m.startswith("pdf-exhaustive"))
+    if vision is None or (mode == "off" and faces_model is None):
+        return existing.withColumn("upgrade", F.coalesce(reopened, F.lit(False)))
+    seen = vision.groupBy(F.col("file_id").alias("id")).agg(F.max(tier_rank(F.col("mode"))).alias("tier"), F.max("faces_model").alias("faces"))
+    both = existing.join(seen, "id", "left")
+    sees = F.col("ext").isin(*VISION_EXTS)
+    higher = sees & (tier_rank(F.lit(mode)) > F.coalesce("tier", F.lit(0)))
+    other = F.lit(False) if faces_model is None else sees & ~F.col("faces").eqNullSafe(F.lit(faces_model))
+    return both.select(*existing.columns, F.coalesce(reopened | higher | other, F.lit(False)).alias("upgrade"))
+
+
 def decide(walked: DataFrame, existing: DataFrame, upgrade: Column | None = None, uncapped: bool = False) -> DataFrame:
     """walked with its decision: new, process, capped, hash-only or skip.
 
@@ -71,4 +94,6 @@ def counters(results: DataFrame) -> DataFrame:
     return results.agg(
         F.count("*").alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.count_if(F.col("ocr_used") == 1).alias("ocr_files"), F.count_if(m.startswith("error:")).alias("errors"),
         F.count_if(m == "error:encrypted").alias("encrypted"), F.count_if(incomplete(m)).alias("incomplete"),
+        *([F.coalesce(F.sum(F.size("chunks")), F.lit(0)).alias("chunks")] if "chunks" in results.columns else []),
+        *([F.count("vision").alias("vision_files")] if "vision" in results.columns else []), *([F.coalesce(F.sum(F.when(F.col("faces").isNotNull(), F.size("faces"))), F.lit(0)).alias("faces")] if "faces" in results.columns else []),
     )

@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import itertools
+import json
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from lamplight.schemas import FACES, VISION
 
 
 def objects_per_image(detections: DataFrame, image: str, label: str, confidence: str, least: float = 0.5) -> DataFrame:
@@ -88,6 +93,31 @@ def near_hashes(images: DataFrame, id: str = "id", phash: str = "phash", most: i
     return pairs.unionByName(copies)
 
 
+def analysed(files: DataFrame, look: Callable[[str, str], dict | None], mode: str, faces_model: str | None = None) -> DataFrame:
+    """(path, vision, faces): what a model function (path, mode) saw in each file.
+
+    It gives a dict with the fields of schemas.VISION and, under found_faces, rows of schemas.FACES; None
+    or an error leaves both null, so that stored rows of unchanged bytes stay. The mode reached is recorded.
+    """
+    seen = T.StructType([f for f in T.StructType.fromDDL(VISION).fields if f.name != "file_id"])
+    face = T.StructType([f for f in T.StructType.fromDDL(FACES).fields if f.name != "file_id"])
+
+    @F.pandas_udf("string")
+    def run(paths):
+        out = []
+        for path in paths:
+            try:
+                got = look(path, mode)
+            except Exception:  # noqa: BLE001
+                got = None
+            out.append(None if got is None else json.dumps({"mode": mode, "faces_model": faces_model} | got, default=float))
+        return pd.Series(out)
+
+    made = files.select("path", run("path").alias("j"))
+    found = F.get_json_object("j", "$.found_faces")
+    return made.select("path", F.from_json("j", seen).alias("vision"), F.from_json(found, T.ArrayType(face)).alias("faces"))
+
+
 def with_files(vision: DataFrame, files: DataFrame) -> DataFrame:
     """Vision rows with the path, name and folder of their files; rows of no file vanish."""
     return vision.join(files.select(F.col("id").alias("file_id"), "path", "name", "dir"), "file_id")

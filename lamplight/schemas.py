@@ -15,7 +15,7 @@ FILES = (
 )
 DOCUMENTS = "file_id long, name string, path string, content string, tokens string, n_tokens int"
 CHUNKS = "id long, file_id long, chunk_index int, content string, embedding array<float>, dimensions int, model string, page_start int, page_end int"
-VISION = "file_id long, caption string, tags array<struct<tag:string,score:float>>, objects array<struct<label:string,count:int,confidence:float>>, phash string, exif map<string,string>, quality struct<blur:double,luma:double,dark:double,bright:double>, mode string"
+VISION = "file_id long, caption string, tags array<struct<tag:string,score:float>>, objects array<struct<label:string,count:int,confidence:float>>, phash string, exif map<string,string>, quality struct<blur:double,luma:double,dark:double,bright:double>, mode string, faces_model string"
 FACES = "file_id long, face_index int, x int, y int, w int, h int, quality float, embedding array<float>, model string, frame int"
 META = "key string, value string"
 JOBS = "id string, status string, envelope_json string, updated_at double"

@@ -22,18 +22,23 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from lamplight.settings import Settings
+from lamplight.sources.charset import decode
 
 # Extensions by family, parts of office files, limits.
 TEXT = (".txt", ".md", ".markdown", ".csv", ".tsv", ".log", ".json", ".xml", ".html", ".htm", ".yaml", ".yml", ".ini", ".cfg", ".rtf", ".srt", ".vtt")
 CODE = (".py", ".js", ".ts", ".tsx", ".jsx", ".java", ".c", ".h", ".cpp", ".cs", ".go", ".rs", ".rb", ".php", ".sql", ".sh", ".ps1", ".bat", ".r", ".css", ".scss")
-MAIL = (".eml",)
-IMAGE = (".png", ".jpg", ".jpeg", ".tif", ".tiff", ".bmp", ".webp", ".gif", ".heic", ".heif")
-MEDIA = (".mp3", ".wav", ".m4a", ".flac", ".ogg", ".mp4", ".mkv", ".mov", ".avi", ".webm")
+MAIL = (".eml", ".wdseml", ".emlx")
+IMAGE = (".png", ".jpg", ".jpeg", ".tif", ".tiff", ".bmp", ".webp", ".gif", ".heic")
+AUDIO, VIDEO = (".mp3", ".wav", ".m4a", ".aac", ".flac", ".ogg", ".opus"), (".mkv", ".mp4", ".mov", ".m4v", ".avi", ".webm")
+MEDIA = AUDIO + VIDEO
 ARCHIVE = (".zip", ".tar", ".gz", ".tgz", ".bz2", ".xz", ".7z", ".rar")
 OFFICE = {".docx": ("docx", ("word/",)), ".xlsx": ("xlsx", ("xl/",)), ".xlsm": ("xlsx", ("xl/",)), ".pptx": ("pptx", ("ppt/slides/", "ppt/notesSlides/")), ".odt": ("odf", ("content.xml",)), ".ods": ("odf", ("content.xml",)), ".odp": ("odf", ("content.xml",))}
 MAIL_HEADERS = ("Subject", "From", "To", "Cc", "Date")
 ARCHIVE_FILES, ARCHIVE_DEPTH = 10_000, 4
 PAGE_CHARS = 20
+# The text that rows of lock files hold, and the titles of the parts of media texts.
+LOCK_TEXT = "Temporary Office lock file; no document body exists."
+MEDIA_TITLES = ("[Audio transcript]", "[Video frame OCR]")
 
 
 class Encrypted(Exception):
@@ -77,25 +82,15 @@ def _chain(e: BaseException | None) -> Iterator[BaseException]:
         e = e.__cause__ or e.__context__
 
 
-def decode(raw: bytes, most: int, cut: bool = False) -> str:
-    """UTF-8 or UTF-16 by mark, UTF-8 if valid, else Windows-1252; at most so many characters.
-    cut: the bytes are the beginning of more, and may end within a character."""
-    if raw[:2] in (b"\xff\xfe", b"\xfe\xff"):
-        return raw.decode("utf-16", errors="replace")[:most]
-    try:
-        return raw.decode("utf-8-sig")[:most]
-    except UnicodeDecodeError as e:
-        if cut and e.start >= len(raw) - 3:
-            return raw[: e.start].decode("utf-8-sig")[:most]
-        return raw.decode("cp1252", errors="replace")[:most]
-
-
 def strip_tags(html: str) -> str:
     return re.sub(r"<[^>]*$", "", re.sub(r"<[^>]*>", " ", html)).replace(">", " ")
 
 
 def mail(raw: bytes, most: int) -> str:
-    """Headers, bodies depth first (markup stripped), names of attachments; a line each."""
+    """Headers, bodies depth first (markup stripped), names of attachments; a line each. A first line that
+    only counts the bytes of the message, as some mail programs store it, is left out."""
+    count, _, rest = raw.partition(b"\n")
+    raw = rest if count.strip().isdigit() else raw
     m = email.message_from_bytes(raw, policy=email.policy.default)
     out = [f"{h}: {m[h]}" for h in MAIL_HEADERS if m[h] is not None]
     for part in m.walk():
@@ -160,12 +155,83 @@ def needs_ocr(mode: str, chars: int, pages: int) -> bool:
     return mode == "on" or (mode == "auto" and chars < PAGE_CHARS * max(pages, 1))
 
 
+def page_count(path: str, layer: str) -> int:
+    """Pages by the program that knows them, else by the form feeds of the text layer."""
+    try:
+        found = re.search(rb"^Pages:\s*(\d+)", run("pdfinfo", path), re.M)
+    except (Unsupported, ValueError):
+        found = None
+    return int(found.group(1)) if found else layer.count("\f") or 1
+
+
+def recognised(path: str, s: Settings) -> str:
+    """Text of an image by the installed program: page segmentation as set, once more as one block if blank."""
+    for mode in dict.fromkeys((s.ocr_psm, 6)):
+        text = run("tesseract", path, "stdout", "--psm", str(mode)).decode(errors="replace")
+        if text.strip():
+            return text
+    return ""
+
+
+def image(path: str, s: Settings, tool: Callable[[str], str] | None = None) -> Extracted:
+    """Recognised text of an image; HEIC is turned into a JPEG first. Without a program or tool, only the name."""
+    read = tool or ((lambda p: recognised(p, s)) if shutil.which("tesseract") else None)
+    if read is None or s.ocr == "off":
+        return Extracted()
+    if path.lower().endswith(".heic") and shutil.which("ffmpeg"):
+        with tempfile.TemporaryDirectory() as at:
+            frame = os.path.join(at, "frame.jpg")
+            run("ffmpeg", "-nostdin", "-loglevel", "error", "-y", "-i", path, "-frames:v", "1", frame, seconds=60)
+            text = read(frame)
+    else:
+        text = read(path)
+    return Extracted(text, "ocr", int(bool(text.strip())), 1)
+
+
+def clock(hundredths: int) -> str:
+    """hh:mm:ss of hundredths of a second."""
+    s = hundredths // 100
+    return f"{s // 3600:02d}:{s % 3600 // 60:02d}:{s % 60:02d}"
+
+
+def media(path: str, s: Settings, tools: dict) -> Extracted:
+    """Transcript and, of a video, the texts of its frames, each once.
+
+    tools: media gives the transcript, as text or as (start, stop, text) in hundredths of a second;
+    frames gives the images of a video to be recognised by image, or they are made every 30 seconds.
+    """
+    if "media" not in tools:
+        raise Unsupported("transcription")
+    said = tools["media"](path)
+    if not isinstance(said, str):
+        said = "\n".join(f"[{clock(a)}-{clock(b)}] {t.strip()}" for a, b, t in said if t.strip())
+    parts, ext = [f"{MEDIA_TITLES[0]}\n{said}"], os.path.splitext(path)[1].lower()
+    read, frames = tools.get("image") or ((lambda p: recognised(p, s)) if shutil.which("tesseract") else None), 0
+    if ext in VIDEO and read is not None and s.ocr != "off":
+        with tempfile.TemporaryDirectory() as at:
+            shown = tools["frames"](path) if "frames" in tools else _stills(path, at)
+            frames = len(shown)
+            seen = "\n".join(dict.fromkeys(t for f in shown if (t := read(f).strip())))
+        parts += [f"{MEDIA_TITLES[1]}\n{seen}"] if seen else []
+    most = (1 << 62) if s.exhaustive else s.max_chars
+    return Extracted("\n\n".join(parts)[:most], "video-transcript-ocr" if ext in VIDEO else "audio-transcript", int(frames > 0), frames)
+
+
+def _stills(path: str, folder: str) -> list[str]:
+    """Frames of a video, one in 30 seconds, at most 1,000; none where the program is absent or fails."""
+    try:
+        run("ffmpeg", "-nostdin", "-loglevel", "error", "-y", "-i", path, "-vf", "fps=1/30,scale='min(1920,iw)':-2", "-frames:v", "1000", os.path.join(folder, "%06d.png"), seconds=1800)
+    except (Unsupported, ValueError):
+        return []
+    return sorted(os.path.join(folder, f) for f in os.listdir(folder))
+
+
 def pdf(path: str, s: Settings, ocr: Callable[[str], str] | None = None) -> Extracted:
     """Text layer by pages; recognised text joins it where the layer is thin, and only if longer."""
     layer = run("pdftotext", "-layout", path, "-").decode(errors="replace")
     segments = page_segments(layer, s.max_chars)
     text = "".join(x for _, x in segments)
-    pages = layer.count("\f") or 1
+    pages = page_count(path, layer)
     if ocr and needs_ocr(s.ocr, len(text.strip()), pages):
         seen = ocr(path)
         if len(seen.encode()) > len(text.encode()):
@@ -190,11 +256,12 @@ def pdf_exhaustive(path: str, s: Settings, ocr: Callable[[str], str] | None = No
     return Extracted(text, "pdf-exhaustive-ocr" if used else "pdf-exhaustive-text", int(used), len(segments), segments)
 
 
-def _members(raw: bytes, name: str) -> Iterator[tuple[str, bytes]]:
+def _members(raw: bytes, name: str) -> Iterator[tuple[str, bytes | None]]:
+    """(name, content) of the members, content None where it needs a password."""
     if zipfile.is_zipfile(io.BytesIO(raw)):
         with zipfile.ZipFile(io.BytesIO(raw)) as z:
             for i in sorted((i for i in z.infolist() if not i.is_dir()), key=lambda i: i.filename):
-                yield i.filename, z.read(i) if not i.flag_bits & 1 else b""
+                yield i.filename, None if i.flag_bits & 1 else z.read(i)
         return
     try:
         with tarfile.open(fileobj=io.BytesIO(raw)) as t:
@@ -208,8 +275,17 @@ def _members(raw: bytes, name: str) -> Iterator[tuple[str, bytes]]:
     import lzma
 
     opener = {".gz": gzip.decompress, ".bz2": bz2.decompress, ".xz": lzma.decompress}.get(os.path.splitext(name)[1].lower())
-    if opener is None:
-        raise Unsupported("bsdtar")
+    if opener is None:  # other archives by the program that reads them
+        with tempfile.NamedTemporaryFile(suffix=os.path.splitext(name)[1]) as f:
+            f.write(raw)
+            f.flush()
+            for member in sorted(run("bsdtar", "-tf", f.name).decode(errors="replace").splitlines()):
+                if not member.endswith("/"):
+                    try:
+                        yield member, run("bsdtar", "-xOf", f.name, member)
+                    except (Encrypted, ValueError):
+                        yield member, None
+        return
     yield os.path.splitext(name)[0], opener(raw)
 
 
@@ -221,6 +297,9 @@ def archive(raw: bytes, name: str, s: Settings, depth: int) -> Extracted:
             break
         if member.startswith(("/", "\\")) or ".." in re.split(r"[/\\]", member) or re.match("[A-Za-z]:", member):
             continue
+        if data is None:
+            bad = True
+            continue
         try:
             got = extract_bytes(data, member, s, depth + 1)
         except Exception:  # noqa: BLE001
@@ -237,7 +316,7 @@ def extract_bytes(raw: bytes, name: str, s: Settings, depth: int = 0, path: str
     """Text of a file by its name's extension. tools: functions for images and media, by family."""
     ext, most = os.path.splitext(name)[1].lower(), (1 << 62) if s.exhaustive else s.max_chars
     if os.path.basename(name).startswith("~$"):
-        return Extracted("Temporary Office lock file; no document body exists.", "excluded:office-lock")
+        return Extracted(LOCK_TEXT, "excluded:office-lock")
     if (len(raw) > s.max_bytes and not s.exhaustive) or ext in s.skip_exts:
         return Extracted()
     if ext in TEXT or ext in CODE:
@@ -260,12 +339,10 @@ def extract_bytes(raw: bytes, name: str, s: Settings, depth: int = 0, path: str
         if not text.strip():
             raise ValueError("no text")
         return Extracted(text, "doc")
-    if ext in IMAGE or ext in MEDIA:
-        tool = (tools or {}).get("image" if ext in IMAGE else "media")
-        if tool is None or path is None or (ext in IMAGE and s.ocr == "off"):
-            return Extracted()
-        text = tool(path)[:most]
-        return Extracted(text, "ocr", int(bool(text.strip())), 1) if ext in IMAGE else Extracted(text, "audio-transcript")
+    if ext in IMAGE:
+        return Extracted() if path is None else image(path, s, (tools or {}).get("image"))
+    if ext in MEDIA:
+        return Extracted() if path is None else media(path, s, tools or {})
     if ext in ARCHIVE:
         return archive(raw, name, s, depth) if depth < ARCHIVE_DEPTH else Extracted()
     return Extracted(method="excluded:unsupported")
@@ -313,6 +390,23 @@ def extract_files(walked: DataFrame, settings: Settings | None = None, tools: di
     return walked.select("path").mapInPandas(work, EXTRACTED)
 
 
+def hash_files(walked: DataFrame) -> DataFrame:
+    """(path, sha1) of files read in blocks; null where a file cannot be read."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for path in b["path"]:
+                try:
+                    with open(path, "rb") as f:
+                        rows.append((path, hashlib.file_digest(f, "sha1").hexdigest()))
+                except OSError:
+                    rows.append((path, None))
+            yield pd.DataFrame(rows, columns=["path", "sha1"])
+
+    return walked.select("path").mapInPandas(work, "path string, sha1 string")
+
+
 def revision() -> str:
     """Fingerprint of what this build can extract."""
     known = "|".join(",".join(x) for x in (TEXT, CODE, MAIL, IMAGE, MEDIA, ARCHIVE, tuple(OFFICE)))

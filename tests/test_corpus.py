@@ -278,3 +278,142 @@ def test_an_index_reads_only_the_terms_of_a_query(spark, tmp_path):
     plan = c.table("postings").filter(F.col("term").isin(["seen"]))._jdf.queryExecution().executedPlan().toString()
     assert "In(term" in plan.replace(" ", "") or "EqualTo(term,seen)" in plan
     assert "content" not in plan
+
+
+@pytest.mark.parametrize(
+    "text,name",
+    [
+        ("Grüße aus München, wie geht es dir heute", "cp1252"), ("L’été à Orléans, déjà passé très vite", "cp1252"), ("Съешь ещё этих мягких французских булок", "cp1251"), ("Съешь ещё этих мягких французских булок", "koi8_r"),
+        ("Zażółć gęślą jaźń, proszę państwa", "cp1250"), ("Ξεσκεπάζω την ψυχοφθόρα βδελυγμία", "cp1253"), ("いろはにほへと ちりぬるを 我が世誰ぞ", "shift_jis"), ("いろはにほへと ちりぬるを 我が世誰ぞ", "euc_jp"), ("我能吞下玻璃而不伤身体，这是真的", "gb18030"), ("나는 유리를 먹을 수 있어요 그래도", "euc_kr"),
+    ],
+)
+def test_encodings_are_detected(text, name):
+    from lamplight.sources.charset import decode
+
+    assert decode(text.encode(name), 1000) == text
+    assert decode(text.encode(), 1000) == text and decode(b"\xef\xbb\xbf" + text.encode(), 5) == text[:5]
+    assert decode(text.encode("utf-16"), 1000) == text and decode(text.encode()[:-1], 1000, cut=True) in text
+
+
+def test_media_images_and_odd_archives(monkeypatch, tmp_path):
+    s, calls = Settings(), []
+
+    def run(program, *args, seconds=120):
+        calls.append((program, *args))
+        if program == "tesseract":
+            return b"  " if args[-1] == "3" else b"second try"
+        if program == "bsdtar":
+            if args[0] == "-tf":
+                return b"b.txt\n../evil.txt\na.txt\nlocked.txt\nd/\n"
+            if args[-1] == "locked.txt":
+                raise extract.Encrypted("locked")
+            return args[-1].encode()
+        return b""
+
+    monkeypatch.setattr(extract, "run", run)
+    monkeypatch.setattr(extract.shutil, "which", lambda p: p)
+    got = extract.extract_bytes(b"", "a.png", s, path="a.png")
+    assert (got.text, got.method, got.ocr_used) == ("second try", "ocr", 1) and [c[-1] for c in calls] == ["3", "6"]
+    assert extract.extract_bytes(b"", "a.heic", s, path="a.heic").text == "second try" and any(c[0] == "ffmpeg" for c in calls)
+    tools = {"media": lambda p: [(0, 250, "hello"), (100 * 3725, 100 * 3726, " there ")], "frames": lambda p: ["f1", "f2", "f3"], "image": lambda p: {"f1": "title", "f2": "title"}.get(p, "end")}
+    got = extract.extract_bytes(b"", "v.m4v", s, path="v.m4v", tools=tools)
+    assert got.text == "[Audio transcript]\n[00:00:00-00:00:02] hello\n[01:02:05-01:02:06] there\n\n[Video frame OCR]\ntitle\nend" and (got.method, got.pages) == ("video-transcript-ocr", 3)
+    assert extract.extract_bytes(b"", "s.opus", s, path="s.opus", tools=tools).method == "audio-transcript"
+    with pytest.raises(extract.Unsupported):
+        extract.extract_bytes(b"", "s.opus", s, path="s.opus")
+    got = extract.extract_bytes(b"Rar!", "x.rar", s)
+    assert got.text == "[archive entry: a.txt]\na.txt\n[archive entry: b.txt]\nb.txt" and got.method == "archive-partial"
+    assert extract.extract_bytes(b"31\nSubject: s\n\nbody", "m.emlx", s).text.startswith("Subject: s")
+    z = io.BytesIO()
+    with zipfile.ZipFile(z, "w") as f:
+        f.writestr("a.txt", "open")
+    raw = bytearray(z.getvalue())
+    raw[raw.index(b"PK\x01\x02") + 8] |= 1  # the directory says the member is encrypted
+    assert extract.extract_bytes(bytes(raw), "z.zip", s).method == "archive-partial"
+    put(str(tmp_path), "one.bin", b"abc")
+
+
+def test_settings_files_and_scopes(tmp_path):
+    from lamplight.settings import SKIP_PATHS_WINDOWS, corpus_name, include_paths, load
+    from lamplight.sources.walk import Pruner
+
+    put(str(tmp_path), "c.yaml", "workers: 900\nocr: 'off'\nocr_dpi: 20\nlexicons: lex\nskip_dirs: [a, b]\n")
+    s = merged(load(str(tmp_path / "c.yaml")), {"workers": 3})
+    assert (s.workers, s.ocr, s.ocr_dpi, s.skip_dirs) == (3, "off", 150, ("a", "b")) and s.lexicons == str(tmp_path / "lex") and load(None) == {}
+    put(str(tmp_path), "empty.yaml", "")
+    assert load(str(tmp_path / "empty.yaml")) == {}
+    for bad in ("[1]", "nope: 1", "ocr: maybe", "a: [", "workers: x"):
+        put(str(tmp_path), "bad.yaml", bad)
+        with pytest.raises(InvalidSetting):
+            load(str(tmp_path / "bad.yaml"))
+    root = str(tmp_path / "root")
+    inside = put(root, "d/x.txt", "x")
+    put(str(tmp_path), "outside.txt", "y")
+    os.symlink(str(tmp_path / "outside.txt"), os.path.join(root, "link.txt"))
+    assert include_paths([root], None) is None and include_paths([root], ["d/x.txt"]) == [os.path.realpath(inside)]
+    for bad in ("/etc/passwd", "../outside.txt", "C:\\x", "none.txt", "d", "link.txt"):
+        with pytest.raises(InvalidSetting):
+            include_paths([root], [bad])
+    assert corpus_name("mail-2024") == "mail-2024"
+    for bad in ("", ".", "..", "a/b", "a\\b", "jobs", ".hidden", "C:x"):
+        with pytest.raises(InvalidSetting):
+            corpus_name(bad)
+    p = Pruner([], list(SKIP_PATHS_WINDOWS), [])
+    assert p.folder("C:\\Users\\me\\AppData") and p.folder("D:\\Program Files (x86)") and not p.folder("C:\\Users\\me\\Documents")
+
+
+def test_scoped_run_with_hash_lane_and_reopening(spark, tmp_path):
+    root, out = str(tmp_path / "t"), str(tmp_path / "c")
+    for name in ("a.txt", "b.txt", "c.txt"):
+        put(root, f"d/{name}", f"text of {name}")
+    at = []
+    n = index(spark, [root], out, include=["d/a.txt"], progress=lambda p: at.append((p.processed, p.worked, p.total)))
+    assert (n.discovered, n.files, n.removed) == (3, 1, 0) and at == [(1, 1, 1)]
+    c = Corpus(spark, out)
+    index(spark, [root], out)
+    # a finished row without checksum is hashed and not extracted; one that cannot be read is counted
+    files = c.table("files")
+    c._rewrite(files.withColumn("sha1", F.lit(None).cast("string")))
+    n = index(spark, [root], out)
+    assert (n.hashed, n.hash_failed, n.files) == (3, 0, 0) and c.table("files").filter("sha1 IS NULL").count() == 0
+    c._rewrite(c.table("files").withColumn("sha1", F.lit(None).cast("string")))
+    n = index(spark, [root], out, settings=Settings(hash_backfill=False))
+    assert (n.hashed, n.skipped) == (0, 3)
+    os.remove(os.path.join(root, "d/c.txt"))
+    n = index(spark, [root], out, include=["d/a.txt"])
+    assert n.removed == 1 and c.table("files").count() == 2
+
+
+def test_what_reopens_an_intact_row(spark):
+    from lamplight.operators import resume
+
+    cols = "id long, path string, ext string, method string, size long, mtime double, attempts long, sha1 string, has_chunks boolean, anchored boolean"
+    row = lambda i, ext, method, anchored=True: (i, f"p{i}", ext, method, 1, 1.0, 0, "x", True, anchored)
+    rows = [row(1, ".pdf", "pdf-text", False), row(2, ".pdf", "pdf-text"), row(3, ".pdf", "pdf-ocr", False), row(4, ".pdf", "pdf-exhaustive-ocr"), row(5, ".png", "ocr"), row(6, ".png", "ocr"), row(7, ".txt", "text", False), row(8, ".mp4", "video-transcript-ocr"), row(9, None, None)]
+    e = spark.createDataFrame(rows, cols)
+    v = spark.createDataFrame([(5, "tags", "m1"), (6, "meta", None), (8, "captions", "m2")], "file_id long, mode string, faces_model string")
+    got = lambda *a, **k: {r.id for r in resume.upgrades(e, *a, **k).filter("upgrade").collect()}
+    assert got() == {1} and got(exhaustive=True) == {1, 2, 3}
+    assert got(v, mode="tags") == {1, 6} and got(v, mode="captions") == {1, 5, 6} and got(v, mode="meta") == {1} and got(v) == {1}
+    assert got(v, mode="off", faces_model="m1") == {1, 6, 8}
+    walked = e.select("path", "size", "mtime")
+    assert {r.decision for r in resume.decide(walked, resume.upgrades(e), F.col("upgrade")).filter("path = 'p1'").collect()} == {"process"}
+
+
+def test_vision_hook_stores_what_a_model_saw(spark, tmp_path):
+    root, out = str(tmp_path / "t"), str(tmp_path / "c")
+    put(root, "a.png", b"x")
+    put(root, "b.png", b"y")
+    put(root, "c.txt", "z")
+
+    def look(path, mode):
+        if path.endswith("b.png"):
+            raise ValueError("broken")
+        return {"caption": "a cat", "tags": [{"tag": "cat", "score": 0.5}], "found_faces": [{"face_index": 0, "x": 1, "y": 2, "w": 30, "h": 30, "quality": 0.9, "embedding": [1.0, 0.0], "frame": 0}]}
+
+    tools, s = {"vision": look, "image": lambda p: "seen"}, Settings(vision="tags", faces_model="f1")
+    n = index(spark, [root], out, settings=s, tools=tools)
+    c = Corpus(spark, out)
+    assert (n.vision_files, n.faces) == (1, 1) and [(r.caption, r.mode, r.faces_model) for r in c.table("vision").collect()] == [("a cat", "tags", "f1")]
+    assert index(spark, [root], out, settings=s, tools=tools).files == 1  # only the broken one is looked at again
+    assert index(spark, [root], out, settings=Settings(vision="tags", faces_model="f2"), tools=tools).files == 2
