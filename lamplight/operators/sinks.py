@@ -25,7 +25,7 @@ def write_manifest(files: DataFrame, content: DataFrame, path: str, mode: str =
 def write_catalogue(files: DataFrame, path: str, mode: str = "append") -> None:
     """CSV of nine columns with a header in each part; times in whole seconds."""
     rows = files.select(*(F.format_string("%.0f", "mtime").alias(c) if c == "mtime" else F.col(c) for c in CATALOGUE))
-    rows.write.mode(mode).csv(path, header=True)
+    rows.write.mode(mode).csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def write_sidecars(texts: DataFrame, target: str, where: str = "mirror") -> int:

@@ -249,11 +249,6 @@ def search_hits_multi(spark: SparkSession, sf: str) -> DataFrame:
     return hits.select("query", "id", F.round("score", 6).alias("score"))
 
 
-@query()
-def fts_snippet(spark: SparkSession, sf: str) -> DataFrame:
-    return search.search(_docs(spark, sf), SEARCH)
-
-
 @query(_fts_sql(SEARCH_TERMS) + " SELECT dir, count(*) AS n FROM r GROUP BY dir ORDER BY n DESC, dir LIMIT 10")
 def top_folders(spark: SparkSession, sf: str) -> DataFrame:
     folders = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("dir"))
@@ -345,11 +340,6 @@ def resume_summary(spark: SparkSession, sf: str) -> DataFrame:
     return resume_decision(spark, sf).groupBy("decision").agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT f.path FROM {_STORED_SQL} f WHERE f.path LIKE '/srv/share/%' AND f.path NOT IN (SELECT path FROM discovered)")
-def prune_missing(spark: SparkSession, sf: str) -> DataFrame:
-    return resume.missing(_stored(spark, sf), _walked(spark, sf), ["/srv/share"]).select("path")
-
-
 @query("SELECT file_id FROM chunks WHERE file_id IN (SELECT id FROM files) GROUP BY file_id HAVING max(page_start) IS NULL")
 def unanchored_files(spark: SparkSession, sf: str) -> DataFrame:
     return resume.unanchored(table(spark, sf, "files"), table(spark, sf, "chunks"))

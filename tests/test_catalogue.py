@@ -8,7 +8,7 @@ import os
 import duckdb
 import pytest
 
-from lamplight.plans import catalogue
+from lamplight.plans import catalogue, upkeep  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
