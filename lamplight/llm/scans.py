@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamplight.llm.boosting import Trees
-from lamplight.session import cut
+from lamplight.session import cut, free
 
 #: Pages composed for training, and words whose damage the ranking learns from.
 TRAINING_FILES, TRAINING_WORDS = 260, 1500
@@ -509,15 +509,23 @@ def candidates(unknown: DataFrame, known: DataFrame) -> DataFrame:
     return by_gram.unionByName(by_rest).groupBy("word", "here", "cand").agg(F.max("n").alias("n"))
 
 
+def unknown_words(words: DataFrame, known: DataFrame) -> DataFrame:
+    """(word, low, here): distinct words that clean text does not know, with how often they are here."""
+    distinct = words.groupBy("word").agg(F.count("*").alias("here")).withColumn("low", F.lower("word"))
+    return distinct.join(known.filter(F.col("n") >= KNOWN).select(F.col("word").alias("low")), "low", "left_anti").select("word", "low", "here")
+
+
 def corrections(words: DataFrame, known: DataFrame, model: Model) -> DataFrame:
     """(word, right): unknown words with the replacement the ranking chose among their candidates.
 
     known: (word, n) of clean text. The best candidate is taken if the ranking says yes.
     """
-    known = known.filter(F.col("n") >= KNOWN)
-    distinct = words.groupBy("word").agg(F.count("*").alias("here")).withColumn("low", F.lower("word"))
-    unknown = cut(distinct.join(known.select(F.col("word").alias("low")), "low", "left_anti"))
-    shared = words.sparkSession.sparkContext.broadcast(model)  # some hundred kB
+    return ranked(candidates(cut(unknown_words(words, known)), known.filter(F.col("n") >= KNOWN)), model)
+
+
+def ranked(pairs: DataFrame, model: Model) -> DataFrame:
+    """(word, right) of (word, here, cand, n)."""
+    shared = pairs.sparkSession.sparkContext.broadcast(model)  # some hundred kB
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -526,8 +534,8 @@ def corrections(words: DataFrame, known: DataFrame, model: Model) -> DataFrame:
             p = shared.value.words.predict(np.array(x, float)) if x else np.zeros(0)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(p, pa.float64())], names=["word", "cand", "p"])
 
-    ranked = candidates(unknown, known).select("word", "here", "cand", "n").mapInArrow(rank, "word string, cand string, p double")
-    return ranked.groupBy("word").agg(F.max(F.struct("p", "cand")).alias("b")).filter(F.col("b.p") >= YES).select("word", F.col("b.cand").alias("right"))
+    found = pairs.select("word", "here", "cand", "n").mapInArrow(rank, "word string, cand string, p double")
+    return found.groupBy("word").agg(F.max(F.struct("p", "cand")).alias("b")).filter(F.col("b.p") >= YES).select("word", F.col("b.cand").alias("right"))
 
 
 def misread_words(words: DataFrame, fixes: DataFrame) -> DataFrame:
@@ -540,21 +548,47 @@ def misread_words(words: DataFrame, fixes: DataFrame) -> DataFrame:
     return hit.select("chunk_id", F.explode(line).alias("line_no"), "word", "right").filter("line_no > 0")
 
 
-def learn(samples: DataFrame, known: DataFrame, table: Table = tuple(MISREAD)) -> Model:
-    """Train on at most 400 sample texts, and TRAINING_WORDS frequent and as many rare known words of the
-    lowest hash, with up to CHOICES candidates each from the search that serves unknown words too."""
-    spark = known.sparkSession
-    texts = [r.text for r in samples.filter("text is not null").orderBy("sample_id").limit(400).select("text").collect()]
-    some = lambda n: [r.word for r in known.filter(n & (F.length("word") >= 2)).orderBy(F.xxhash64("word"), "word").limit(TRAINING_WORDS).select("word").collect()]
-    taught = lessons(some(F.col("n") >= 5), some(F.col("n") < KNOWN), table)
-    frequent = known.filter(F.col("n") >= KNOWN)
-    asked = spark.createDataFrame([(w, w.lower(), 1, t) for w, t, _ in taught], "word string, low string, here long, true string").join(frequent.select(F.col("word").alias("low")), "low", "left_anti")
-    pairs = candidates(asked.select("word", "low", "here"), frequent).join(asked.select("word", "true"), "word")
+def sample_texts(samples: DataFrame) -> list[str]:
+    """At most 400 sample texts, lowest sample_id first."""
+    return [r.text for r in samples.filter("text is not null").orderBy("sample_id").limit(400).select("text").collect()]
+
+
+def chosen_lessons(known: DataFrame, table: Table = tuple(MISREAD)) -> list[Lesson]:
+    """Of TRAINING_WORDS frequent and as many rare words of the lowest hash."""
+
+    def some(n: Column) -> list[str]:
+        return [r.word for r in known.filter(n & (F.length("word") >= 2)).orderBy(F.xxhash64("word"), "word").limit(TRAINING_WORDS).select("word").collect()]
+
+    return lessons(some(F.col("n") >= 5), some(F.col("n") < KNOWN), table)
+
+
+#: What here says of a word that is a lesson and no word of a page.
+LESSON = 0
+
+
+def asked_lessons(taught: list[Lesson], known: DataFrame) -> DataFrame:
+    """Lessons as unknown words (word, low, here); those that a known word equals are left out."""
+    rows = known.sparkSession.createDataFrame([(w, w.lower(), LESSON) for w, _, _ in taught], "word string, low string, here long")
+    return rows.join(known.filter(F.col("n") >= KNOWN).select(F.col("word").alias("low")), "low", "left_anti").select("word", "low", "here")
+
+
+def taught_ranking(pairs: DataFrame, taught: list[Lesson], table: Table = tuple(MISREAD)) -> Trees:
+    """The ranking from the candidates of lessons, up to CHOICES each, the right one first and the others by hash."""
+    true = pairs.sparkSession.createDataFrame([(w, t) for w, t, _ in taught], "word string, true string")
     order = F.row_number().over(Window.partitionBy("word").orderBy(F.when(F.col("cand") == F.col("true"), 0).otherwise(1), F.xxhash64("cand")))
     found: dict[str, list[tuple[str, int]]] = {}
-    for r in pairs.withColumn("k", order).filter(F.col("k") <= CHOICES).select("word", "cand", "n").orderBy("word", "cand").collect():
+    mine = pairs.filter(F.col("here") == LESSON).join(F.broadcast(true), "word")  # twice TRAINING_WORDS
+    for r in mine.withColumn("k", order).filter(F.col("k") <= CHOICES).select("word", "cand", "n").orderBy("word", "cand").collect():
         found.setdefault(r.word, []).append((r.cand, r.n))
-    return Model(*train_lines(texts), train_words(taught, found, table), table)
+    return train_words(taught, found, table)
+
+
+def learn(samples: DataFrame, known: DataFrame, table: Table = tuple(MISREAD)) -> Model:
+    """Train on at most 400 sample texts and 2 TRAINING_WORDS words of clean text, with the candidates that
+    the search for unknown words finds for them."""
+    taught = chosen_lessons(known, table)
+    pairs = candidates(asked_lessons(taught, known), known.filter(F.col("n") >= KNOWN))
+    return Model(*train_lines(sample_texts(samples)), taught_ranking(pairs, taught, table), table)
 
 
 @dataclass
@@ -610,7 +644,14 @@ def repair(pages: DataFrame, clean: DataFrame, samples: DataFrame) -> Repair:
     """
     pages = cut(pages.filter("content is not null").select("chunk_id", "file_id", F.col("page").cast("int").alias("page"), "content"))
     known = cut(clean_words(clean, "content"))
-    model = learn(samples, known)
-    classified = cut(classify_lines(pages, model))
+    lines = Model(*train_lines(sample_texts(samples)), Trees())
+    classified = cut(classify_lines(pages, lines))
     words = cut(words_in_lines(classified))
-    return Repair(classified, words, cut(corrections(words, known, model)))
+    # lessons and unknown words look for candidates together
+    taught = chosen_lessons(known)
+    asked = cut(unknown_words(words, known).unionByName(asked_lessons(taught, known)))
+    pairs = cut(candidates(asked, known.filter(F.col("n") >= KNOWN)))
+    model = Model(lines.furniture, lines.breaks, taught_ranking(pairs, taught))
+    fixes = cut(ranked(pairs.filter(F.col("here") != LESSON), model))
+    free(asked, pairs, known, pages)
+    return Repair(classified, words, fixes)
