@@ -1,4 +1,4 @@
-"""Command line: python -m lamplight index|search|vector-search|vector-index|top-folder|analyze|status|compact."""
+"""Command line: python -m lamplight index|search|vector-search|vector-index|top-folder|analyze|status|compact|serve."""
 
 from __future__ import annotations
 
@@ -34,6 +34,12 @@ def parser() -> argparse.ArgumentParser:
     v.add_argument("--status", action="store_true")
     v.add_argument("--tier", choices=("float", "int8", "bit"), default="int8")
     v.add_argument("--drop", action="store_true")
+    w = sub.add_parser("serve", help="HTTP access to the corpora below the folder")
+    w.add_argument("roots", nargs="+")
+    w.add_argument("--host", default="127.0.0.1")
+    w.add_argument("--port", type=int, default=8787)
+    w.add_argument("--config", help="YAML file of settings")
+    w.add_argument("--token", help="what requests that change something must show")
     sub.add_parser("analyze")
     sub.add_parser("status")
     sub.add_parser("compact", help="merge all parts and delete what the newest snapshot does not name; no other run may write")
@@ -50,6 +56,11 @@ def main(args: list[str]) -> int:
 
         request = {k: json.loads(v) for k, _, v in (x.partition("=") for x in a.set)}
         out = summary(index(spark, a.roots, a.corpus, model, merged(load(a.config), request), not a.no_resume, a.overwrite, include=a.include))
+    elif a.command == "serve":
+        from lamplight.service import Service, server
+
+        server(Service(spark, a.corpus, a.roots, a.token, load(a.config)), a.host, a.port).serve_forever()
+        out = None
     else:
         corpus = Corpus(spark, a.corpus)
         chunks = corpus.table("chunks")
