@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import itertools
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -26,12 +27,14 @@ SPELLINGS = {
     "en": "eng english", "de": "deu ger german", "fr": "fra fre french", "es": "spa spanish", "ru": "rus russian", "vi": "vie vietnamese", "mixed": "mul multilingual",
 }
 #: Labelled texts the machines learn from, at most, of each language.
-SAMPLES_PER_LANGUAGE = 400
+SAMPLES_PER_LANGUAGE, SENTENCES_PER_LANGUAGE = 400, 500
 #: Share of a file's text from which a language counts as one of the file.
 SHARE = 0.1
 #: A unit of fewer words, or decided with less confidence, follows its neighbours; so does a
-#: stretch whose firm units have fewer words than STRETCH_WORDS together.
-LEAST_WORDS, LEAST_CONFIDENCE, STRETCH_WORDS = 4, 0.7, 9
+#: stretch whose firm units have fewer words than STRETCH_WORDS together, unless its language has as many in
+#: all such stretches of the text, SHARE of its firm words, and the confidence POOLED on average. Only units
+#: of which a share KNOWN of the words is in samples of the language count there: names look like any language.
+LEAST_WORDS, LEAST_CONFIDENCE, STRETCH_WORDS, POOLED, KNOWN = 4, 0.7, 9, 0.9, 0.3
 DIMENSIONS = 1 << 14
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*").findall
@@ -54,12 +57,16 @@ def words_of(text: str) -> list[str]:
     return _WORD(_ADDRESS.sub(" ", text).lower())
 
 
-def train_svm(x: np.ndarray, y: np.ndarray, steps: int = 200, reg: float = 1e-4) -> tuple[np.ndarray, float]:
+def train_svm(x: np.ndarray, y: np.ndarray, steps: int = 200, reg: float = 1e-4, rows: np.ndarray | None = None, gram: np.ndarray | None = None) -> tuple[np.ndarray, float]:
     """Linear support vector machine for labels -1 and 1: accelerated ascent of its dual,
-    both labels weighing the same."""
+    both labels weighing the same.
+
+    rows: those of x that y labels (all); gram: products of all rows of x, where several machines share them.
+    """
     n = len(y)
-    x1 = np.hstack([x, np.full((n, 1), 0.1, x.dtype)])
-    q = (x1 @ x1.T).astype(np.float64) * np.outer(y, y)
+    rows = np.arange(n) if rows is None else rows
+    gram = x @ x.T if gram is None else gram
+    q = (gram[np.ix_(rows, rows)].astype(np.float64) + 0.01) * np.outer(y, y)  # each row has a constant 0.1 besides
     upper = np.where(y > 0, 1 / (2 * reg * max(1, (y > 0).sum())), 1 / (2 * reg * max(1, (y < 0).sum())))
     v = np.ones(n)
     for _ in range(20):
@@ -70,8 +77,9 @@ def train_svm(x: np.ndarray, y: np.ndarray, steps: int = 200, reg: float = 1e-4)
     for k in range(steps):
         new = np.clip(ahead + rate * (1 - q @ ahead), 0, upper)
         alpha, ahead = new, new + k / (k + 3) * (new - alpha)
-    w = (alpha * y) @ x1
-    return w[:-1], float(w[-1] * 0.1)
+    weight = np.zeros(len(x))
+    weight[rows] = alpha * y
+    return weight @ x, float(weight.sum() * 0.01)
 
 
 @dataclass
@@ -83,6 +91,7 @@ class Model:
     pairs: list[tuple[str, str]]
     weights: np.ndarray
     bias: np.ndarray
+    words: dict[str, frozenset[str]] = field(default_factory=dict)
     scale: float = 8.0
     memo: dict[str, int] = field(default_factory=dict)
 
@@ -123,23 +132,31 @@ def _matrix(texts: list[str]) -> np.ndarray:
 
 
 def train(samples: list[tuple[str, str]]) -> Model:
-    """From (language, text) pairs; each sentence is an example."""
-    examples = [(lang, t[a:b]) for lang, t in samples for a, b in units(t) if len(words_of(t[a:b])) >= LEAST_WORDS]
+    """From (language, text) pairs; each sentence is an example, the first SENTENCES_PER_LANGUAGE of each language."""
+    examples, counts = [], Counter()
+    for lang, t in samples:
+        for a, b in units(t):
+            if counts[lang] < SENTENCES_PER_LANGUAGE and len(words_of(t[a:b])) >= LEAST_WORDS:
+                counts[lang] += 1
+                examples.append((lang, t[a:b]))
     langs = sorted({x for x, _ in examples})
     families = sorted({FAMILIES.get(x, x) for x in langs})
     pairs = [(a, b) for a, b in itertools.combinations(langs, 2) if FAMILIES.get(a, a) == FAMILIES.get(b, b)]
     x, label = _matrix([t for _, t in examples]), np.array([x for x, _ in examples])
     family = np.array([FAMILIES.get(v, v) for v in label])
 
+    gram = x @ x.T
+
     def fit(rows: np.ndarray) -> Model:
-        made = [train_svm(x[rows], np.where(family[rows] == f, 1.0, -1.0)) for f in families]
+        made = [train_svm(x, np.where(family[rows] == f, 1.0, -1.0), rows=rows, gram=gram) for f in families]
         for a, b in pairs:
             own = rows[(label[rows] == a) | (label[rows] == b)]
-            made.append(train_svm(x[own], np.where(label[own] == a, 1.0, -1.0)))
+            made.append(train_svm(x, np.where(label[own] == a, 1.0, -1.0), rows=own, gram=gram))
         return Model(langs, families, pairs, np.stack([w for w, _ in made], axis=1).astype(np.float32), np.array([b for _, b in made]))
 
     # The scale of the confidence is the one under which held-out halves are likeliest.
     model = fit(np.arange(len(label)))
+    model.words = {v: frozenset(w for x, t in examples if x == v for w in words_of(t)) for v in langs}
     loss = dict.fromkeys((1, 2, 4, 8, 16, 32), 0.0)
     for k in range(2):
         half = fit(np.flatnonzero(np.arange(len(label)) % 2 == k))
@@ -169,8 +186,20 @@ class Scorer(dict):
         self[word] = at
         return at
 
-    def stretches(self, texts: list[str | None]) -> list[list[tuple[int, int, str, float]]]:
-        """(start, end, language, confidence) of each text's stretches; none without words."""
+    def pooled(self, firm: list[int], lang: np.ndarray, conf: np.ndarray, n: np.ndarray, words: Callable[[int], list[str]]) -> set[int]:
+        """Languages that a text holds in short stretches: enough words together, of units that are no mere names."""
+        total, count, sure = sum(int(n[k]) for k in firm), Counter(), Counter()
+        for k in firm:
+            mine = self.model.words.get(self.model.languages[int(lang[k])], frozenset())
+            own = words(k)
+            if sum(w in mine for w in own) >= KNOWN * len(own):
+                count[int(lang[k])] += int(n[k])
+                sure[int(lang[k])] += float(conf[k]) * int(n[k])
+        return {x for x, m in count.items() if m >= max(STRETCH_WORDS, SHARE * total) and sure[x] >= POOLED * m}
+
+    def stretches(self, texts: list[str | None], form: Callable[[str], str] = lambda t: t) -> list[list[tuple[int, int, str, float]]]:
+        """(start, end, language, confidence) of each text's stretches; none without words. form is what a
+        unit is read as; offsets are those of the text."""
         if len(self) > 300_000:
             self.clear()
         flat: list[int] = []
@@ -181,7 +210,7 @@ class Scorer(dict):
             spans.append(own)
             for a, b in own:
                 before = len(flat)
-                flat.extend(map(self.__getitem__, words_of(t[a:b])))
+                flat.extend(map(self.__getitem__, words_of(form(t[a:b]))))
                 counts.append(len(flat) - before)
         n = np.array(counts, np.int64)
         cum = np.concatenate([np.zeros((1, self.rows.shape[1])), np.cumsum(self.rows[np.array(flat, np.int64)], axis=0)])
@@ -191,7 +220,7 @@ class Scorer(dict):
         sure = (n >= LEAST_WORDS) & (conf >= LEAST_CONFIDENCE)
         out, at = [], 0
         names = self.model.languages
-        for own in spans:
+        for text, own in zip(texts, spans, strict=True):
             rows = range(at, at + len(own))
             at += len(own)
             if not any(n[k] for k in rows):
@@ -205,7 +234,8 @@ class Scorer(dict):
                 continue
             if len({int(lang[k]) for k in firm}) > 1:  # short stretches give way to longer ones
                 runs = [list(g) for _, g in itertools.groupby(firm, key=lambda k: int(lang[k]))]
-                long = [g for g in runs if sum(int(n[k]) for k in g) >= STRETCH_WORDS]
+                pooled = self.pooled(firm, lang, conf, n, lambda k: words_of(form(text[own[k - rows.start][0] : own[k - rows.start][1]])))  # noqa: B023
+                long = [g for g in runs if int(lang[g[0]]) in pooled or sum(int(n[k]) for k in g) >= STRETCH_WORDS]
                 firm = [k for g in long or [max(runs, key=lambda g: sum(int(n[k]) for k in g))] for k in g]
             keep = set(firm)
             made: list[list] = []
@@ -254,18 +284,13 @@ def with_stretches(df: DataFrame, text: str, model: Model, out: str = "stretches
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 b = whole.slice(at, 512)
-                texts = [_same_length(t, canonical(t, known)) if t and touched(t) else t for t in b.column(len(kept)).to_pylist()]
-                made = [[dict(zip(("start", "stop", "lang", "confidence"), s, strict=True)) for s in x] for x in score.stretches(texts)]
+                found = score.stretches(b.column(len(kept)).to_pylist(), lambda t: canonical(t, known) if touched(t) else t)
+                made = [[dict(zip(("start", "stop", "lang", "confidence"), s, strict=True)) for s in x] for x in found]
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(made, kind)], names=[*kept, out])
 
     return df.select(*kept, df[text].alias("__text")).mapInArrow(run, schema)
 
 
-def _same_length(text: str, form: str) -> str:
-    """The form where offsets stay valid, else the text."""
-    return form if len(form) == len(text) else text
-
-
 def _parsed(ddl: str):
     from pyspark.sql.types import StructType
 

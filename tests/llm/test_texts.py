@@ -41,6 +41,16 @@ def test_languages(spark, lang_model):
     assert language.with_stretches(df.limit(0), "text", lang_model).count() == 0
 
 
+def test_languages_that_alternate_by_short_lines(lang_model):
+    """Lines of five to eight words by turns: each language keeps its lines; a lone line of names does not count."""
+    score = language.Scorer(lang_model)
+    lines = [x for a, b in zip(["The balance does not match the report.", "Please check the letter of the office.", "We could not open the file."], ["Der Saldo passt nicht zum Bericht.", "Bitte prüfen Sie den Brief der Stelle.", "Wir haben die Akte nicht öffnen können."], strict=True) for x in (a, b)]
+    got = score.stretches(["\n".join(lines)])[0]
+    assert [x[2] for x in got] == ["en", "de"] * 3 and got[0][0] == 0 and all(a[1] == b[0] for a, b in zip(got, got[1:], strict=False))
+    plain = " ".join(SENTENCES["en"]) + " Brustalt Kreibia Stofesterr Leilamus Zomialt. " + " ".join(SENTENCES["en"])
+    assert {x[2] for x in score.stretches([plain])[0]} == {"en"}
+
+
 def test_labels(spark, lang_model):
     en, de = " ".join(SENTENCES["en"]), " ".join(SENTENCES["de"])
     labels = [(1, "en"), (2, "ENG"), (3, "English"), (4, "en_GB"), (5, None), (6, "und"), (7, ""), (8, "fr"), (9, "mul"), (10, "mixed"), (11, "de"), (12, "en"), (13, None)]
