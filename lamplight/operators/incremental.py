@@ -8,12 +8,15 @@ never read and which the repeated run overwrites.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lamplight.session import read_text, write_text
+
 
 def newest_per_key(df: DataFrame, key: str, by: str, values: list[str]) -> DataFrame:
     """One row per non-null key: the values of the row with the greatest by.
@@ -49,57 +52,78 @@ def new_or_changed(discovered: DataFrame, manifest: DataFrame) -> DataFrame:
     return seen.alias("n").join(manifest.select("path", "sha1", "size", "mtime").alias("m"), same, "left_anti")
 
 
+#: Committed batches after which their manifests are folded into one.
+FOLD = 16
+MANIFEST = "path string, seen_at double, sha1 string, size long, mtime double"
+
+
 @dataclass
 class IncrementalStore:
     """Batches and manifest below one folder that all executors reach.
 
-    out/batch=<id> holds output, manifest/batch=<id> what was processed, commits/<id> is the
-    empty file whose presence commits the batch.
+    out/batch=<id> holds output, manifest/batch=<id> what was processed. commits/<number> is the file
+    that commits a batch and names it; of two runs that want one number the slower fails, and what it
+    worked on is still to be processed. folded/<number> is the manifest of all batches up to that number.
     """
 
     spark: SparkSession
     root: str
 
+    def __post_init__(self) -> None:
+        self.root = self.root.rstrip("/")
+
     def _fs(self, *parts: str):
         jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path("/".join((self.root.rstrip("/"), *parts)))
+        path = jvm.org.apache.hadoop.fs.Path("/".join((self.root, *parts)))
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
-    def committed(self) -> list[str]:
-        fs, path = self._fs("commits")
-        return sorted(s.getPath().getName() for s in fs.listStatus(path)) if fs.exists(path) else []
+    def _numbers(self, folder: str) -> list[int]:
+        fs, path = self._fs(folder)
+        names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+        return sorted(int(n) for n in names if n.isdigit())
 
-    def _read(self, what: str) -> DataFrame | None:
-        paths = [f"{self.root.rstrip('/')}/{what}/batch={b}" for b in self.committed()]
-        return self.spark.read.parquet(*paths) if paths else None
+    def committed(self, after: int = 0) -> list[str]:
+        """Identifiers of the batches, in the order of their commits."""
+        return [read_text(self.spark, f"{self.root}/commits/{n:09d}") for n in self._numbers("commits") if n > after]
 
     def manifest(self) -> DataFrame:
-        found = self._read("manifest")
-        if found is None:
-            return self.spark.createDataFrame([], "path string, seen_at double, sha1 string, size long, mtime double")
+        """Newest processed row of each path: the last folded manifest and the batches since."""
+        whole = [n for n in self._numbers("folded") if self._fs(f"folded/{n:09d}/_SUCCESS")[0].exists(self._fs(f"folded/{n:09d}/_SUCCESS")[1])]
+        last = max(whole, default=0)
+        paths = [f"{self.root}/folded/{last:09d}"] * bool(last) + [f"{self.root}/manifest/batch={b}" for b in self.committed(last)]
+        if not paths:
+            return self.spark.createDataFrame([], MANIFEST)
+        found = self.spark.read.schema(MANIFEST).parquet(*paths)
         return newest_per_key(found, "path", "seen_at", ["sha1", "size", "mtime"])
 
     def output(self) -> DataFrame | None:
         """Output of all committed batches, null before the first."""
-        return self._read("out")
+        paths = [f"{self.root}/out/batch={b}" for b in self.committed()]
+        return self.spark.read.parquet(*paths) if paths else None
 
     def run(self, discovered: DataFrame, process: Callable[[DataFrame], DataFrame]) -> str | None:
         """Process what is new or changed and commit it; the batch identifier, None if nothing was.
 
-        The identifier is a hash of the batch's members, so a repeated attempt over the same
-        members writes the same folders.
+        The identifier is a hash of the batch's members and the number of the commit, so a repeated
+        attempt over the same members writes the same folders.
         """
+        number = max(self._numbers("commits"), default=0) + 1
         todo = new_or_changed(discovered, self.manifest())
         member = F.xxhash64("path", "seen_at", "sha1", "size", "mtime").cast("decimal(38,0)")
-        staged = f"{self.root.rstrip('/')}/staged"
-        todo.write.mode("overwrite").parquet(staged)
-        todo = self.spark.read.parquet(staged)
-        n, total = todo.agg(F.count("*"), F.sum(member)).first()
-        if not n:
-            return None
-        batch = f"{n}-{int(total) & (1 << 64) - 1:016x}-{len(self.committed())}"
-        process(todo).write.mode("overwrite").parquet(f"{self.root.rstrip('/')}/out/batch={batch}")
-        todo.write.mode("overwrite").parquet(f"{self.root.rstrip('/')}/manifest/batch={batch}")
-        fs, path = self._fs("commits", batch)
-        fs.create(path, True).close()
+        staged = uuid.uuid4().hex  # of this run alone
+        try:
+            todo.write.parquet(f"{self.root}/staged/{staged}")
+            todo = self.spark.read.parquet(f"{self.root}/staged/{staged}")
+            n, total = todo.agg(F.count("*"), F.sum(member)).first()
+            if not n:
+                return None
+            batch = f"{n}-{int(total) & (1 << 64) - 1:016x}-{number}"
+            process(todo).write.mode("overwrite").parquet(f"{self.root}/out/batch={batch}")
+            todo.write.mode("overwrite").parquet(f"{self.root}/manifest/batch={batch}")
+            write_text(self.spark, f"{self.root}/commits/{number:09d}", batch)
+        finally:
+            fs, path = self._fs("staged", staged)
+            fs.delete(path, True)
+        if number % FOLD == 0:
+            self.manifest().write.mode("overwrite").parquet(f"{self.root}/folded/{number:09d}")
         return batch

@@ -57,6 +57,29 @@ def test_exactly_once_over_failures(spark, tmp_path):
     assert len(rows) == 22 and sum(r.path == "p3" for r in rows) == 2
 
 
+def test_folded_manifests_and_a_race(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(incremental, "FOLD", 3)
+    store = incremental.IncrementalStore(spark, f"file://{tmp_path}")
+    copy = lambda df: df.select("path", "sha1")
+    seen = None
+    for k in range(7):
+        now = listing(spark, [(f"p{k}", float(k), "x", 1, 1.0, "j"), ("same", float(k), str(k), 1, 1.0, "j")])
+        seen = now if seen is None else seen.unionByName(now)
+        assert store.run(seen, copy).endswith(f"-{k + 1}") and store.run(seen, copy) is None
+    assert store._numbers("folded") == [3, 6] and store.manifest().count() == 8 and store.output().count() == 14
+    # a run that another one overtakes fails to commit, and its members are taken by the next
+    more = seen.unionByName(listing(spark, [("late", 9.0, "x", 1, 1.0, "j")]))
+
+    def overtaken(df):
+        assert incremental.IncrementalStore(spark, store.root).run(seen.unionByName(listing(spark, [("other", 9.0, "x", 1, 1.0, "j")])), copy)
+        return copy(df)
+
+    with pytest.raises(Exception):  # noqa: B017
+        store.run(more, overtaken)
+    assert "late" not in {r.path for r in store.output().collect()} and store.run(more, copy) and store.run(more, copy) is None
+    assert sorted(r.path for r in store.output().filter("path in ('late', 'other')").collect()) == ["late", "other"]
+
+
 @pytest.mark.parametrize(
     "old,expect",
     [
