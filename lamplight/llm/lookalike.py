@@ -190,3 +190,18 @@ def lookalike_pairs(rows: DataFrame) -> DataFrame:
     right = members.select("tbl", "form", F.col("variant").alias("vb"), F.col("id").alias("y"))
     joined = pairs.join(left, ["tbl", "form", "va"]).join(right, ["tbl", "form", "vb"]).filter("x != y")
     return joined.select("tbl", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
+
+
+def lookalike_classes(rows: DataFrame) -> DataFrame:
+    """(tbl, id, class_id, links) of every row (tbl, id, text) that looks like one of another text.
+
+    A class is the rows of one form, named by its lowest id; links is with how many of them a row pairs:
+    those of unequal text. A group of copies costs its rows, not their pairs. Null texts are in no class;
+    repeated rows count once. Rows are counted by text before they are by form, and a hot text is joined
+    with its one count.
+    """
+    keys = cut(forms_of(rows).distinct())
+    texts = keys.groupBy("tbl", "form", "variant").agg(F.count("*").alias("n"), F.min("id").alias("least"))
+    forms = texts.groupBy("tbl", "form").agg(F.sum("n").alias("all"), F.min("least").alias("class_id"), F.count("*").alias("texts")).filter("texts > 1").select("tbl", "form", "all", "class_id")
+    counts = texts.join(forms, ["tbl", "form"]).select("tbl", "form", "variant", "class_id", (F.col("all") - F.col("n")).alias("links"))
+    return keys.join(counts, ["tbl", "form", "variant"]).select("tbl", "id", "class_id", "links")

@@ -130,13 +130,20 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return lookalike_pairs(_texts(spark, sf))
 
 
+def p7_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """The same links as p7_found as membership: what a group of very many copies needs."""
+    from lamplight.llm.lookalike import lookalike_classes
+
+    return lookalike_classes(_texts(spark, sf))
+
+
 def p7_forms(spark: SparkSession, sf: str) -> DataFrame:
     from lamplight.llm.lookalike import with_form
 
     return with_form(_texts(spark, sf), "text", "form").select("tbl", "id", "form")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_files, p1_stretches, p2_found, p2_new_text, p4_found, p4_knn, p5_found, p5_paragraphs, p6_found, p6_restored, p7_found, p7_forms, p8_ids, p8_counts, p9_windows, p10_found, p10_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_files, p1_stretches, p2_found, p2_new_text, p4_found, p4_knn, p5_found, p5_paragraphs, p6_found, p6_restored, p7_found, p7_classes, p7_forms, p8_ids, p8_counts, p9_windows, p10_found, p10_pieces)}
 #: Brute force where SQL can express a query and is quick enough over whole tables.
 SQL: dict[str, str] = {
     "p4_found": """

@@ -235,6 +235,13 @@ def test_lookalike_pairs_equal_brute_force(spark):
     got = sorted((r.tbl, r.id_a, r.id_b) for r in lookalike.lookalike_pairs(df).collect())
     want = sorted((a[0], a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] and None not in (a[2], b[2]) and a[2] != b[2] and lookalike.canonical(a[2]) == lookalike.canonical(b[2]))
     assert got == want and want
+    links: dict = {}
+    for t, x, y in want:
+        links[t, x], links[t, y] = links.get((t, x), 0) + 1, links.get((t, y), 0) + 1
+    found = lookalike.lookalike_classes(df).collect()
+    assert {(r.tbl, r.id): r.links for r in found} == links and len(found) == len(links)
+    of = {(r.tbl, r.id): r.class_id for r in found}
+    assert all(of[t, x] == of[t, y] <= x for t, x, y in want)
     assert lookalike.lookalike_pairs(df.limit(0)).count() == 0
     forms = lookalike.with_form(df.withColumnRenamed("id", "form"), "text", "form")
     assert forms.columns == ["tbl", "text", "form"] and forms.filter("text IS NULL AND form IS NOT NULL").count() == 0
