@@ -110,6 +110,8 @@ def _postings(terms: list, ids: list, tfs: list, lengths: list) -> pa.RecordBatc
     return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(ids, pa.int64()), pa.array(tfs, pa.int32()), pa.array(lengths, pa.int32())], names=["term", "file_id", "tf", "length"])
 
 
+#: Of stored indexes; another number where their files change.
+FORMAT = 2
 #: Postings a file of an index holds, about.
 FILE_POSTINGS = 500_000
 

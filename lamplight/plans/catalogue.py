@@ -208,7 +208,7 @@ def _index(spark: SparkSession, sf: str, fresh: bool = False) -> search.SearchIn
     p = spark._jvm.org.apache.hadoop.fs.Path(f"{sf}/documents.parquet")
     at = p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).getModificationTime()
     name = hashlib.md5(f"{sf} {at}".encode()).hexdigest()
-    index = search.SearchIndex(spark, f"{shared_dir(spark).rstrip('/')}/lamplight-fts-{name}")
+    index = search.SearchIndex(spark, f"{shared_dir(spark).rstrip('/')}/lamplight-fts-{search.FORMAT}-{name}")
     if fresh or not index.exists():
         index.write(_docs(spark, sf))
     return index
