@@ -16,6 +16,10 @@ from lamplight.settings import Settings
 _SCHEMA = "path string, name string, ext string, dir string, drive string, size long, mtime double"
 
 
+#: Folders from which a walk is split no further, and levels it is split by at most.
+ENOUGH, LEVELS = 64, 4
+
+
 class Pruner:
     """Which folders and files a walk leaves out."""
 
@@ -73,18 +77,24 @@ class _Reader(DataSourceReader):
         self.follow = options.get("follow", "false") == "true"
 
     def partitions(self) -> list[InputPartition]:
-        """A partition for the files of each root, and one for each folder right below it."""
-        prune, out = Pruner(*self.skip), []
+        """Folders to descend from, split level by level until there are enough for many tasks: a split
+        folder is a partition for its own files, and each folder below it another. Only folders that are
+        split are listed here."""
+        prune, out, level = Pruner(*self.skip), [], []
         for root in self.roots:
-            if os.path.isfile(root):
-                out.append(InputPartition(("file", root)))
-                continue
-            out.append(InputPartition(("flat", root)))
-            try:
-                below = [e.path for e in os.scandir(root) if e.is_dir() and (self.follow or not e.is_symlink())]
-            except OSError:
-                below = []
-            out += [InputPartition(("deep", p)) for p in sorted(below) if not prune.folder(p)]
+            (out.append(InputPartition(("file", root))) if os.path.isfile(root) else level.append(root))
+        for _ in range(LEVELS):
+            below = []
+            for folder in level:
+                out.append(InputPartition(("flat", folder)))
+                try:
+                    below += sorted(e.path for e in os.scandir(folder) if e.is_dir() and (self.follow or not e.is_symlink()) and not prune.folder(e.path))
+                except OSError:
+                    continue
+            level = below
+            if len(level) >= ENOUGH:
+                break
+        out += [InputPartition(("deep", p)) for p in level]
         return out or [InputPartition(("none", ""))]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:

@@ -417,3 +417,23 @@ def test_vision_hook_stores_what_a_model_saw(spark, tmp_path):
     assert (n.vision_files, n.faces) == (1, 1) and [(r.caption, r.mode, r.faces_model) for r in c.table("vision").collect()] == [("a cat", "tags", "f1")]
     assert index(spark, [root], out, settings=s, tools=tools).files == 1  # only the broken one is looked at again
     assert index(spark, [root], out, settings=Settings(vision="tags", faces_model="f2"), tools=tools).files == 2
+
+
+def test_a_walk_splits_deep_folders(spark, tmp_path):
+    """One folder at the top holds everything: its folders are walked by tasks of their own, each file once."""
+    import json
+
+    from lamplight.sources.walk import _Reader, walk
+
+    want = set()
+    for i in range(6):
+        for j in range(14):
+            want.add(os.path.realpath(put(str(tmp_path), f"all/a{i}/b{j}/c/d/e/f{i}{j}.txt", "x")))
+        want.add(os.path.realpath(put(str(tmp_path), f"all/a{i}/own.txt", "x")))
+    put(str(tmp_path), "all/a0/node_modules/x.txt", "left out")
+    os.symlink(str(tmp_path / "all"), str(tmp_path / "all/a1/loop"))
+    s = Settings()
+    parts = _Reader({"roots": json.dumps([str(tmp_path)]), "skip_dirs": json.dumps(list(s.skip_dirs))}).partitions()
+    assert sum(p.value[0] == "deep" for p in parts) == 84
+    assert sorted(r.path for r in walk(spark, [str(tmp_path)], s).collect()) == sorted(want)
+    assert walk(spark, [str(tmp_path / "none")], s).count() == 0
